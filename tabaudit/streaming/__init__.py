@@ -1,0 +1 @@
+"""Empty on purpose: the audit is batch work and has no streaming operator."""
