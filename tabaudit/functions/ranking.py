@@ -34,18 +34,27 @@ def range_buckets(spark: SparkSession) -> int:
 
 
 def hash_rank(
-    df: DataFrame, groups: Sequence[str], order: Column, key: str, rank: str = "rn"
+    df: DataFrame,
+    groups: Sequence[str],
+    order: Column,
+    key: str,
+    rank: str = "rn",
+    across_groups: bool = False,
 ) -> DataFrame:
     """Add ``rank``: the 1-based position in the group by ``order`` (a hex hash), ``key``.
 
-    Hash prefixes spread any group, hot or not, over cells of even size.
+    Hash prefixes spread any group, hot or not, over cells of even size.  With
+    ``across_groups`` the count goes on from group to group, in group order; the
+    cells are then ordered in one task, so use it for few groups (classes).
     """
     digits = hash_digits(df.sparkSession)
     cell = F.struct(*[col(g) for g in groups], F.substring(order, 1, digits).alias("prefix"))
     rows = df.withColumn(_HASH, order).withColumn(_CELL, cell)
     sizes = df.select(cell.alias(_CELL)).groupBy(_CELL).agg(F.count(F.lit(1)).alias(_SIZE))
-    in_group = Window.partitionBy(*[F.col(_CELL)[g] for g in groups]).orderBy(F.col(_CELL)["prefix"])
-    earlier = F.sum(_SIZE).over(in_group) - F.col(_SIZE)
+    before = Window.orderBy(_CELL)
+    if not across_groups:
+        before = Window.partitionBy(*[F.col(_CELL)[g] for g in groups]).orderBy(F.col(_CELL)["prefix"])
+    earlier = F.sum(_SIZE).over(before) - F.col(_SIZE)
     offsets = sizes.select(_CELL, earlier.alias(_EARLIER))
     inside = Window.partitionBy(_CELL).orderBy(_HASH, col(key))
     numbered = rows.withColumn(rank, F.row_number().over(inside)).join(offsets, _CELL)

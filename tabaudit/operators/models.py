@@ -28,6 +28,7 @@ DEFAULT_TREES = 100
 DEEPEST_TREE = 30
 FOURIER_FEATURES = 200
 SVC_ITERATIONS = 100
+SVC_TOLERANCE = 1e-3
 
 
 def fourier_weights(p: int, size: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +164,7 @@ def _fit_svc(
         regParam=1.0 / (float(params.get("C", DEFAULT_C)) * max(n_rows, 1)),
         standardization=False,
         maxIter=SVC_ITERATIONS,
+        tol=SVC_TOLERANCE,
     )
     if classes > 2:
         svm = OneVsRest(classifier=svm, featuresCol=column, labelCol=label)

@@ -8,6 +8,7 @@ are taken per fold, and each training set merges the folds it contains.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -23,6 +24,8 @@ from tabaudit.functions.quantiles import exact_quantiles
 # Classes whose statistics may be collected; classifiers here stop far below.
 MAX_CLASSES = 1_000
 
+_DECOMPOSITION = threading.Lock()
+
 
 @dataclass(frozen=True)
 class PrepSpec:
@@ -296,9 +299,11 @@ def anova_f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataF
 def fit_pca(vectors: DataFrame, column: str, output: str, p: int) -> PCAModel:
     """All principal components; the covariance is summed by the executors.
 
-    ``column`` must be centred, as Spark projects vectors as they are.
+    ``column`` must be centred, as Spark projects vectors as they are.  One fit at
+    a time: the driver's decomposition of the p x p matrix is not thread-safe.
     """
-    return PCA(k=p, inputCol=column, outputCol=output).fit(vectors)
+    with _DECOMPOSITION:
+        return PCA(k=p, inputCol=column, outputCol=output).fit(vectors)
 
 
 def components_kept(explained: Sequence[float], wanted: int | float | None) -> int:

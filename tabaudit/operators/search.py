@@ -28,6 +28,7 @@ from tabaudit.operators.models import (
     threshold_prediction,
 )
 from tabaudit.operators.prep import (
+    MAX_CLASSES,
     FittedPrep,
     PrepSpec,
     centred,
@@ -39,8 +40,10 @@ from tabaudit.operators.smote import smote
 from tabaudit.operators.splits import stratified_folds, stratified_holdout
 from tabaudit.plans.specs import Candidate, CvPlan, ModelSpec
 
-# Fits that run at once; each is a distributed job, so few are enough.
+# Fits that run at once while a training set has at most SMALL_VALUES doubles.  A
+# larger one keeps the cluster busy alone, and its fits cache it one after another.
 PARALLEL_FITS = 8
+SMALL_VALUES = 50_000_000
 # Doubles that one training task should hold at least; fewer tasks mean less
 # waiting in each of the many short jobs of an optimiser.
 TASK_VALUES = 2_000_000
@@ -67,33 +70,29 @@ class SearchResult:
 # -- labels and folds -------------------------------------------------------------------
 
 
-def label_values(data: Dataset) -> list[Any]:
-    """The classes, sorted; a classifier's label is the position in this list."""
-    found = missing_to_null(data.y).distinct().limit(1_001).collect()
-    values = sorted(r[0] for r in found if r[0] is not None)
-    if len(found) > 1_000:
-        raise ValueError(f"{data.target} has more than 1000 classes")
-    return values
-
-
 def labelled(data: Dataset) -> tuple[DataFrame, list[str], int]:
-    """Frame ``(key, label, features)`` of a keyed dataset, feature names, class count.
+    """Frame ``(key, label, features)``, feature names and class count.
 
-    Numeric features only; a null target is an error, as no classifier takes it.
+    The needed columns are written once, as all later steps read them.  Labels 0
+    and 1 stay; other targets become their position among the sorted values.  Only
+    numeric features are used, and a null target is an error, as no classifier
+    takes either.
     """
     data = data.keyed()
-    values = label_values(data)
-    target, position = col(data.target), F.lit(None).cast("double")
-    if set(values) <= {0, 1}:
-        position, n_classes = target.cast("double"), 2
-    else:
-        for i, v in enumerate(values):
-            position = F.when(target == F.lit(v), F.lit(float(i))).otherwise(position)
-        n_classes = len(values)
     features = numeric_columns(data.df, data.features)
-    checked = F.when(target.isNull(), F.raise_error(F.lit(f"missing values in {data.target}"))).otherwise(position)
-    columns = [col(data.key).alias(_KEY), checked.cast("double").alias(_LABEL), *[col(c) for c in features]]
-    return missing_to_null(data.df).select(*columns), features, n_classes
+    chosen = [col(data.key).alias(_KEY), col(data.target).alias(_LABEL), *[col(c) for c in features]]
+    rows = materialize(missing_to_null(data.df).select(*chosen), "labelled")
+    found = [r[0] for r in rows.select(_LABEL).distinct().limit(MAX_CLASSES + 1).collect()]
+    if None in found:
+        raise ValueError(f"missing values in {data.target}")
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{data.target} has more than {MAX_CLASSES} classes")
+    if set(found) <= {0, 1}:
+        return rows.withColumn(_LABEL, F.col(_LABEL).cast("double")), features, 2
+    position = F.lit(None).cast("double")
+    for i, value in enumerate(sorted(found)):
+        position = F.when(F.col(_LABEL) == F.lit(value), F.lit(float(i))).otherwise(position)
+    return rows.withColumn(_LABEL, position), features, len(found)
 
 
 def fold_table(rows: DataFrame, cv: CvPlan) -> DataFrame:
@@ -107,7 +106,9 @@ def fold_table(rows: DataFrame, cv: CvPlan) -> DataFrame:
 # -- fitting ----------------------------------------------------------------------------
 
 
-def _sampled(spec: ModelSpec, train: DataFrame, seed: int) -> tuple[DataFrame, int | None]:
+def _sampled(
+    spec: ModelSpec, train: DataFrame, vector: str, seed: int
+) -> tuple[DataFrame, int | None]:
     """Balance training rows ``(key, label, vector)``; the row count if it changed."""
     if spec.sampler is None:
         return train, None
@@ -116,11 +117,26 @@ def _sampled(spec: ModelSpec, train: DataFrame, seed: int) -> tuple[DataFrame, i
     elif spec.sampler == "over":
         balanced = sampling.oversample(train, _LABEL, _KEY, seed).drop("copy")
     else:
-        balanced = smote(train, _LABEL, _KEY, _VECTOR, seed)
+        balanced = smote(train, _LABEL, _KEY, vector, seed)
     balanced = materialize(balanced, "sampled")
     return balanced, balanced.count()
 
 
+@dataclass(frozen=True)
+class _FittedFold:
+    """Shared preparation and the fitted tail of each candidate."""
+
+    shared: PipelineModel
+    tails: Sequence[tuple[Candidate, PipelineModel]]
+
+    def full(self, position: int = 0) -> PipelineModel:
+        return PipelineModel([*self.shared.stages, *self.tails[position][1].stages])
+
+
+def _is_small(n_rows: int, width: int) -> bool:
+    return n_rows * width <= SMALL_VALUES
+
+
 def _fit_fold(
     spec: ModelSpec,
     candidates: Sequence[Candidate],
@@ -129,35 +145,33 @@ def _fit_fold(
     n_classes: int,
     seed: int,
     pool: ThreadPoolExecutor,
-) -> list[tuple[Candidate, PipelineModel]]:
+) -> _FittedFold:
     """Fit all candidates on one training set; they share its preparation."""
-    kept: dict[int, int] = {}
-    reducer = []
     if spec.reduction == "pca":
         prep = centred(prep, train)
-    shared = prep.stages(_VECTOR)
-    rows = PipelineModel(shared).transform(train).select(_KEY, _LABEL, _VECTOR)
-    width = len(prep.features)
+    stages = prep.stages(_VECTOR)
+    width, vector = len(prep.features), _VECTOR
+    rows = PipelineModel(stages).transform(train).select(_KEY, _LABEL, vector)
+    kept: dict[int, int] = {}
     if spec.reduction == "pca":
-        model = fit_pca(rows, _VECTOR, "__components", width)
-        reducer = [model]
-        rows = model.transform(rows).select(_KEY, _LABEL, F.col("__components").alias(_VECTOR))
+        vector = "__components"
+        model = fit_pca(rows, _VECTOR, vector, width)
+        stages.append(model)
+        rows = model.transform(rows).select(_KEY, _LABEL, vector)
         explained = model.explainedVariance.toArray()
         for c in candidates:
             kept[c.cand_id] = components_kept(explained, c.step("reduction").get("n_components"))
-    rows, resampled = _sampled(spec, rows, seed)
+    rows, resampled = _sampled(spec, rows, vector, seed)
     n_rows = prep.n_rows if resampled is None else resampled
     rows = rows.coalesce(n_rows * width // TASK_VALUES + 1)
 
     def fit(candidate: Candidate) -> tuple[Candidate, PipelineModel]:
         size = kept.get(candidate.cand_id, width)
-        source = "__components" if reducer else _VECTOR
-        cut = VectorSlicer(inputCol=source, outputCol=_FEATURES, indices=list(range(size)))
-        training = VectorSlicer(inputCol=_VECTOR, outputCol=_FEATURES, indices=list(range(size)))
+        cut = VectorSlicer(inputCol=vector, outputCol=_FEATURES, indices=list(range(size)))
         fitted = fit_classifier(
             spec.estimator,
             candidate.step("estimator"),
-            training.transform(rows).select(_LABEL, _FEATURES),
+            cut.transform(rows).select(_LABEL, _FEATURES),
             n_rows,
             size,
             seed,
@@ -165,20 +179,28 @@ def _fit_fold(
             _LABEL,
             n_classes,
         )
-        return candidate, PipelineModel([*shared, *reducer, cut, *fitted.stages])
+        return candidate, PipelineModel([cut, *fitted.stages])
 
-    return list(pool.map(fit, candidates))
+    shared = PipelineModel(stages)
+    if not _is_small(n_rows, width):
+        return _FittedFold(shared, [fit(c) for c in candidates])
+    rows = rows.persist()
+    try:
+        return _FittedFold(shared, list(pool.map(fit, candidates)))
+    finally:
+        rows.unpersist()
 
 
 def _scored_candidates(
-    spec: ModelSpec, fitted: Sequence[tuple[Candidate, PipelineModel]], test: DataFrame, n_classes: int
+    spec: ModelSpec, fitted: _FittedFold, test: DataFrame, n_classes: int
 ) -> DataFrame:
     """Rows ``(cand_id, label, prediction, score)`` of all candidates on one test set."""
+    prepared = fitted.shared.transform(test)
     parts = []
-    for candidate, model in fitted:
+    for candidate, tail in fitted.tails:
         score = F.lit(None).cast("double") if n_classes > 2 else positive_score(spec.estimator)
         parts.append(
-            model.transform(test).select(
+            tail.transform(prepared).select(
                 F.lit(candidate.cand_id).alias("cand_id"), _LABEL, "prediction", score.alias("score")
             )
         )
@@ -226,7 +248,8 @@ def cross_validate(
             return _scored_candidates(spec, fitted, test, n_classes).withColumn(_FOLD, F.lit(i))
 
         # Folds wait for their fits in threads of their own, so the pool cannot block.
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool, ThreadPoolExecutor(cv.folds) as waiting:
+        at_once = cv.folds if _is_small(preps[0].n_rows, len(features)) else 1
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool, ThreadPoolExecutor(at_once) as waiting:
             scored = reduce(DataFrame.unionByName, waiting.map(fold_scores, range(cv.folds)))
     # Every metric reads the scores, and the models would run again for each.
     scored = materialize(scored, "scores")
@@ -255,24 +278,9 @@ def pivoted_results(result: SearchResult) -> DataFrame:
     return names.join(scores, "cand_id").withColumn("params", F.to_json("params"))
 
 
-def grid_search(
-    data: Dataset, spec: ModelSpec, cv: CvPlan, refit: bool = True, folded: DataFrame | None = None
-) -> SearchResult:
+def grid_search(data: Dataset, spec: ModelSpec, cv: CvPlan, refit: bool = True) -> SearchResult:
     """Score every candidate on every fold, pick the best and fit it on all rows."""
-    return search(data, spec, spec.candidates(), cv, refit, folded)
-
-
-def search(
-    data: Dataset,
-    spec: ModelSpec,
-    candidates: Sequence[Candidate],
-    cv: CvPlan,
-    refit: bool = True,
-    folded: DataFrame | None = None,
-) -> SearchResult:
-    rows, features, n_classes = labelled(data)
-    folded = fold_table(rows, cv) if folded is None else folded
-    return _search(folded, features, n_classes, spec, candidates, cv, refit)
+    return compare(data, [spec], cv, refit)[0]
 
 
 def _search(
@@ -293,7 +301,7 @@ def _search(
     winner = next(c for c in candidates if c.cand_id == best["cand_id"])
     model = None
     if refit and spec.estimator != THRESHOLD:
-        model = refit_on_all(spec, winner, folded, features, n_classes, cv.seed)
+        model = refit_on_all(spec, winner, folded, features, n_classes, cv.seed).full()
     elapsed = time.time() - start
     return SearchResult(
         spec.name, candidates, cv_scores, ranking, winner, best["mean"], cv.refit, elapsed, model
@@ -302,10 +310,10 @@ def _search(
 
 def refit_on_all(
     spec: ModelSpec, winner: Candidate, rows: DataFrame, features: Sequence[str], n_classes: int, seed: int
-) -> PipelineModel:
+) -> _FittedFold:
     prep = fit_prep_folds(rows, features, spec.prep, _LABEL, None, [None])[0]
     with ThreadPoolExecutor(1) as pool:
-        return _fit_fold(spec, [winner], prep, rows, n_classes, seed, pool)[0][1]
+        return _fit_fold(spec, [winner], prep, rows, n_classes, seed, pool)
 
 
 # -- comparison -------------------------------------------------------------------------
@@ -327,9 +335,9 @@ def compare(
     """Search each spec on the same folds; nothing when disabled."""
     if not enabled or not specs:
         return []
-    rows, _, _ = labelled(data)
+    rows, features, n_classes = labelled(data)
     folded = fold_table(rows, cv)
-    return [grid_search(data, spec, cv, refit, folded) for spec in specs]
+    return [_search(folded, features, n_classes, s, s.candidates(), cv, refit) for s in specs]
 
 
 def leaderboard(results: Sequence[SearchResult], spark: Any) -> DataFrame:
@@ -403,8 +411,9 @@ def model_search(
         found = _search(folded, features, n_classes, spec, spec.candidates(), cv, refit=False)
         results.append((spec, found))
     spec, best = max(results, key=lambda r: r[1].best_score)
-    model = refit_on_all(spec, best.best, folded, features, n_classes, seed)
-    scored = _scored_candidates(spec, [(best.best, model)], test, n_classes)
+    fitted = refit_on_all(spec, best.best, folded, features, n_classes, seed)
+    scored = _scored_candidates(spec, fitted, test, n_classes)
+    model = fitted.full()
     holdout = cv.metrics[cv.refit](scored, ()).first()["value"]
     if export_path is not None:
         model.write().overwrite().save(export_path)

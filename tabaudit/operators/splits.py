@@ -28,13 +28,9 @@ def stratified_folds(
     Dealing goes on from class to class, so the folds differ by at most one row,
     in total and per class.
     """
-    sizes = _class_sizes(df, target)
-    earlier = F.sum("__n").over(Window.orderBy("__class")) - F.col("__n")
-    starts = sizes.select(F.struct("__class").alias("__stratum"), earlier.alias("__start"))
-    ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn")
-    joined = ranked.withColumn("__stratum", F.struct(col(target).alias("__class"))).join(starts, "__stratum")
-    fold = ((F.col("__start") + F.col("__rn") - 1) % folds).cast("int")
-    return joined.select(*df.columns, fold.alias(name))
+    ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn", across_groups=True)
+    fold = ((F.col("__rn") - 1) % folds).cast("int")
+    return ranked.select(*df.columns, fold.alias(name))
 
 
 def stratified_holdout(
