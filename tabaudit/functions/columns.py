@@ -21,6 +21,10 @@ def col(name: str) -> Column:
     return F.col(quote(name))
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    return [col(c) for c in df.columns]
+
+
 def numeric_columns(df: DataFrame, names: Sequence[str] | None = None) -> list[str]:
     """Numeric columns in table order; booleans are not numeric."""
     wanted = None if names is None else set(names)

@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabaudit.functions.columns import col
+from tabaudit.functions.columns import all_columns, col
 
 _CELL, _HASH, _SIZE, _EARLIER = "__cell", "__hash", "__size", "__earlier"
 
@@ -58,7 +58,7 @@ def hash_rank(
     offsets = sizes.select(_CELL, earlier.alias(_EARLIER))
     inside = Window.partitionBy(_CELL).orderBy(_HASH, col(key))
     numbered = rows.withColumn(rank, F.row_number().over(inside)).join(offsets, _CELL)
-    return numbered.withColumn(rank, F.col(rank) + F.col(_EARLIER)).select(*df.columns, rank)
+    return numbered.withColumn(rank, F.col(rank) + F.col(_EARLIER)).select(*all_columns(df), rank)
 
 
 def split_points(df: DataFrame, column: str, buckets: int) -> tuple[list[float], list[float]]:
@@ -120,7 +120,7 @@ def running_totals(
     summed = summed.join(offsets, _CELL)
     for total in totals:
         summed = summed.withColumn(total, F.col(total) + F.col(f"__before_{total}"))
-    return summed.select(*df.columns, *totals)
+    return summed.select(*all_columns(df), *totals)
 
 
 def global_rank(
@@ -146,4 +146,4 @@ def global_rank(
     offsets = sizes.select(_CELL, earlier.alias(_EARLIER))
     inside = Window.partitionBy(_CELL).orderBy(col(order), _HASH, col(key))
     numbered = rows.withColumn(rank, F.row_number().over(inside)).join(offsets, _CELL)
-    return numbered.withColumn(rank, F.col(rank) + F.col(_EARLIER)).select(*df.columns, rank)
+    return numbered.withColumn(rank, F.col(rank) + F.col(_EARLIER)).select(*all_columns(df), rank)

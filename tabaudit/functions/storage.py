@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabaudit.functions.columns import all_columns
+
 _local_root: str | None = None
 
 
@@ -44,4 +46,4 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path).select(*all_columns(df))

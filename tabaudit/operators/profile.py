@@ -50,6 +50,11 @@ def profile_numeric(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
     """Rows of mean, sample deviation, min, quantiles, max and zero count per numeric column."""
     df = missing_to_null(df)
     numeric = numeric_columns(df, names)
+    labels = [f"p{round(p * 100):02d}" for p in PROFILE_QUANTILES]
+    fields = ["column", "mean", "std", "min", *labels, "max", "zeros"]
+    if not numeric:
+        kinds = ", ".join(f"{f} double" for f in fields[1:-1])
+        return df.sparkSession.createDataFrame([], f"column string, {kinds}, zeros long")
     quantiles = exact_quantiles(df, {c: col(c) for c in numeric}, PROFILE_QUANTILES)
     row = df.agg(
         *[
@@ -64,8 +69,6 @@ def profile_numeric(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
             )
         ]
     )
-    labels = [f"p{round(p * 100):02d}" for p in PROFILE_QUANTILES]
-    fields = ["column", "mean", "std", "min", *labels, "max", "zeros"]
     entries = [
         (
             F.lit(c),
@@ -90,6 +93,9 @@ def profile_topk(
     values sends at most ``k`` rows per task.
     """
     names = other_columns(df, names)
+    if not names:
+        schema = "column string, value string, n long, rank int, share double"
+        return df.sparkSession.createDataFrame([], schema)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = [(F.lit(c), col(c).cast("string")) for c in names]
     counts = (

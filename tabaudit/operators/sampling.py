@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.functions.columns import col, order_hash
+from tabaudit.functions.columns import all_columns, col, order_hash
 from tabaudit.functions.ranking import hash_rank
 from tabaudit.operators.splits import SEED
 
@@ -23,7 +23,7 @@ def undersample(df: DataFrame, target: str, key: str, seed: int = SEED) -> DataF
     """Keep as many rows of each class as the smallest class has."""
     smallest, _ = class_extent(df, target)
     ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn")
-    return ranked.filter(F.col("__rn") <= smallest).select(*df.columns)
+    return ranked.filter(F.col("__rn") <= smallest).select(*all_columns(df))
 
 
 def oversample(
@@ -36,7 +36,7 @@ def oversample(
     """
     smallest, largest = class_extent(df, target)
     counted = copy_counts(df, target, key, largest, seed)
-    return repeated(counted, key, largest > smallest * COPIES_PER_TASK, name).select(*df.columns, name)
+    return repeated(counted, key, largest > smallest * COPIES_PER_TASK, name).select(*all_columns(df), name)
 
 
 def copy_counts(df: DataFrame, target: str, key: str, largest: int, seed: int) -> DataFrame:
@@ -47,7 +47,7 @@ def copy_counts(df: DataFrame, target: str, key: str, largest: int, seed: int) -
     whole = F.floor(F.lit(largest) / F.col("__n"))
     extra = F.when(F.col("__rn") <= F.lit(largest) % F.col("__n"), 1).otherwise(0)
     counted = ranked.join(sizes, "__stratum").withColumn("__copies", (whole + extra).cast("long"))
-    return counted.select(*df.columns, "__copies")
+    return counted.select(*all_columns(df), "__copies")
 
 
 def repeated(counted: DataFrame, key: str, many: bool, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabaudit.functions.columns import col, order_hash
+from tabaudit.functions.columns import all_columns, col, order_hash
 from tabaudit.functions.joins import join_hot_keys
 from tabaudit.functions.ranking import global_rank, hash_rank
 from tabaudit.functions.storage import materialize
@@ -30,7 +30,7 @@ def stratified_folds(
     """
     ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn", across_groups=True)
     fold = ((F.col("__rn") - 1) % folds).cast("int")
-    return ranked.select(*df.columns, fold.alias(name))
+    return ranked.select(*all_columns(df), fold.alias(name))
 
 
 def stratified_holdout(
@@ -55,7 +55,7 @@ def stratified_holdout(
     quotas = shares.select(F.struct("__class").alias("__stratum"), quota.alias("__quota"))
     ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn")
     joined = ranked.withColumn("__stratum", F.struct(col(target).alias("__class"))).join(quotas, "__stratum")
-    return joined.select(*df.columns, (F.col("__rn") <= F.col("__quota")).alias(name))
+    return joined.select(*all_columns(df), (F.col("__rn") <= F.col("__quota")).alias(name))
 
 
 def group_fold_table(df: DataFrame, group: str, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
@@ -80,7 +80,7 @@ def group_folds(
     table = materialize(group_fold_table(df, group, folds, seed), "group-folds")
     table = table.select(F.struct("group").alias("__group"), F.col("fold").alias(name), "n")
     rows = df.withColumn("__group", F.struct(col(group).alias("group")))
-    return join_hot_keys(rows, table, "__group", "n").select(*df.columns, name)
+    return join_hot_keys(rows, table, "__group", "n").select(*all_columns(df), name)
 
 
 def time_blocks(
@@ -102,7 +102,7 @@ def time_blocks(
     block = F.when(index < border, F.floor(index / (small + 1))).otherwise(
         longer + F.floor(F.try_divide(index - border, small))
     )
-    return ranked.select(*df.columns, block.cast("int").alias(name))
+    return ranked.select(*all_columns(df), block.cast("int").alias(name))
 
 
 def time_split(blocked: DataFrame, split: int, name: str = "block") -> tuple[DataFrame, DataFrame]:
