@@ -79,6 +79,7 @@ def nearest_vectors(points: DataFrame, k: int, seed: int, block_rows: int = BLOC
     def across(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or block.empty:
             return pd.DataFrame({c: [] for c in ("vector", "squared", "near", "near_size")})
+        block = block.rename(columns={"point": "vector"})
         return pd.concat(list(_nearest(queries, block, k)), ignore_index=True)
 
     found = blocks.groupBy("block").applyInPandas(within, _NEAR)
@@ -101,7 +102,10 @@ def nearest_vectors(points: DataFrame, k: int, seed: int, block_rows: int = BLOC
             .select("block", "other", "vector")
         )
         pairs = asked.select("block", "other").distinct()
-        served = blocks.withColumnRenamed("block", "other").join(pairs, "other")
+        there = [F.col(a).alias(b) for a, b in (("block", "other"), ("vector", "point"), ("size", "size"))]
+        served = pairs.join(blocks.select(*there), "other").select(
+            F.col("block").alias("block"), F.col("other").alias("other"), "point", "size"
+        )
         more = asked.groupBy("block", "other").cogroup(served.groupBy("block", "other"))
         found = found.unionByName(more.applyInPandas(across, _NEAR))
     # At most k rows per pair of blocks and vector meet here.
