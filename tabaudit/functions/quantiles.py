@@ -1,52 +1,67 @@
 """Exact quantiles (linear interpolation) of many columns at any size.
 
-Spark's ``percentile`` keeps every distinct value of a column in one task.  That
-is fine for a bounded number of values and is used there.  Beyond the bound each
-quantile is bracketed with the mergeable ``percentile_approx`` sketch, the
-bracket is verified by exact counts, narrowed until few values remain, and only
-these are counted.  No step sorts or gathers a whole column.
+Spark's ``percentile`` keeps every distinct value of a column in one task, so it is
+used for few values only.  Beyond that the value at a wanted rank is searched by
+counting: each round splits the interval that holds the rank into equal bins, counts
+the rows per bin, and goes on inside the bin of the rank.  All columns and quantiles
+share the same scans, counts are merged before the shuffle, and no step sorts or
+gathers a column.  A value held by a large part of the rows ends its search early.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Values that one task may hold; above it the bracketing search is used.
+# Values in all columns together up to which one task per column may hold them.
 SMALL_VALUES = 4_000_000
-BRACKET_VALUES = 500_000
-SKETCH_ACCURACY = 10_000
+# Rows in an interval from which on its values are counted one by one.
+INTERVAL_ROWS = 50_000
+BINS = 1_024
+
+Interval = tuple[str, float, float]
 
 
 @dataclass
 class _Search:
-    """One wanted quantile and the closed interval that is known to hold it."""
+    """One wanted quantile: its ranks, and the interval of values that holds them."""
 
     column: str
-    size: int
     position: float
-    margin: float
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0
-    inside: int = 0
-    open: bool = True
+    low: float
+    high: float
+    below: int
+    inside: int
+    first_value: float | None = None
+    second_value: float | None = None
 
     def __post_init__(self) -> None:
         self.first, self.second = math.floor(self.position), math.ceil(self.position)
-        self.inside = self.size
+        self.settle()
+
+    def settle(self) -> None:
+        if self.low == self.high:
+            self.first_value = self.second_value = self.low
+
+    @property
+    def interval(self) -> Interval:
+        return self.column, self.low, self.high
 
-    def within(self) -> Column:
-        value = F.col(self.column)
-        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+    @property
+    def found(self) -> bool:
+        return self.first_value is not None
 
-    def strictly_within(self) -> Column:
-        value = F.col(self.column)
-        return (value > F.lit(self.low)) & (value < F.lit(self.high))
+    @property
+    def value(self) -> float:
+        share = self.position - self.first
+        if not share:
+            return self.first_value
+        return (1 - share) * self.first_value + share * self.second_value
 
 
 def exact_quantiles(
@@ -54,8 +69,8 @@ def exact_quantiles(
     columns: Mapping[str, Column],
     probabilities: Sequence[float],
     small_values: int = SMALL_VALUES,
-    bracket_values: int = BRACKET_VALUES,
-    accuracy: int = SKETCH_ACCURACY,
+    interval_rows: int = INTERVAL_ROWS,
+    bins: int = BINS,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each named column expression, nulls ignored."""
     if not columns:
@@ -68,90 +83,108 @@ def exact_quantiles(
         row = values.agg(*[F.percentile(F.col(s), wanted).alias(s) for s in slots.values()]).first()
         empty = [None] * len(probabilities)
         return {n: list(row[s]) if row[s] is not None else list(empty) for n, s in slots.items()}
-    found = _bracketed(values, list(slots.values()), probabilities, bracket_values, accuracy)
+    found = _search(values, list(slots.values()), probabilities, interval_rows, bins)
     return {n: found[s] for n, s in slots.items()}
 
 
-def _bracketed(
-    values: DataFrame,
-    slots: list[str],
-    probabilities: list[float],
-    bracket_values: int,
-    accuracy: int,
+def _search(
+    values: DataFrame, slots: list[str], probabilities: list[float], interval_rows: int, bins: int
 ) -> dict[str, list[float | None]]:
-    sizes = values.agg(*[F.count(F.col(s)).alias(s) for s in slots]).first()
-    wanted = [(s, i) for s in slots if sizes[s] for i in range(len(probabilities))]
-    searches = [
-        _Search(s, sizes[s], (sizes[s] - 1) * probabilities[i], 3.0 / accuracy) for s, i in wanted
-    ]
-    while unfinished := [x for x in searches if x.open]:
-        _narrow(values, unfinished, accuracy, bracket_values)
-    found = dict(zip(wanted, _pick(values, searches)))
-    return {s: [found.get((s, i)) for i in range(len(probabilities))] for s in slots}
-
-
-def _narrow(
-    values: DataFrame, searches: list[_Search], accuracy: int, bracket_values: int
-) -> None:
-    """Propose a smaller interval from a sketch, then confirm it by counting."""
-    sketches = []
-    for i, x in enumerate(searches):
-        last = max(x.inside - 1, 1)
-        lower = max((x.first - x.below) / last - x.margin, 0.0)
-        upper = min((x.second - x.below) / last + x.margin, 1.0)
-        points = F.array(F.lit(lower), F.lit(upper))
-        inside = F.when(x.within(), F.col(x.column))
-        sketches.append(F.percentile_approx(inside, points, accuracy).alias(f"s{i}"))
-    proposed = values.agg(*sketches).first()
-
-    before = [(x.low, x.high) for x in searches]
-    counts = []
-    for i, x in enumerate(searches):
-        x.low, x.high = proposed[f"s{i}"]
-        counts += [
-            F.count_if(F.col(x.column) < F.lit(x.low)).alias(f"below{i}"),
-            F.count_if(x.within()).alias(f"inside{i}"),
-            F.count_if(x.strictly_within()).alias(f"strict{i}"),
-        ]
-    counted = values.agg(*counts).first()
-    for i, x in enumerate(searches):
-        x.below, x.inside = counted[f"below{i}"], counted[f"inside{i}"]
-        if x.first < x.below or x.second >= x.below + x.inside:
-            # The sketch missed the rank: start over with a wider margin.
-            x.low, x.high, x.below, x.inside = -math.inf, math.inf, 0, x.size
-            x.margin *= 4
+    asked = [f(F.col(s)).alias(f"{k}_{s}") for s in slots for k, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+    row = values.agg(*asked).first()
+    searches = {
+        (s, i): _Search(s, (row[f"n_{s}"] - 1) * p, row[f"low_{s}"], row[f"high_{s}"], 0, row[f"n_{s}"])
+        for s in slots
+        if row[f"n_{s}"]
+        for i, p in enumerate(probabilities)
+    }
+    while wide := [x for x in searches.values() if not x.found and x.inside > interval_rows]:
+        _split(values, wide, bins)
+    if narrow := [x for x in searches.values() if not x.found]:
+        _count_values(values, narrow)
+    return {
+        s: [searches[(s, i)].value if (s, i) in searches else None for i in range(len(probabilities))]
+        for s in slots
+    }
+
+
+def _members(values: DataFrame, intervals: Sequence[Interval]) -> DataFrame:
+    """Rows ``(i, v)``: the values of each interval's column that lie in it."""
+    entries = []
+    for i, (column, low, high) in enumerate(intervals):
+        value = F.col(column)
+        inside = (value >= F.lit(low)) & (value <= F.lit(high))
+        entries.append(F.when(inside, F.struct(F.lit(i).alias("i"), value.alias("v"))))
+    hits = F.explode(F.array_compact(F.array(*entries)))
+    return values.select(hits.alias("e")).select("e.i", "e.v")
+
+
+def _at_rank(intervals: Sequence[Interval], searches: Sequence[_Search]) -> Column:
+    """Whether a counted part, rows ``upto - n`` to ``upto`` of its interval, holds a wanted rank."""
+    places = {interval: i for i, interval in enumerate(intervals)}
+    wanted: dict[int, set[int]] = {}
+    for x in searches:
+        wanted.setdefault(places[x.interval], set()).update((x.first - x.below, x.second - x.below))
+    holds = F.lit(False)
+    for i, ranks in wanted.items():
+        listed = F.array(*[F.lit(r) for r in sorted(ranks)])
+        inside = F.exists(listed, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+        holds = F.when(F.col("i") == i, inside).otherwise(holds)
+    return holds
+
+
+def _split(values: DataFrame, searches: list[_Search], bins: int) -> None:
+    """One round: bin the open intervals and go on inside the bins of the wanted ranks."""
+    intervals = list(dict.fromkeys(x.interval for x in searches))
+    bin_of = F.lit(None).cast("int")
+    for i, (_, low, high) in enumerate(intervals):
+        # Infinite ends are cut to the largest double; halves avoid an overflow.
+        half_low = max(low, -sys.float_info.max) / 2
+        half_width = min(high, sys.float_info.max) / 2 - half_low
+        finite = F.least(F.greatest(F.col("v"), F.lit(-sys.float_info.max)), F.lit(sys.float_info.max))
+        share = (finite / 2 - F.lit(half_low)) / F.lit(half_width or sys.float_info.min)
+        place = F.least(F.floor(F.greatest(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+        if math.isinf(low) or math.isinf(high):
+            # The infinities get bins of their own.
+            place = F.when(F.col("v") == -math.inf, -1).when(F.col("v") == math.inf, bins).otherwise(place)
+        bin_of = F.when(F.col("i") == i, place).otherwise(bin_of)
+    counted = (
+        _members(values, intervals)
+        .groupBy("i", bin_of.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("bin")))
+    )
+    rows = counted.filter(_at_rank(intervals, searches)).collect()
+    places = {interval: i for i, interval in enumerate(intervals)}
+    for x in searches:
+        mine = [r for r in rows if r["i"] == places[x.interval]]
+        at_first, at_second = (
+            next(r for r in mine if r["upto"] - r["n"] <= rank - x.below < r["upto"])
+            for rank in (x.first, x.second)
+        )
+        if at_first["bin"] != at_second["bin"]:
+            # Neighbouring ranks in two bins: the last of one, the first of the other.
+            x.first_value, x.second_value = at_first["high"], at_second["low"]
         else:
-            progress = (x.low, x.high) != before[i]
-            x.open = progress and counted[f"strict{i}"] > bracket_values
+            x.low, x.high = at_first["low"], at_first["high"]
+            x.below, x.inside = x.below + at_first["upto"] - at_first["n"], at_first["n"]
+            x.settle()
 
 
-def _pick(values: DataFrame, searches: list[_Search]) -> list[float]:
+def _count_values(values: DataFrame, searches: list[_Search]) -> None:
     """Count the few values left in each interval and take the wanted ranks."""
-    answers = [x.low for x in searches]
-    pending = {i: x for i, x in enumerate(searches) if x.low != x.high}
-    if not pending:
-        return answers
-    marked = [
-        F.when(x.within(), F.struct(F.lit(i).alias("s"), F.col(x.column).alias("v")))
-        for i, x in pending.items()
-    ]
+    intervals = list(dict.fromkeys(x.interval for x in searches))
     counted = (
-        values.select(F.explode(F.array_compact(F.array(*marked))).alias("e"))
-        .groupBy(F.col("e.s").alias("s"), F.col("e.v").alias("v"))
+        _members(values, intervals)
+        .groupBy("i", "v")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("v")))
-    )
-    first = F.lit(None).cast("long")
-    second = first
-    for i, x in pending.items():
-        first = F.when(F.col("s") == i, F.lit(x.first - x.below)).otherwise(first)
-        second = F.when(F.col("s") == i, F.lit(x.second - x.below)).otherwise(second)
-    ranked = counted.groupBy("s").agg(
-        F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > second, F.col("v"))).alias("b"),
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
     )
-    for row in ranked.collect():
-        x = pending[row["s"]]
-        share = x.position - x.first
-        answers[row["s"]] = (1 - share) * row["a"] + share * row["b"]
-    return answers
+    rows = counted.filter(_at_rank(intervals, searches)).collect()
+    places = {interval: i for i, interval in enumerate(intervals)}
+    for x in searches:
+        mine = [r for r in rows if r["i"] == places[x.interval]]
+        x.first_value, x.second_value = (
+            next(r["v"] for r in mine if r["upto"] - r["n"] <= rank - x.below < r["upto"])
+            for rank in (x.first, x.second)
+        )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -29,7 +31,7 @@ IMBALANCE_SHARE = 0.8
 SAMPLES_PER_FEATURE = 5
 TOP_NULLS = 10
 
-# Pairs in one aggregate: beyond it the generated code stops compiling.
+# Pairs in one aggregate: far more would not be compiled.
 PAIRS_PER_PASS = 120
 
 
@@ -128,53 +130,111 @@ def analyze_raw(
 
 # -- correlation ------------------------------------------------------------------------
 
+PAIR_SCHEMA = "column_a string, column_b string, abs_corr double"
 
-def _pair_correlation(a: str, b: str) -> Column:
-    """Pearson over the rows where both are present; NULL when one is constant."""
-    x, y = col(a).cast("double"), col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
 
+@dataclass(frozen=True)
+class _ColumnFacts:
+    """Rows of the table, and per column its nulls and the extent of its values."""
 
-def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    row = df.agg(*[F.abs(_pair_correlation(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)]
-    return unpivoted(row, ["column_a", "column_b", "abs_corr"], entries)
+    n: int
+    nulls: dict[str, int]
+    mean: dict[str, float | None]
+    constant: dict[str, bool]
 
 
-def _dense_correlation(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def _column_facts(df: DataFrame, names: Sequence[str], numeric: Sequence[str]) -> _ColumnFacts:
+    """One aggregate over the table; ``df`` holds nulls, no NaN."""
+    asked = [F.count(F.lit(1)).alias("n")]
+    asked += [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]
+    for i, c in enumerate(numeric):
+        v = col(c).cast("double")
+        asked += [F.avg(v).alias(f"m{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
+    row = df.agg(*asked).first()
+    return _ColumnFacts(
+        row["n"],
+        {c: row["n"] - row[f"n{i}"] for i, c in enumerate(names)},
+        {c: row[f"m{i}"] for i, c in enumerate(numeric)},
+        {c: row[f"a{i}"] == row[f"b{i}"] for i, c in enumerate(numeric)},
+    )
+
+
+def _block_correlation(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], facts: _ColumnFacts
+) -> list[tuple[str, str, float | None]]:
+    """Absolute Pearson of each pair from sums of centred products, in one aggregate.
+
+    Sums are much cheaper than a correlation aggregate per pair, and centring
+    keeps them precise.  Only pairs with nulls need sums over their common rows.
+    """
+    x = {c: col(c).cast("double") - F.lit(facts.mean[c]) for pair in pairs for c in pair}
+    known = [p for p in pairs if not any(facts.constant[c] for c in p)]
+    whole = [p for p in known if not any(facts.nulls[c] for c in p)]
+    holed = [p for p in known if p not in set(whole)]
+    place = {c: i for i, c in enumerate(dict.fromkeys(c for p in whole for c in p))}
+    asked = [F.sum(x[c] * x[c]).alias(f"s{i}") for c, i in place.items()]
+    asked += [F.sum(x[a] * x[b]).alias(f"p{i}") for i, (a, b) in enumerate(whole)]
+    for i, (a, b) in enumerate(holed):
+        u, v = F.when(col(b).isNotNull(), x[a]), F.when(col(a).isNotNull(), x[b])
+        parts = {"n": F.count(x[a] * x[b]), "u": F.sum(u), "v": F.sum(v), "uv": F.sum(u * v)}
+        parts |= {"uu": F.sum(u * u), "vv": F.sum(v * v)}
+        parts |= {"flat": (F.min(u) == F.max(u)) | (F.min(v) == F.max(v))}
+        asked.append(F.struct(*[e.alias(k) for k, e in parts.items()]).alias(f"h{i}"))
+    found: dict[tuple[str, str], float | None] = {}
+    if asked:
+        row = df.agg(*asked).first()
+        for i, (a, b) in enumerate(whole):
+            found[(a, b)] = _ratio(row[f"p{i}"], row[f"s{place[a]}"], row[f"s{place[b]}"])
+        for i, pair in enumerate(holed):
+            h = row[f"h{i}"]
+            if h["n"] and not h["flat"]:
+                found[pair] = _ratio(
+                    h["uv"] - h["u"] * h["v"] / h["n"],
+                    h["uu"] - h["u"] ** 2 / h["n"],
+                    h["vv"] - h["v"] ** 2 / h["n"],
+                )
+    return [(a, b, found.get((a, b))) for a, b in pairs]
+
+
+def _ratio(product: float, first: float, second: float) -> float | None:
+    """|product| / sqrt(first second), at most 1; ``None`` when it is undefined."""
+    spread = math.sqrt(max(first, 0.0)) * math.sqrt(max(second, 0.0))
+    value = abs(product) / spread if spread > 0 else math.nan
+    return None if math.isnan(value) else min(value, 1.0)
+
+
+def _dense_correlation(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, float | None]]:
     """One pass over assembled vectors; the result is a matrix of p x p doubles."""
-    vectors = VectorAssembler(inputCols=list(names), outputCol="v").transform(df).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [
-        (names[i], names[j], None if matrix[i, j] != matrix[i, j] else abs(float(matrix[i, j])))
+    doubles = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    vectors = VectorAssembler(inputCols=doubles.columns, outputCol="v").transform(doubles)
+    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
+    return [
+        (names[i], names[j], None if math.isnan(matrix[i, j]) else abs(float(matrix[i, j])))
         for i, j in combinations(range(len(names)), 2)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "column_a string, column_b string, abs_corr double"
-    )
+
+
+def _pair_values(
+    df: DataFrame, numeric: Sequence[str], facts: _ColumnFacts
+) -> list[tuple[str, str, float | None]]:
+    """All pairs: one aggregate if few, one pass of vectors if many and without nulls,
+    else one aggregate per block of pairs."""
+    pairs = list(combinations(numeric, 2))
+    if len(pairs) > PAIRS_PER_PASS and facts.n > 1 and not any(facts.nulls[c] for c in numeric):
+        return _dense_correlation(df, numeric)
+    blocks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    return [r for block in blocks for r in _block_correlation(df, block, facts)]
 
 
 def corr_pairs(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Rows ``(column_a, column_b, abs_corr)`` for each pair of numeric columns.
 
-    Narrow tables need one aggregate.  Wide tables without nulls use one pass of
-    vectors; wide tables with nulls take one aggregate per block of pairs.
+    Pearson over the rows where both are present; NULL when one is constant.
     """
     df = missing_to_null(df)
     numeric = numeric_columns(df, names)
-    pairs = list(combinations(numeric, 2))
-    if not pairs:
-        schema = "column_a string, column_b string, abs_corr double"
-        return df.sparkSession.createDataFrame([], schema)
-    if len(pairs) > PAIRS_PER_PASS:
-        doubles = df.select(*[col(c).cast("double").alias(c) for c in numeric])
-        holes = reduce(lambda a, b: a | b, [col(c).isNull() for c in numeric])
-        if not doubles.filter(holes).head(1):
-            return _dense_correlation(doubles, numeric)
-    blocks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionByName, [_pair_aggregate(df, b) for b in blocks])
+    rows = _pair_values(df, numeric, _column_facts(df, numeric, numeric)) if numeric else []
+    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
 
 
 def max_abs_corr(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -215,94 +275,59 @@ def dataset_metadata(data: Dataset) -> DataFrame:
 
 # -- summary ----------------------------------------------------------------------------
 
+SUMMARY_SCHEMA = "section string, key string, value double"
 _SUMMARY = ["section", "key", "value"]
 
 
-def _entry(section: str, key: Column | str, value: Column) -> tuple[Column, Column, Column]:
-    return F.lit(section), F.lit(key) if isinstance(key, str) else key, value.cast("double")
-
-
-def _table_statistics(data: Dataset) -> DataFrame:
-    """Everything that one aggregate over the features can tell, as long rows.
-
-    With too many numeric columns for one aggregate the correlation is left to
-    :func:`max_abs_corr`.
-    """
+def _table_rows(data: Dataset) -> list[tuple[str, str, float | None]]:
+    """The facts that aggregates over the features tell: a row per fact."""
     df = missing_to_null(data.x)
     names, numeric = list(data.features), numeric_columns(data.x)
-    pairs = list(combinations(numeric, 2))
-    inline = len(pairs) <= PAIRS_PER_PASS
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.abs(_pair_correlation(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs) if inline],
-    )
-    strongest = F.lit(None if numeric else 0.0).cast("double")
-    if pairs and inline:
-        strongest = F.array_max(F.array(*[F.col(f"r{i}") for i in range(len(pairs))]))
-    nulls = [
-        F.struct((-F.col(f"n{i}")).alias("negative"), F.lit(i).alias("position"), F.lit(c).alias("name"))
-        for i, c in enumerate(names)
-    ]
-    worst = F.slice(F.array_sort(F.array(*nulls)), 1, TOP_NULLS)
-    facts = row.select("n", worst.alias("worst"), strongest.alias("strongest"))
-    entries = [
-        _entry("shape", "n_samples", F.col("n")),
-        _entry("shape", "n_features", F.lit(len(names))),
-        _entry("features", "numeric_features", F.lit(len(numeric))),
-        _entry("flags", "needs_scaling", F.lit(1)),
-        _entry("flags", "high_dimensional", (F.col("n") < SAMPLES_PER_FEATURE * len(names)).cast("int")),
-    ]
-    if inline:
-        entries += _correlation_entries(F.col("strongest"))
-    fixed = F.array(*[F.struct(*[v.alias(k) for k, v in zip(_SUMMARY, e)]) for e in entries])
-    top = F.transform(
-        F.col("worst"),
-        lambda w: F.struct(
-            F.lit("na_top10").alias("section"),
-            w["name"].alias("key"),
-            (-w["negative"]).cast("double").alias("value"),
-        ),
-    )
-    return facts.select(F.explode(F.concat(fixed, top)).alias("e")).select("e.*")
-
-
-def _correlation_entries(strongest: Column) -> list[tuple[Column, Column, Column]]:
-    high = F.coalesce((strongest >= HIGH_CORRELATION).cast("int"), F.lit(0))
-    return [
-        _entry("features", "max_abs_corr_offdiag", strongest),
-        _entry("flags", "high_collinearity", high),
+    facts = _column_facts(df, names, numeric)
+    values = [r for _, _, r in _pair_values(df, numeric, facts) if r is not None]
+    strongest = max(values, default=None) if numeric else 0.0
+    worst = sorted(names, key=lambda c: -facts.nulls[c])[:TOP_NULLS]
+    high = strongest is not None and strongest >= HIGH_CORRELATION
+    rows = [
+        ("shape", "n_samples", facts.n),
+        ("shape", "n_features", len(names)),
+        *[("na_top10", c, facts.nulls[c]) for c in worst],
+        ("features", "numeric_features", len(numeric)),
+        ("features", "max_abs_corr_offdiag", strongest),
+        ("flags", "needs_scaling", True),
+        ("flags", "high_dimensional", facts.n < SAMPLES_PER_FEATURE * len(names)),
+        ("flags", "high_collinearity", high),
     ]
+    return [(s, k, None if v is None else float(v)) for s, k, v in rows]
 
 
 def eda_summary(data: Dataset) -> DataFrame:
     """The audit record as long rows ``(section, key, value)``.
 
     Sections: ``shape``, ``na_top10``, ``features``, ``duplicates``,
-    ``y_distribution`` and ``flags`` (1 is true).  Three passes over the needed
-    columns: one aggregate, one duplicate count, one class count.
+    ``y_distribution`` and ``flags`` (1 is true).  Passes over the needed columns:
+    two aggregates, one duplicate count and one class count.
     """
-    parts = [_table_statistics(data)]
-    if len(numeric_columns(data.x)) * (len(numeric_columns(data.x)) - 1) // 2 > PAIRS_PER_PASS:
-        strongest = max_abs_corr(data.x)
-        parts.append(unpivoted(strongest, _SUMMARY, _correlation_entries(F.col("max_abs_corr"))))
+    spark = data.df.sparkSession
+    parts = [spark.createDataFrame(_table_rows(data), SUMMARY_SCHEMA)]
     copies = duplicate_count(data.x)
-    parts.append(unpivoted(copies, _SUMMARY, [_entry("duplicates", "duplicates", F.col("duplicates"))]))
+    parts.append(_summary_rows(copies, "duplicates", F.lit("duplicates"), F.col("duplicates")))
     if data.target is None:
-        absent = [("flags", "class_imbalance", 0.0)]
-        parts.append(
-            data.df.sparkSession.createDataFrame(absent, "section string, key string, value double")
-        )
+        parts.append(spark.createDataFrame([("flags", "class_imbalance", 0.0)], SUMMARY_SCHEMA))
     else:
         classes = class_distribution(data.df, data.target)
-        named = F.col("class").cast("string")
-        parts.append(classes.select(*[v.alias(k) for k, v in zip(_SUMMARY, _entry("y_distribution", named, F.col("share")))]))
+        parts.append(_summary_rows(classes, "y_distribution", F.col("class").cast("string"), F.col("share")))
         top = classes.agg(F.max("share").alias("top"))
         imbalanced = F.coalesce((F.col("top") >= IMBALANCE_SHARE).cast("int"), F.lit(0))
-        parts.append(unpivoted(top, _SUMMARY, [_entry("flags", "class_imbalance", imbalanced)]))
+        parts.append(_summary_rows(top, "flags", F.lit("class_imbalance"), imbalanced))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _summary_rows(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
+    columns = (F.lit(section), key, value.cast("double"))
+    return df.select(*[c.alias(n) for n, c in zip(_SUMMARY, columns)])
+
+
 def audit_flags(data: Dataset) -> DataFrame:
     """Rows ``(flag, raised)`` of the four warning flags."""
     return (

@@ -22,6 +22,10 @@ def _columns(kind: str) -> list[float | None]:
         return [rng.gauss(0, 1e6) for _ in range(3001)]
     if kind == "hot":
         return [7.0] * 1500 + [rng.uniform(0, 20) for _ in range(1500)]
+    if kind == "wide":
+        return [rng.choice((-1, 1)) * 10.0 ** rng.uniform(-4, 5) for _ in range(500)]
+    if kind == "infinite":
+        return [-math.inf] * 100 + [math.inf] * 50 + [rng.gauss(0, 1) for _ in range(850)]
     if kind == "two":
         return [1.0] * 1000 + [2.0] * 1000
     if kind == "holes":
@@ -29,13 +33,13 @@ def _columns(kind: str) -> list[float | None]:
     return [None] * 50
 
 
-@pytest.mark.parametrize("kind", ["spread", "hot", "two", "holes", "empty"])
-@pytest.mark.parametrize("accuracy", [10_000, 50])
-def test_bracketed_quantiles_are_exact(spark, kind, accuracy):
+@pytest.mark.parametrize("kind", ["spread", "hot", "two", "wide", "holes", "empty"])
+@pytest.mark.parametrize("bins", [1024, 8])
+def test_searched_quantiles_are_exact(spark, kind, bins):
     values = _columns(kind)
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
     found = quantiles.exact_quantiles(
-        df, {"x": F.col("x")}, PROBABILITIES, small_values=0, bracket_values=20, accuracy=accuracy
+        df, {"x": F.col("x")}, PROBABILITIES, small_values=0, interval_rows=20, bins=bins
     )["x"]
     present = [v for v in values if v is not None]
     if not present:
@@ -44,13 +48,22 @@ def test_bracketed_quantiles_are_exact(spark, kind, accuracy):
         assert found == pytest.approx(list(np.quantile(present, PROBABILITIES)), rel=1e-12)
 
 
+def test_searched_quantiles_with_infinities(spark):
+    values = _columns("infinite")
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.05, 0.5, 0.99], small_values=0, interval_rows=20)["x"]
+    ordered = sorted(values)
+    assert found[0] == -math.inf and found[2] == math.inf
+    assert found[1] == pytest.approx((ordered[499] + ordered[500]) / 2)
+
+
 def test_small_and_large_quantiles_agree_on_many_columns(spark):
     df = spark.range(2000).select(
         (F.col("id") * 7919 % 1009).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("b")
     )
     columns = {"a": F.col("a"), "b": F.col("b"), "masked": F.when(F.col("a") > 10, F.col("b"))}
     small = quantiles.exact_quantiles(df, columns, PROBABILITIES)
-    large = quantiles.exact_quantiles(df, columns, PROBABILITIES, small_values=0, bracket_values=5)
+    large = quantiles.exact_quantiles(df, columns, PROBABILITIES, small_values=0, interval_rows=5)
     assert small == large
 
 
