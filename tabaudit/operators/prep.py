@@ -11,6 +11,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.ml import Transformer
@@ -211,28 +212,44 @@ def _select(spec: PrepSpec, variances: np.ndarray, scores: Sequence[float | None
 # -- fitting ----------------------------------------------------------------------------
 
 
-def fit_prep_folds(
-    df: DataFrame,
-    features: Sequence[str],
-    spec: PrepSpec,
-    target: str | None,
-    fold: str | None,
-    folds: Sequence[int | None],
-) -> list[FittedPrep]:
-    """For each entry of ``folds`` the steps fitted on the rows outside that fold.
+class PrepStatistics:
+    """Statistics of all training sets, taken once and shared by the specs fitted from them.
 
-    ``[None]`` fits once, on all rows.
+    An entry of ``folds`` is the fold that its training set leaves out; ``None``
+    stands for all rows.  Medians and moments are computed when first needed.
     """
-    df = missing_to_null(df)
-    medians = _fold_medians(df, features, fold, folds) if spec.imputer == "simple" else {}
-    by = [c for c in (fold, target if spec.needs_f else None) if c is not None]
-    cells = _collect_cells(df, features, by, fold, target if spec.needs_f else None)
-    fitted = []
-    for held_out in folds:
-        train = [c for c in cells if held_out is None or c.fold != held_out]
-        names = list(features)
+
+    def __init__(
+        self,
+        df: DataFrame,
+        features: Sequence[str],
+        target: str | None,
+        fold: str | None,
+        folds: Sequence[int | None],
+    ) -> None:
+        self.df, self.features, self.target = missing_to_null(df), list(features), target
+        self.fold, self.folds = fold, list(folds)
+
+    @cached_property
+    def _medians(self) -> dict[tuple[int | None, str], float | None]:
+        return _fold_medians(self.df, self.features, self.fold, self.folds)
+
+    @cached_property
+    def _cells(self) -> list[_Cell]:
+        by = [c for c in (self.fold, self.target) if c is not None]
+        return _collect_cells(self.df, self.features, by, self.fold, self.target)
+
+    def fit(self, spec: PrepSpec) -> dict[int | None, FittedPrep]:
+        """The steps of ``spec`` fitted on each training set."""
+        if spec.needs_f and self.target is None:
+            raise ValueError("selection by F needs a target")
+        return {held_out: self._fit_one(spec, held_out) for held_out in self.folds}
+
+    def _fit_one(self, spec: PrepSpec, held_out: int | None) -> FittedPrep:
+        names = self.features
+        train = [c for c in self._cells if held_out is None or c.fold != held_out]
         if spec.imputer == "simple":
-            found = [medians[(held_out, c)] for c in features]
+            found = [self._medians[(held_out, c)] for c in names]
             filler = np.array([0.0 if m is None else m for m in found])
             parts = [c.imputed(filler) for c in train]
             # A feature without any value cannot be imputed and is left out.
@@ -255,17 +272,29 @@ def fit_prep_folds(
         if spec.scaler == "standard":
             variances = np.where(constant, 0.0, 1.0)
         kept = [usable[i] for i in _select(spec, variances[usable], [scores[i] for i in usable])]
-        fitted.append(
-            FittedPrep(
-                features=tuple(names[i] for i in kept),
-                medians={names[i]: found[i] for i in kept if found[i] is not None},
-                means={names[i]: float(total.mean[i]) for i in kept} if spec.scaler == "standard" else {},
-                scales={names[i]: float(scale[i]) for i in kept} if spec.scaler == "standard" else {},
-                scores={n: scores[i] for i, n in enumerate(names)},
-                n_rows=sum(c.rows for c in train),
-            )
+        scaled = kept if spec.scaler == "standard" else []
+        return FittedPrep(
+            features=tuple(names[i] for i in kept),
+            medians={names[i]: found[i] for i in kept if found[i] is not None},
+            means={names[i]: float(total.mean[i]) for i in scaled},
+            scales={names[i]: float(scale[i]) for i in scaled},
+            scores={n: scores[i] for i, n in enumerate(names)},
+            n_rows=sum(c.rows for c in train),
         )
-    return fitted
+
+
+def fit_prep_folds(
+    df: DataFrame,
+    features: Sequence[str],
+    spec: PrepSpec,
+    target: str | None,
+    fold: str | None,
+    folds: Sequence[int | None],
+) -> list[FittedPrep]:
+    """For each entry of ``folds`` the steps fitted on the rows outside that fold."""
+    wanted = target if spec.needs_f else None
+    fitted = PrepStatistics(df, features, wanted, fold, folds).fit(spec)
+    return [fitted[f] for f in folds]
 
 
 def _fold_medians(

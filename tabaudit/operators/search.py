@@ -31,10 +31,10 @@ from tabaudit.operators.prep import (
     MAX_CLASSES,
     FittedPrep,
     PrepSpec,
+    PrepStatistics,
     centred,
     components_kept,
     fit_pca,
-    fit_prep_folds,
 )
 from tabaudit.operators.smote import smote
 from tabaudit.operators.splits import stratified_folds, stratified_holdout
@@ -232,7 +232,7 @@ def cross_validate(
     spec: ModelSpec,
     candidates: Sequence[Candidate],
     folded: DataFrame,
-    features: Sequence[str],
+    statistics: PrepStatistics,
     n_classes: int,
     cv: CvPlan,
 ) -> DataFrame:
@@ -240,7 +240,7 @@ def cross_validate(
     if spec.estimator == THRESHOLD:
         scored = _threshold_scores(spec, candidates, folded)
     else:
-        preps = fit_prep_folds(folded, features, spec.prep, _LABEL, _FOLD, list(range(cv.folds)))
+        preps = statistics.fit(spec.prep)
 
         def fold_scores(i: int) -> DataFrame:
             train, test = folded.filter(F.col(_FOLD) != i), folded.filter(F.col(_FOLD) == i)
@@ -248,7 +248,7 @@ def cross_validate(
             return _scored_candidates(spec, fitted, test, n_classes).withColumn(_FOLD, F.lit(i))
 
         # Folds wait for their fits in threads of their own, so the pool cannot block.
-        at_once = cv.folds if _is_small(preps[0].n_rows, len(features)) else 1
+        at_once = cv.folds if _is_small(preps[0].n_rows, len(statistics.features)) else 1
         with ThreadPoolExecutor(PARALLEL_FITS) as pool, ThreadPoolExecutor(at_once) as waiting:
             scored = reduce(DataFrame.unionByName, waiting.map(fold_scores, range(cv.folds)))
     # Every metric reads the scores, and the models would run again for each.
@@ -283,9 +283,14 @@ def grid_search(data: Dataset, spec: ModelSpec, cv: CvPlan, refit: bool = True)
     return compare(data, [spec], cv, refit)[0]
 
 
+def fold_statistics(folded: DataFrame, features: Sequence[str], cv: CvPlan) -> PrepStatistics:
+    """Statistics of each training set and of all rows, shared by every spec."""
+    return PrepStatistics(folded, features, _LABEL, _FOLD, [*range(cv.folds), None])
+
+
 def _search(
     folded: DataFrame,
-    features: Sequence[str],
+    statistics: PrepStatistics,
     n_classes: int,
     spec: ModelSpec,
     candidates: Sequence[Candidate],
@@ -294,14 +299,14 @@ def _search(
 ) -> SearchResult:
     start = time.time()
     # Candidates x folds x metrics rows: small, and read by all that follows.
-    scores = cross_validate(spec, candidates, folded, features, n_classes, cv)
+    scores = cross_validate(spec, candidates, folded, statistics, n_classes, cv)
     cv_scores = materialize(scores.coalesce(1), "cv")
     ranking = rank_candidates(cv_scores)
     best = ranking.filter(F.col("metric") == cv.refit).orderBy("rank", "cand_id").first()
     winner = next(c for c in candidates if c.cand_id == best["cand_id"])
     model = None
     if refit and spec.estimator != THRESHOLD:
-        model = refit_on_all(spec, winner, folded, features, n_classes, cv.seed).full()
+        model = refit_on_all(spec, winner, folded, statistics, n_classes, cv.seed).full()
     elapsed = time.time() - start
     return SearchResult(
         spec.name, candidates, cv_scores, ranking, winner, best["mean"], cv.refit, elapsed, model
@@ -309,9 +314,14 @@ def _search(
 
 
 def refit_on_all(
-    spec: ModelSpec, winner: Candidate, rows: DataFrame, features: Sequence[str], n_classes: int, seed: int
+    spec: ModelSpec,
+    winner: Candidate,
+    rows: DataFrame,
+    statistics: PrepStatistics,
+    n_classes: int,
+    seed: int,
 ) -> _FittedFold:
-    prep = fit_prep_folds(rows, features, spec.prep, _LABEL, None, [None])[0]
+    prep = statistics.fit(spec.prep)[None]
     with ThreadPoolExecutor(1) as pool:
         return _fit_fold(spec, [winner], prep, rows, n_classes, seed, pool)
 
@@ -337,7 +347,8 @@ def compare(
         return []
     rows, features, n_classes = labelled(data)
     folded = fold_table(rows, cv)
-    return [_search(folded, features, n_classes, s, s.candidates(), cv, refit) for s in specs]
+    statistics = fold_statistics(folded, features, cv)
+    return [_search(folded, statistics, n_classes, s, s.candidates(), cv, refit) for s in specs]
 
 
 def leaderboard(results: Sequence[SearchResult], spark: Any) -> DataFrame:
@@ -402,16 +413,17 @@ def model_search(
     rows, features, n_classes = labelled(data)
     split = materialize(stratified_holdout(rows, _LABEL, _KEY, seed=seed), "holdout", ["is_test"])
     folded = fold_table(split.filter(~F.col("is_test")).drop("is_test"), cv)
+    statistics = fold_statistics(folded, features, cv)
     test = split.filter("is_test").drop("is_test")
     deadline = None if max_seconds is None else time.time() + max_seconds
     results: list[tuple[ModelSpec, SearchResult]] = []
     for spec in random_specs(max_candidates, seed):
         if results and deadline is not None and time.time() > deadline:
             break
-        found = _search(folded, features, n_classes, spec, spec.candidates(), cv, refit=False)
+        found = _search(folded, statistics, n_classes, spec, spec.candidates(), cv, refit=False)
         results.append((spec, found))
     spec, best = max(results, key=lambda r: r[1].best_score)
-    fitted = refit_on_all(spec, best.best, folded, features, n_classes, seed)
+    fitted = refit_on_all(spec, best.best, folded, statistics, n_classes, seed)
     scored = _scored_candidates(spec, fitted, test, n_classes)
     model = fitted.full()
     holdout = cv.metrics[cv.refit](scored, ()).first()["value"]

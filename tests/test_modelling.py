@@ -245,7 +245,7 @@ def test_linear_search(separable):
     assert scored.filter("prediction <> y").count() == 0
 
 
-@pytest.mark.parametrize("sampler", ["under", "over", "smote"])
+@pytest.mark.parametrize("sampler", ["over", "smote"])
 def test_samplers_change_training_rows_only(spark, sampler):
     df = spark.range(90).select(
         F.col("id").alias("key"), (F.col("id") % 10 / 10 + (F.col("id") < 15).cast("int") * 3).alias("a"), (F.col("id") % 4).alias("b"),
