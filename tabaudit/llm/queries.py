@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabaudit.functions.storage import scratch_path
-from tabaudit.llm import packing, sequence_files, token_histogram
+from tabaudit.llm import byte_bpe, multiset_hash, packing, sequence_files, token_histogram
 from tabaudit.llm.catalog import query
 from tabaudit.llm.tokens import vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,24 @@ def op4_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_files.read_documents(sequence_files.write_sequences(docs, folder, vocabulary(WORD_VOCABULARY), end_id=2))
 
 
+@query("op5_multiset_fingerprints")
+def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary(BYTE_RANKS)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    spelled = byte_bpe.id_text(byte_bpe.decode(encoded, ranks))
+    return spelled.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded_bytes", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
