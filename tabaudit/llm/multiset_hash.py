@@ -37,6 +37,7 @@ from tabaudit.llm.frames import decoded, id_type, map_texts, shuffle_partitions,
 IDENTITY_LANES = 8
 LIKENESS_LANES = 128
 WINDOW = 8  # bytes, one 64-bit integer
+BLOCK = 1 << 20
 
 _SPREAD, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -44,12 +45,15 @@ _SPREAD, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 def _lane_counts(paragraph: bytes) -> np.ndarray:
     """How many windows of the paragraph fall on each lane with plus, then with minus."""
     padded = np.frombuffer(paragraph.ljust(WINDOW, b"\0"), np.uint8)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
-    with np.errstate(over="ignore"):
-        hashes = np.ascontiguousarray(windows).view("<u8").ravel() * _SPREAD
-        hashes = (hashes ^ (hashes >> np.uint64(32))) * _STIR
-    slots = (hashes >> np.uint64(64 - (2 * LIKENESS_LANES).bit_length() + 1)).astype(np.int64)
-    return np.bincount(slots, minlength=2 * LIKENESS_LANES)
+    found = np.zeros(2 * LIKENESS_LANES, np.int64)
+    for at in range(0, len(padded) - WINDOW + 1, BLOCK):  # a long paragraph in parts, to bound memory
+        windows = np.lib.stride_tricks.sliding_window_view(padded[at : at + BLOCK + WINDOW - 1], WINDOW)
+        with np.errstate(over="ignore"):
+            hashes = np.ascontiguousarray(windows).view("<u8").ravel() * _SPREAD
+            hashes = (hashes ^ (hashes >> np.uint64(32))) * _STIR
+        slots = (hashes >> np.uint64(64 - (2 * LIKENESS_LANES).bit_length() + 1)).astype(np.int64)
+        found += np.bincount(slots, minlength=2 * LIKENESS_LANES)
+    return found
 
 
 class Fingerprint:

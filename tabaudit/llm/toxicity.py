@@ -40,7 +40,7 @@ LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
 THRESHOLD = 0.3
 # Savings in bytes from which a window counts in the features.
-FIRST, STRONG = 2, 5
+FIRST, STRONG = 1, 5
 
 
 @dataclass(frozen=True)
@@ -115,9 +115,10 @@ def _grams(words: set[bytes]) -> set[bytes]:
     return found
 
 
-def toxic_stretches(toxic: list[str], ordinary: list[str], least_docs: int = 8, contrast: float = 3.0) -> list[bytes]:
+def toxic_stretches(toxic: list[str], ordinary: list[str], contrast: float = 3.0) -> list[bytes]:
     """Stretches of words in toxic texts covered by sequences that far more toxic than ordinary documents have."""
     seen = Counter(g for text in toxic for g in _grams(set(words_of(text))))
+    least_docs = min(8, max(4, len(toxic) // 40))
     often = {g for g, n in seen.items() if n >= least_docs}
     other = Counter(g for text in ordinary for g in _grams(set(words_of(text))) & often)
     share = len(ordinary) / len(toxic)
