@@ -17,6 +17,7 @@ Nulls and empty texts have no ids; unknown ids in ``decode`` raise.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tabaudit.functions.columns import col
-from tabaudit.llm.frames import decoded, id_type, map_texts
+from tabaudit.llm.frames import decoded, id_type, map_texts, sliced
 from tabaudit.llm.tokens import Kept, byte_characters, packed
 
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 200_000
 
 # A space inside or at the end of a longer run of white space does not begin a match;
 # Python counts four separators as white space that the pattern does not.
@@ -109,7 +110,7 @@ class ByteBpe:
         return first + b"".join(map(self.chunks.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return joined(self.tokens, ids)
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First and one-past-last character of each token.
@@ -125,6 +126,15 @@ class ByteBpe:
         return character[first], character[last] + 1
 
 
+def joined(tokens: list[bytes], ids: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    return read_ranks(path)
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str | None = None) -> ByteBpe:
     return ByteBpe(path, pattern)
@@ -137,14 +147,18 @@ def encode(
     id_column: str = "doc_id",
     text_column: str = "text",
     with_offsets: bool = False,
+    with_digest: bool = False,
 ) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` (binary) and, if wanted, ``starts`` and ``ends`` in characters."""
+    """``doc_id``, ``n_tokens``, ``ids`` (binary) and, if wanted, ``starts`` and ``ends`` in characters.
+
+    ``with_digest`` adds ``ids_sha256``, the hash of the decimal ids joined by one space.
+    """
     schema = f"doc_id {id_type(docs, id_column)}, n_tokens long, ids binary"
-    schema += ", starts array<long>, ends array<long>" * with_offsets
+    schema += ", starts array<long>, ends array<long>" * with_offsets + ", ids_sha256 string" * with_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [decoded(t) for t in batch.column(1).to_pylist()]
             ids = [bpe.encode(t) for t in texts]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
@@ -153,34 +167,28 @@ def encode(
                 found = [bpe.offsets(t, x) for t, x in zip(texts, ids)]
                 columns += [pa.array([list(f[k]) for f in found], pa.list_(pa.int64())) for k in (0, 1)]
                 names += ["starts", "ends"]
+            if with_digest:
+                columns.append(pa.array([_digest(x) for x in ids], pa.string()))
+                names.append("ids_sha256")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_texts(docs, id_column, text_column, run, schema)
 
 
+def _digest(ids: bytes) -> str:
+    return hashlib.sha256(" ".join(map(str, np.frombuffer(ids, "<u4").tolist())).encode()).hexdigest()
+
+
 def decode(rows: DataFrame, path: str, ids_column: str = "ids") -> DataFrame:
     """Add ``decoded_bytes`` to rows with packed ids; keeps every other column."""
     names = [c for c in rows.columns if c != "decoded_bytes"]
     schema = rows.select(*[col(c) for c in names]).schema.add("decoded_bytes", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
+        tokens = token_bytes(path)
         at = names.index(ids_column)
-        for batch in batches:
-            found = [bpe.decode(x or b"") for x in batch.column(at).to_pylist()]
+        for batch in sliced(batches):
+            found = [joined(tokens, x or b"") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*names, "decoded_bytes"])
 
     return rows.select(*[col(c) for c in names]).mapInArrow(run, schema)
-
-
-def id_text(rows: DataFrame, ids_column: str = "ids", name: str = "ids_text") -> DataFrame:
-    """Replace packed ids by decimal ids joined by one space."""
-    names = [c for c in rows.columns if c not in (ids_column, name)]
-    schema = rows.select(*[col(c) for c in names]).schema.add(name, "string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [" ".join(map(str, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], names=[*names, name])
-
-    return rows.select(col(ids_column), *[col(c) for c in names]).mapInArrow(run, schema)

@@ -31,11 +31,11 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, function: Calla
     return docs.select(col(id_column), text_bytes(text_column)).mapInArrow(function, schema)
 
 
-def record_batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, types[n]) for n, c in columns.items()],
-        names=list(columns),
-    )
+def sliced(batches: Batches, rows: int = 1000) -> Batches:
+    """The same rows in batches of at most ``rows``, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def id_type(docs: DataFrame, name: str) -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tabaudit.functions.columns import col
-from tabaudit.llm.frames import decoded, id_type, text_bytes
+from tabaudit.llm.frames import decoded, id_type, sliced, text_bytes
 
 SIGMA = 1.0
 RADIUS = 2
@@ -243,7 +243,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """``page_id``, ``url``, ``text``, ``n_chars`` of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(decoded(h)) for h in batch.column(2).to_pylist()]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
             columns.append(pa.array([len(t) for t in texts], pa.int64()))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
 from tabaudit.functions.ranking import with_bucket
-from tabaudit.llm.frames import decoded, id_type, map_texts, shuffle_partitions, text_bytes
+from tabaudit.llm.frames import decoded, id_type, map_texts, shuffle_partitions, sliced, text_bytes
 
 IDENTITY_LANES = 8
 LIKENESS_LANES = 128
@@ -120,7 +120,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``doc_id``, ``fingerprint`` of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [Fingerprint.of(decoded(t)).to_text() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
@@ -182,7 +182,7 @@ def compare_with_edit(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, before, mark = None, "", Fingerprint()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for at, own, doc_id, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 text = decoded(raw)

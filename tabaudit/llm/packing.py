@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
 from tabaudit.functions.storage import materialize
-from tabaudit.llm.frames import decoded, hash_cell, id_type, map_texts, shuffle_partitions
+from tabaudit.llm.frames import decoded, hash_cell, id_type, map_texts, shuffle_partitions, sliced
 from tabaudit.llm.tokens import encoder, packed
 
 CAPACITY = 2048
@@ -194,7 +194,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), packed([end_id])
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in sliced(batches):
             owner, rows, blobs = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(decoded(text)) + end

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabaudit.functions.storage import scratch_path
 from tabaudit.llm import (
     byte_bpe,
     decision_list,
+    html_text,
     multiset_hash,
     packing,
     sequence_files,
+    signature_join,
     token_histogram,
     toxicity,
+    warc,
 )
 from tabaudit.llm.catalog import query
 from tabaudit.llm.tokens import vocabulary
@@ -37,6 +41,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary(WORD_VOCABULARY), capacity=2048, end_id=0)
 
 
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 @query("op4_sequence_files")
 def op4_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -52,16 +61,116 @@ def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(BYTE_RANKS)
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    spelled = byte_bpe.id_text(byte_bpe.decode(encoded, ranks))
-    return spelled.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded_bytes", 256).alias("decoded_sha256"),
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, with_digest=True)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded_bytes", 256).alias("decoded_sha256")
     )
 
 
+def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records for each page: its full response, and a later not-modified answer under another spelling of its URL.
+
+    Every fifth answer has another entity tag, every seventh has only a date, every eleventh
+    came before all responses, and every thirteenth has no validator.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
+    number, digest = F.col("page_id"), F.col("digest")
+
+    def tag(value: Column) -> Column:
+        return F.concat(F.lit('"'), value, F.lit('"'))
+
+    full = pages.select(
+        (2 * number).alias("record_id"),
+        "url",
+        F.lit("response").alias("kind"),
+        (10 * number).alias("captured_at"),
+        tag(digest).alias("etag"),
+        F.concat(F.lit("day "), number % 365).alias("last_modified"),
+        F.create_map(
+            F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag(digest), F.lit("date"), (10 * number).cast("string"),
+            F.lit("cache-control"), F.lit("max-age=60"),
+        ).alias("headers"),
+    )
+    later = F.when(number % 11 == 0, F.lit(-1)).otherwise(10 * number + 3 + number % 1000)
+    answer_tag = (
+        F.when((number % 13 == 0) | (number % 7 == 0), F.lit(None).cast("string"))
+        .when(number % 5 == 0, tag(F.reverse(digest)))
+        .otherwise(F.concat(F.lit("W/"), tag(digest)))
+    )
+    answer_date = F.when(number % 13 != 0, F.concat(F.lit("day "), number % 365))
+    answers = pages.select(
+        (2 * number + 1).alias("record_id"),
+        F.when(number % 3 == 0, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again"))).otherwise(F.regexp_replace("url", "^https?", "HTTPS")).alias("url"),
+        F.lit("revisit").alias("kind"),
+        later.alias("captured_at"),
+        answer_tag.alias("etag"),
+        answer_date.alias("last_modified"),
+        F.create_map(
+            F.lit("content-type"), F.lit("application/http"), F.lit("content-length"), F.lit("0"), F.lit("date"), later.cast("string"),
+            F.lit("cache-control"), F.lit("max-age=90"),
+        ).alias("headers"),
+    )
+    return full.unionByName(answers)
+
+
+# The same records and rules in SQL; headers are compared by the fields that the records have.
+OP7_SQL = """
+with p as (select page_id as n, url, md5(coalesce(html, '')) as digest from pages),
+records as (
+  select 2 * n as record_id, url, 'response' as kind, 10 * n as captured_at, '"' || digest || '"' as etag,
+    'day ' || (n % 365) as last_modified from p
+  union all
+  select 2 * n + 1,
+    case when n % 3 = 0 then regexp_replace(url, '#.*$', '') || '#again' else regexp_replace(url, '^https?', 'HTTPS') end,
+    'revisit', case when n % 11 = 0 then -1 else 10 * n + 3 + n % 1000 end,
+    case when n % 13 = 0 or n % 7 = 0 then null when n % 5 = 0 then '"' || reverse(digest) || '"' else 'W/"' || digest || '"' end,
+    case when n % 13 <> 0 then 'day ' || (n % 365) end
+  from p),
+plain as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') as u from records),
+parts as (
+  select *, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', '') as host,
+    regexp_replace(u, '^[^/?]*', '') as rest from plain),
+cut as (
+  select *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') as path,
+    regexp_replace(regexp_replace(regexp_extract(rest, '[?](.*)$', 1), '(^|&)(utm_[a-z_]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') as q
+  from parts),
+named as (select *, host || path || case when q <> '' then '?' || q else '' end as canonical_url from cut),
+best as (
+  select v.record_id, max((r.captured_at, r.record_id)) as m
+  from named v join named r on v.canonical_url = r.canonical_url and r.captured_at < v.captured_at
+  where v.kind = 'revisit' and r.kind = 'response' group by 1),
+matched as (
+  select v.record_id as revisit_id, v.canonical_url, v.captured_at, r.record_id as response_id, r.captured_at as response_at,
+    r.etag as response_etag,
+    coalesce(regexp_replace(v.etag, '^W/', '') = regexp_replace(r.etag, '^W/', ''), v.last_modified = r.last_modified) as agree
+  from named v left join best b on b.record_id = v.record_id
+  left join named r on r.kind = 'response' and r.record_id = b.m[2]
+  where v.kind = 'revisit')
+select revisit_id, canonical_url, captured_at, coalesce(response_id, -1) as response_id, coalesce(response_at, -1) as response_at,
+  case when response_id is null then 'no earlier response' when agree is null then 'unverified' when agree then 'resolved' else 'validator mismatch' end as status,
+  case when agree then 'text/html' else 'application/http' end as content_type,
+  case when agree then response_etag end as etag, cast(captured_at as varchar) as date, 'max-age=90' as cache_control,
+  case when not coalesce(agree, false) then '0' end as content_length
+from matched
+"""
+
+
+@query("op7_revisit_resolution", OP7_SQL)
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(crawl_records(spark, sf_dir))
+    fields = ("content-type", "etag", "date", "cache-control", "content-length")
+    return found.select(
+        "revisit_id", "canonical_url", "captured_at", "status",
+        *[F.coalesce(F.col(name), F.lit(-1)).alias(name) for name in ("response_id", "response_at")],
+        *[F.col("headers")[name].alias(name.replace("-", "_")) for name in fields],
+    )
+
+
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -71,3 +180,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_histogram.suffix_sums(token_histogram.length_histogram(docs, vocabulary(WORD_VOCABULARY)))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

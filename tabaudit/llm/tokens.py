@@ -20,7 +20,7 @@ from struct import Struct
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabaudit.llm.frames import decoded, text_bytes
+from tabaudit.llm.frames import decoded, sliced, text_bytes
 
 # Two generations of as many words and pieces are kept in each Python worker.
 KEPT_WORDS = 400_000
@@ -145,7 +145,7 @@ def token_counts(docs: DataFrame, path: str, text_column: str = "text") -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             counts = [len(encode(decoded(t))) // 4 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
 
