@@ -41,10 +41,10 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 class SequenceWriter:
     """Stream ids of one shard into sequences of equal length."""
 
-    def __init__(self, path: str, attempt: str, length: int, dtype: np.dtype) -> None:
+    def __init__(self, path: str, attempt: str, length: int, dtype: np.dtype, per_batch: int = SEQUENCES_PER_BATCH) -> None:
         self.files, self.path = _opened(path)
         self.files.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.length, self.dtype = length, np.dtype(dtype)
+        self.length, self.dtype, self.per_batch = length, np.dtype(dtype), per_batch
         self.temporary = {kind: f"{self.path}.{kind}.{attempt}.part" for kind in ("sequences", "documents")}
         lists = pa.list_(pa.from_numpy_dtype(self.dtype), length), pa.list_(pa.bool_(), length)
         schemas = {
@@ -64,14 +64,14 @@ class SequenceWriter:
         self.n_waiting += len(ids)
         self.n_tokens += len(ids)
         self.n_docs += 1
-        if self.n_waiting >= self.length * SEQUENCES_PER_BATCH:
+        if self.n_waiting >= self.length * self.per_batch:
             self._flush(False)
         if len(self.rows) >= 10_000:
             self._flush_documents()
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, self.dtype)
-        step = self.length * SEQUENCES_PER_BATCH
+        step = self.length * self.per_batch
         done = 0
         while len(ids) - done >= step or last and done < len(ids):
             part = ids[done : done + step]
@@ -109,6 +109,8 @@ class SequenceFile:
             pa.ipc.open_file(self._source(files, f"{self.path}.{kind}.arrow")) for kind in ("sequences", "documents")
         )
         self.length = self.sequences.schema.field("input_ids").type.list_size
+        # All batches but the last have as many sequences as the first.
+        self.per_batch = self.sequences.get_batch(0).num_rows if self.sequences.num_record_batches else 1
 
     @staticmethod
     def _source(files: fs.FileSystem, name: str):
@@ -116,17 +118,19 @@ class SequenceFile:
 
     def __getitem__(self, index: int) -> tuple[np.ndarray, pa.Array]:
         """Ids and mask of one sequence of the shard."""
-        batch = self.sequences.get_batch(index // SEQUENCES_PER_BATCH)
-        row = index % SEQUENCES_PER_BATCH
-        if not 0 <= row < batch.num_rows:
+        at, row = divmod(index, self.per_batch)
+        if not 0 <= at < self.sequences.num_record_batches:
+            raise IndexError(index)
+        batch = self.sequences.get_batch(at)
+        if row >= batch.num_rows:
             raise IndexError(index)
         ids, mask = (batch.column(i).slice(row, 1).flatten() for i in (0, 1))
         return ids.to_numpy(zero_copy_only=True), mask
 
-    def each_document(self) -> Iterator[tuple[int | None, int, Iterator[np.ndarray]]]:
-        """Id, start in the shard and ids (in parts, as batches end) of each document."""
+    def each_document(self) -> Iterator[tuple[int | None, int, int, Iterator[np.ndarray]]]:
+        """Id, start in the shard, length and ids (in parts, as batches end) of each document."""
         held, first, values = -1, 0, np.zeros(0, np.uint16)
-        step = self.length * SEQUENCES_PER_BATCH
+        step = self.length * self.per_batch
 
         def parts(start: int, n: int) -> Iterator[np.ndarray]:
             nonlocal held, first, values
@@ -150,6 +154,7 @@ def write_sequences(
     path: str,
     end_id: int,
     sequence_length: int = SEQUENCE_LENGTH,
+    sequences_per_batch: int = SEQUENCES_PER_BATCH,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -168,7 +173,7 @@ def write_sequences(
         name = f"{folder}/shard-{task.partitionId():06d}"
         for batch in batches:
             if writer is None and batch.num_rows:
-                writer = SequenceWriter(name, str(task.taskAttemptId()), sequence_length, dtype)
+                writer = SequenceWriter(name, str(task.taskAttemptId()), sequence_length, dtype, sequences_per_batch)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 writer.add(doc_id, np.frombuffer(encode(decoded(text)) + end, "<u4"))
         if writer is not None:

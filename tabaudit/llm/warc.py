@@ -14,8 +14,8 @@ moves through the windows; validators and headers are fetched by record id after
 Columns of the records: ``record_id``, ``url``, ``kind`` (``response`` or ``revisit``), ``captured_at`` (a number),
 ``etag``, ``last_modified``, ``headers`` (map, lower-case names).  Defined results: a null url or time matches nothing
 (``no earlier response``); of responses with the same time the one with the highest id counts; equal times are
-not earlier; without a common validator the status is ``unverified``.  Other columns are ignored and an
-empty table gives no rows.
+not earlier; without a common validator the status is ``unverified``.  Records of no or another kind and other columns
+are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def canonical_url(url: Column) -> Column:
 
 def latest_earlier(records: DataFrame) -> DataFrame:
     """``record_id``, ``canonical_url``, ``captured_at`` of every revisit with the ``response_id`` of its as-of match."""
-    rows = records.select(
+    rows = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("captured_at").cast("long").alias("captured_at"),
         (F.col("kind") == "response").alias("full"),
     )
@@ -69,7 +69,7 @@ def latest_earlier(records: DataFrame) -> DataFrame:
     matched = found.join(carried, ["canonical_url", "cell"], "left").select(
         "record_id", "canonical_url", "captured_at", F.coalesce("here", "carried")["record_id"].alias("response_id")
     )
-    unable = rows.where(~F.coalesce("full", F.lit(False)) & (F.col("canonical_url").isNull() | F.col("captured_at").isNull()))
+    unable = rows.where(~F.col("full") & (F.col("canonical_url").isNull() | F.col("captured_at").isNull()))
     return matched.unionByName(unable.select("record_id", "canonical_url", "captured_at", F.lit(None).cast("long").alias("response_id")))
 
 
