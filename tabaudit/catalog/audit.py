@@ -12,6 +12,7 @@ from tabaudit.catalog import query
 from tabaudit.catalog.fixtures import (
     DIRTY_ORDERS_SQL,
     EMBEDDING_ROWS_SQL,
+    EMBEDDING_SIZE,
     LINEITEM_FEATURES,
     audit_lineitem,
     dirty_orders,
@@ -106,6 +107,31 @@ def corr_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.corr_pairs(emb_binary(spark, sf_dir).x), 6, "abs_corr")
 
 
+@query(
+    f"""
+    with {EMBEDDING_ROWS_SQL},
+    holed as (
+      select vec_id, i, case when i % 4 = 0 and (vec_id + i) % 7 = 3 then null when i % 5 = 1 then x * 1e-8 else x end as x from entries)
+    select 'x' || a.i as column_a, 'x' || b.i as column_b, round(abs(corr(a.x, b.x)), 6) as abs_corr
+    from holed a join holed b on a.vec_id = b.vec_id and a.i < b.i
+    where a.x is not null and b.x is not null
+    group by a.i, b.i
+    """
+)
+def corr_pairs_holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen columns with nulls, others scaled to 1e-8."""
+    x = emb_binary(spark, sf_dir).df
+    columns = []
+    for i in range(EMBEDDING_SIZE):
+        value = F.col(f"x{i}")
+        if i % 5 == 1:
+            value = value * 1e-8
+        if i % 4 == 0:
+            value = F.when((F.col("vec_id") + i) % 7 != 3, value)
+        columns.append(value.alias(f"x{i}"))
+    return rounded(audit.corr_pairs(x.select(*columns)), 6, "abs_corr")
+
+
 @query(f"select round(max(abs_corr), 6) as max_abs_corr from ({_PAIRS_SQL}) p")
 def max_abs_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.max_abs_corr(audit_lineitem(spark, sf_dir).x), 6, "max_abs_corr")

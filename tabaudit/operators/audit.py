@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,7 @@ from tabaudit.functions.columns import (
     stacked,
     unpivoted,
 )
+from tabaudit.functions.storage import materialize
 from tabaudit.operators.clean import duplicate_count
 
 # Thresholds of the audit.
@@ -31,9 +32,6 @@ IMBALANCE_SHARE = 0.8
 SAMPLES_PER_FEATURE = 5
 TOP_NULLS = 10
 
-# Pairs in one aggregate: far more would not be compiled.
-PAIRS_PER_PASS = 120
-
 
 def shape(data: Dataset) -> DataFrame:
     return data.df.agg(
@@ -130,7 +128,13 @@ def analyze_raw(
 
 # -- correlation ------------------------------------------------------------------------
 
-PAIR_SCHEMA = "column_a string, column_b string, abs_corr double"
+# Columns whose sums one task holds at once: 64 * (2 * COLUMN_BLOCK)**2 bytes.
+COLUMN_BLOCK = 512
+ROW_BLOCK = 4096
+
+_SUMS = ("n", "u", "v", "uu", "vv", "uv")
+_EXTENTS = ("low_u", "high_u", "low_v", "high_v")
+_PAIR_SUMS = "i int, j int, " + ", ".join(f"{c} double" for c in (*_SUMS, *_EXTENTS))
 
 
 @dataclass(frozen=True)
@@ -140,7 +144,7 @@ class _ColumnFacts:
     n: int
     nulls: dict[str, int]
     mean: dict[str, float | None]
-    constant: dict[str, bool]
+    extent: dict[str, float]
 
 
 def _column_facts(df: DataFrame, names: Sequence[str], numeric: Sequence[str]) -> _ColumnFacts:
@@ -149,92 +153,127 @@ def _column_facts(df: DataFrame, names: Sequence[str], numeric: Sequence[str]) -
     asked += [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]
     for i, c in enumerate(numeric):
         v = col(c).cast("double")
-        asked += [F.avg(v).alias(f"m{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
+        asked += [F.avg(v).alias(f"m{i}"), (F.max(v) - F.min(v)).alias(f"e{i}")]
     row = df.agg(*asked).first()
     return _ColumnFacts(
         row["n"],
         {c: row["n"] - row[f"n{i}"] for i, c in enumerate(names)},
         {c: row[f"m{i}"] for i, c in enumerate(numeric)},
-        {c: row[f"a{i}"] == row[f"b{i}"] for i, c in enumerate(numeric)},
+        {c: row[f"e{i}"] or 0.0 for i, c in enumerate(numeric)},
     )
 
 
-def _block_correlation(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], facts: _ColumnFacts
-) -> list[tuple[str, str, float | None]]:
-    """Absolute Pearson of each pair from sums of centred products, in one aggregate.
+class _PairSums:
+    """Sums over the rows where both columns of a pair are present, for all pairs at once."""
+
+    def __init__(self, p: int) -> None:
+        self.n, self.u, self.uu, self.uv = (np.zeros((p, p)) for _ in range(4))
+        # Entry (i, j) is the extent of column i over the rows where j is present.
+        self.low, self.high = np.full((p, p), np.inf), np.full((p, p), -np.inf)
+
+    def add(self, x: np.ndarray) -> None:
+        present = ~np.isnan(x)
+        mask, z = present.astype(float), np.where(present, x, 0.0)
+        self.n += mask.T @ mask
+        self.u += z.T @ mask
+        self.uu += (z * z).T @ mask
+        self.uv += z.T @ z
+        low, high = np.where(present, x, np.inf), np.where(present, x, -np.inf)
+        whole = present.all(0)
+        self.low[:, whole] = np.minimum(self.low[:, whole], low.min(0)[:, None])
+        self.high[:, whole] = np.maximum(self.high[:, whole], high.max(0)[:, None])
+        for j in np.flatnonzero(~whole):
+            rows = present[:, j]
+            if rows.any():
+                self.low[:, j] = np.minimum(self.low[:, j], low[rows].min(0))
+                self.high[:, j] = np.maximum(self.high[:, j], high[rows].max(0))
+
+    def batch(self, names: Sequence[int], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        values = (self.n[i, j], self.u[i, j], self.u[j, i], self.uu[i, j], self.uu[j, i], self.uv[i, j])
+        values += (self.low[i, j], self.high[i, j], self.low[j, i], self.high[j, i])
+        places = [pa.array(np.asarray(names, np.int32)[k]) for k in (i, j)]
+        return pa.RecordBatch.from_arrays(
+            [*places, *[pa.array(v) for v in values]], names=["i", "j", *_SUMS, *_EXTENTS]
+        )
 
-    Sums are much cheaper than a correlation aggregate per pair, and centring
-    keeps them precise.  Only pairs with nulls need sums over their common rows.
-    """
-    x = {c: col(c).cast("double") - F.lit(facts.mean[c]) for pair in pairs for c in pair}
-    known = [p for p in pairs if not any(facts.constant[c] for c in p)]
-    whole = [p for p in known if not any(facts.nulls[c] for c in p)]
-    holed = [p for p in known if p not in set(whole)]
-    place = {c: i for i, c in enumerate(dict.fromkeys(c for p in whole for c in p))}
-    asked = [F.sum(x[c] * x[c]).alias(f"s{i}") for c, i in place.items()]
-    asked += [F.sum(x[a] * x[b]).alias(f"p{i}") for i, (a, b) in enumerate(whole)]
-    for i, (a, b) in enumerate(holed):
-        u, v = F.when(col(b).isNotNull(), x[a]), F.when(col(a).isNotNull(), x[b])
-        parts = {"n": F.count(x[a] * x[b]), "u": F.sum(u), "v": F.sum(v), "uv": F.sum(u * v)}
-        parts |= {"uu": F.sum(u * u), "vv": F.sum(v * v)}
-        parts |= {"flat": (F.min(u) == F.max(u)) | (F.min(v) == F.max(v))}
-        asked.append(F.struct(*[e.alias(k) for k, e in parts.items()]).alias(f"h{i}"))
-    found: dict[tuple[str, str], float | None] = {}
-    if asked:
-        row = df.agg(*asked).first()
-        for i, (a, b) in enumerate(whole):
-            found[(a, b)] = _ratio(row[f"p{i}"], row[f"s{place[a]}"], row[f"s{place[b]}"])
-        for i, pair in enumerate(holed):
-            h = row[f"h{i}"]
-            if h["n"] and not h["flat"]:
-                found[pair] = _ratio(
-                    h["uv"] - h["u"] * h["v"] / h["n"],
-                    h["uu"] - h["u"] ** 2 / h["n"],
-                    h["vv"] - h["v"] ** 2 / h["n"],
-                )
-    return [(a, b, found.get((a, b))) for a, b in pairs]
-
-
-def _ratio(product: float, first: float, second: float) -> float | None:
-    """|product| / sqrt(first second), at most 1; ``None`` when it is undefined."""
-    spread = math.sqrt(max(first, 0.0)) * math.sqrt(max(second, 0.0))
-    value = abs(product) / spread if spread > 0 else math.nan
-    return None if math.isnan(value) else min(value, 1.0)
-
-
-def _dense_correlation(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, float | None]]:
-    """One pass over assembled vectors; the result is a matrix of p x p doubles."""
-    doubles = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    vectors = VectorAssembler(inputCols=doubles.columns, outputCol="v").transform(doubles)
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    return [
-        (names[i], names[j], None if math.isnan(matrix[i, j]) else abs(float(matrix[i, j])))
-        for i, j in combinations(range(len(names)), 2)
-    ]
 
+def _pair_sums(df: DataFrame, numeric: Sequence[str], facts: _ColumnFacts, places: Sequence[int], split: int) -> DataFrame:
+    """Sums of every pair of the columns at ``places`` from one scan, a row for each pair and task.
 
-def _pair_values(
-    df: DataFrame, numeric: Sequence[str], facts: _ColumnFacts
-) -> list[tuple[str, str, float | None]]:
-    """All pairs: one aggregate if few, one pass of vectors if many and without nulls,
-    else one aggregate per block of pairs."""
-    pairs = list(combinations(numeric, 2))
-    if len(pairs) > PAIRS_PER_PASS and facts.n > 1 and not any(facts.nulls[c] for c in numeric):
-        return _dense_correlation(df, numeric)
-    blocks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return [r for block in blocks for r in _block_correlation(df, block, facts)]
+    With ``split`` only pairs across the first ``split`` columns and the others are returned.
+    Values are centred and divided by their extent, so neither large means nor tiny scales lose digits.
+    """
+    centred = []
+    for i in places:
+        c = numeric[i]
+        scale = facts.extent[c] if 0 < facts.extent[c] < math.inf else 1.0
+        value = col(c).cast("double") - F.lit(facts.mean[c] or 0.0)
+        centred.append((value / F.lit(scale)).alias(f"c{i}"))
+    p = len(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _PairSums(p)
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROW_BLOCK):
+                    part = batch.slice(at, ROW_BLOCK)
+                    sums.add(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns]))
+        i, j = np.triu_indices(p, 1)
+        if split:
+            across = (i < split) & (j >= split)
+            i, j = i[across], j[across]
+        yield sums.batch(places, i, j)
+
+    return df.select(*centred).mapInArrow(run, _PAIR_SUMS)
+
+
+def _pair_frame(df: DataFrame, numeric: Sequence[str], facts: _ColumnFacts) -> DataFrame:
+    """Rows ``(column_a, column_b, abs_corr)`` of all pairs, by one rule for any number of columns.
+
+    Tasks sum all pairs of their rows, and Spark adds up the tasks.  Tables with more columns than a
+    task can hold are scanned once for each pair of column blocks.
+    """
+    spark = df.sparkSession
+    blocks = [range(at, min(at + COLUMN_BLOCK, len(numeric))) for at in range(0, len(numeric), COLUMN_BLOCK)]
+    if len(blocks) <= 2:
+        parts = [_pair_sums(df, numeric, facts, range(len(numeric)), 0)]
+    else:
+        parts = [_pair_sums(df, numeric, facts, b, 0) for b in blocks]
+        parts += [_pair_sums(df, numeric, facts, [*a, *b], len(a)) for a, b in combinations(blocks, 2)]
+    # Every pair has a row, also in a table without rows.
+    last = len(numeric) - 1
+    firsts = spark.range(last).select(F.col("id").cast("int").alias("i"))
+    empty = firsts.select("i", F.explode(F.sequence(F.col("i") + 1, F.lit(last))).alias("j"))
+    nothing = [F.lit(0.0).alias(c) for c in _SUMS] + [F.lit(None).cast("double").alias(c) for c in _EXTENTS]
+    parts.append(empty.select("i", "j", *nothing))
+    total = reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in _SUMS],
+        *[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in _EXTENTS],
+    )
+    n, flat = F.col("n"), (F.col("low_u") >= F.col("high_u")) | (F.col("low_v") >= F.col("high_v"))
+    product = F.abs(F.col("uv") - F.col("u") * F.col("v") / n)
+    spread = F.sqrt(F.greatest(F.col("uu") - F.col("u") * F.col("u") / n, F.lit(0.0)))
+    spread = spread * F.sqrt(F.greatest(F.col("vv") - F.col("v") * F.col("v") / n, F.lit(0.0)))
+    value = F.when((n > 0) & ~flat & (spread > 0), product / spread)
+    value = F.when(~F.isnan(value), F.when(value > 1, 1.0).otherwise(value))
+    names = F.array(*[F.lit(c) for c in numeric])
+    return total.select(
+        F.element_at(names, F.col("i") + 1).alias("column_a"),
+        F.element_at(names, F.col("j") + 1).alias("column_b"),
+        value.alias("abs_corr"),
+    )
 
 
 def corr_pairs(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Rows ``(column_a, column_b, abs_corr)`` for each pair of numeric columns.
 
-    Pearson over the rows where both are present; NULL when one is constant.
+    Pearson over the rows where both are present; NULL when one is constant there.
     """
     df = missing_to_null(df)
     numeric = numeric_columns(df, names)
-    rows = _pair_values(df, numeric, _column_facts(df, numeric, numeric)) if numeric else []
-    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
+    if len(numeric) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, abs_corr double")
+    return _pair_frame(df, numeric, _column_facts(df, numeric, numeric))
 
 
 def max_abs_corr(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -284,8 +323,9 @@ def _table_rows(data: Dataset) -> list[tuple[str, str, float | None]]:
     df = missing_to_null(data.x)
     names, numeric = list(data.features), numeric_columns(data.x)
     facts = _column_facts(df, names, numeric)
-    values = [r for _, _, r in _pair_values(df, numeric, facts) if r is not None]
-    strongest = max(values, default=None) if numeric else 0.0
+    strongest = 0.0 if not numeric else None
+    if len(numeric) > 1:
+        strongest = _pair_frame(df, numeric, facts).agg(F.max("abs_corr")).first()[0]
     worst = sorted(names, key=lambda c: -facts.nulls[c])[:TOP_NULLS]
     high = strongest is not None and strongest >= HIGH_CORRELATION
     rows = [
@@ -306,7 +346,7 @@ def eda_summary(data: Dataset) -> DataFrame:
 
     Sections: ``shape``, ``na_top10``, ``features``, ``duplicates``,
     ``y_distribution`` and ``flags`` (1 is true).  Passes over the needed columns:
-    two aggregates, one duplicate count and one class count.
+    one aggregate, one scan of pair sums, one duplicate count, and the class counts with their total.
     """
     spark = data.df.sparkSession
     parts = [spark.createDataFrame(_table_rows(data), SUMMARY_SCHEMA)]
@@ -315,7 +355,8 @@ def eda_summary(data: Dataset) -> DataFrame:
     if data.target is None:
         parts.append(spark.createDataFrame([("flags", "class_imbalance", 0.0)], SUMMARY_SCHEMA))
     else:
-        classes = class_distribution(data.df, data.target)
+        # The counts feed the shares and the flag; a target may have too many classes for one row.
+        classes = materialize(class_distribution(data.df, data.target), "classes")
         parts.append(_summary_rows(classes, "y_distribution", F.col("class").cast("string"), F.col("share")))
         top = classes.agg(F.max("share").alias("top"))
         imbalanced = F.coalesce((F.col("top") >= IMBALANCE_SHARE).cast("int"), F.lit(0))

@@ -66,21 +66,34 @@ def test_correlation_is_pairwise_complete(spark):
     assert found[("a", "k")] is None and found[("b", "k")] is None
 
 
-def test_all_correlation_paths_agree(spark, monkeypatch):
-    df = spark.range(200).select(*[(F.col("id") * (i + 3) % (17 + i)).alias(f"c{i}") for i in range(5)], F.lit(1).alias("k"))
-
-    def pairs(frame):
-        return {(r[0], r[1]): r[2] and round(r[2], 9) for r in audit.corr_pairs(frame).collect()}
-
-    one_pass = pairs(df)
-    monkeypatch.setattr(audit, "PAIRS_PER_PASS", 4)
-    assert pairs(df) == one_pass
-    holes = df.withColumn("c0", F.when(F.col("c0") != 1, F.col("c0")))
-    in_blocks = pairs(holes)
-    summary = _facts(Dataset(df, tuple(df.columns)))
-    monkeypatch.undo()
-    assert in_blocks == pairs(holes)
-    assert summary == pytest.approx(_facts(Dataset(df, tuple(df.columns))))
+def test_correlation_does_not_depend_on_the_width(spark, monkeypatch):
+    """Tiny scales, large means, holes: a pair has the same value alone, among many, and in blocks."""
+    n = F.col("id")
+    columns = [((n * (i + 3) % (17 + i)) * 1e-8).alias(f"t{i}") for i in range(9)]
+    columns += [(1e9 + n * (i + 5) % (13 + i)).alias(f"m{i}") for i in range(5)]
+    columns += [F.when(n % (i + 2) != 1, n * n % (29 + i)).cast("double").alias(f"h{i}") for i in range(5)]
+    columns += [F.lit(2.5).alias("k"), F.when(n > 150, F.lit(1.0)).otherwise(F.when(n % 2 == 0, F.lit(0.0))).alias("z")]
+    df = spark.range(200).select(*columns)
+
+    def pairs(frame, names=None):
+        return {(r[0], r[1]): r[2] and round(r[2], 7) for r in audit.corr_pairs(frame, names).collect()}
+
+    wide = pairs(df)
+    assert len(wide) == 210 and wide[("t0", "k")] is None
+    for names in (["t0", "t1"], ["m0", "h0"], ["h1", "h2"], ["t3", "m2", "h4", "k"]):
+        assert pairs(df, names).items() <= wide.items()
+    values = df.toPandas().corr().abs()
+    for (a, b), found in wide.items():
+        if found is not None and "m" not in a + b:
+            assert found == pytest.approx(values.loc[a, b], abs=1e-6)
+    monkeypatch.setattr(audit, "COLUMN_BLOCK", 4)
+    assert pairs(df) == wide
+
+
+def test_correlation_of_common_rows_that_are_constant(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (1.0, 6.0), (2.0, None), (3.0, None)], "a double, b double")
+    assert audit.corr_pairs(df).first()[2] is None
+    assert [tuple(r) for r in audit.corr_pairs(df.limit(0)).collect()] == [("a", "b", None)]
 
 
 def test_types(spark):
