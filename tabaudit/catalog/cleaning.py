@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,31 @@ def drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.drop_columns(table(spark, sf_dir, "customer"), names)
 
 
+_TARGETS = {
+    "customer": None, "documents": None, "embeddings": "label", "events": None, "labels": None, "lineitem": None, "orders": None,
+}
+
+
 @query(
-    """
-    select * from (values
-      ('customer', cast(null as varchar)), ('documents', null), ('embeddings', 'label'),
-      ('events', null), ('labels', null), ('lineitem', null), ('orders', null)) t(table_name, target)
-    """
+    " union all ".join(
+        f"select '{t}' as table_name, {f"'{y}'" if y else 'cast(null as varchar)'} as target, count(*) as n_rows,"
+        f" {f'count(distinct {y})' if y else 'cast(0 as bigint)'} as n_classes from {t}"
+        for t, y in _TARGETS.items()
+    )
 )
 def target_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["customer", "documents", "embeddings", "events", "labels", "lineitem", "orders"]
-    found = [(n, infer_target(table(spark, sf_dir, n))) for n in names]
-    return spark.createDataFrame(found, "table_name string, target string")
+    """The inferred target of each table, and how many classes its rows have."""
+    parts = []
+    for name in _TARGETS:
+        df = table(spark, sf_dir, name)
+        target = infer_target(df)
+        classes = F.lit(0).cast("long") if target is None else F.count_distinct(target)
+        parts.append(
+            df.agg(F.count(F.lit(1)).alias("n_rows"), classes.alias("n_classes")).select(
+                F.lit(name).alias("table_name"), F.lit(target).cast("string").alias("target"), "n_rows", "n_classes"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

@@ -102,6 +102,37 @@ _CELLS_SQL = f"""
 """
 
 
+# Three classes: the flag of a line item, guessed from the day it was received and its discount.
+_GUESS_SQL = """
+    guessed as (
+      select case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as label,
+             case when l_receiptdate > '1995-06-17' then 1 when l_linenumber % 3 = 0 then 2 else 0 end as prediction
+      from lineitem)
+"""
+
+
+@query(
+    f"""
+    with {_GUESS_SQL},
+    sides as (
+      select label as c, cast(label = prediction as int) as hit from guessed
+      union all select prediction, cast(label = prediction as int) from guessed),
+    classes as (select c, sum(hit)::double / count(*) as f1 from sides group by c)
+    select round(avg(f1), 6) as value from classes
+    """
+)
+def metric_f1_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    scored = table(spark, sf_dir, "lineitem").select(
+        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("label"),
+        F.when(F.col("l_receiptdate") > "1995-06-17", 1)
+        .when(F.col("l_linenumber") % 3 == 0, 2)
+        .otherwise(0)
+        .alias("prediction"),
+    )
+    return rounded(metrics.f1_macro(scored), 6, "value")
+
+
 @query(f"{_CELLS_SQL} select round(2.0::double * tp / (2 * tp + fp + fn), 6) as value from cells")
 def metric_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.f1(scored_docs(spark, sf_dir)), 6, "value")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabaudit.catalog import query
 from tabaudit.catalog.audit import _SUMMARY_SQL
 from tabaudit.catalog.fixtures import audit_lineitem, rounded, table
-from tabaudit.dataset import from_rows
+from tabaudit.dataset import from_rows, infer_target
 from tabaudit.functions.storage import scratch_path
 from tabaudit.operators import audit
 from tabaudit.sources import runs, tables
@@ -36,6 +37,49 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(*part.columns).withColumn("p_size", F.col("p_size").cast("int"))
 
 
+# Texts as files hold them: quotes, separators, backslashes and line breaks in every row.
+_WRAP_SQL = """'say "' || text || '", \\ ' || chr(10) || ' "" end '"""
+
+
+def _wrapped(name: str) -> Column:
+    return F.concat(F.lit('say "'), F.col(name), F.lit('", \\ \n "" end '))
+
+
+@query(f"select doc_id, md5({_WRAP_SQL}) as digest, lang, n_chars from documents")
+def csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_path(spark, 'csv')}.csv"
+    rows = table(spark, sf_dir, "documents").select("doc_id", _wrapped("text").alias("text"), "lang", "n_chars")
+    tables.write_table(rows, path)
+    read = tables.read_table(spark, path, "doc_id long, text string, lang string, n_chars long")
+    return read.select("doc_id", F.md5("text").alias("digest"), "lang", "n_chars")
+
+
+@query(f"select conv_id, turn, role, md5({_WRAP_SQL}) as digest, 'y' as target from conversations")
+def json_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records begin with ``y``, which is the target although ``label`` sorts first."""
+    path = f"{scratch_path(spark, 'json')}.json"
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("turn").alias("y"), _wrapped("text").alias("text"), F.col("role").alias("label"), "conv_id"
+    )
+    tables.write_table(rows, path)
+    read = tables.read_table(spark, path)
+    return read.select(
+        "conv_id", F.col("y").alias("turn"), F.col("label").alias("role"), F.md5("text").alias("digest"),
+        F.lit(infer_target(read)).alias("target"),
+    )
+
+
+@query(f"select conv_id, turn, md5({_WRAP_SQL}) as digest from conversations")
+def archive_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packed copy of a table with line breaks in its fields reads like its source."""
+    folder = scratch_path(spark, "archive")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", _wrapped("text").alias("text"))
+    tables.write_table(rows, f"{folder}/in/talk.csv")
+    copy = tables.archive(spark, f"{folder}/in/talk.csv", f"{folder}/out", compress=True, now=NOON)
+    read = tables.read_table(spark, copy, "conv_id long, turn long, text string")
+    return read.select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
 @query(
     """
     select meaning, count(*) as n from lineitem
@@ -56,12 +100,27 @@ def rows_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("n")).join(codes, "flag").select("meaning", "n")
 
 
-@query()
+_INPUTS = (
+    "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier"
+).split()
+
+
+@query(
+    " union all ".join(
+        f"select '{t}.parquet' as name, {str(t == _INPUTS[0]).lower()} as is_first, count(*) as n_rows from {t}" for t in _INPUTS
+    )
+)
 def input_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parquet tables of the input folder in path order; the first is picked."""
-    found = tables.list_inputs(spark, sf_dir, [".PARQUET"])
+    """The parquet tables of the input folder with their rows; the first in path order is picked."""
+    found = tables.list_inputs(spark, sf_dir, [".PARQUET"]).select("name", "path").collect()  # a row for each input file
     picked = tables.pick_input(spark, sf_dir, [".parquet"])
-    return found.select("name", (F.col("path") == F.lit(picked)).alias("is_first"))
+    counts = [
+        spark.read.parquet(r["path"]).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(r["name"]).alias("name"), F.lit(r["path"] == picked).alias("is_first"), "n_rows"
+        )
+        for r in found
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("select s_suppkey, s_name, s_nationkey, s_acctbal, 'supplier' as source from supplier")

@@ -48,13 +48,27 @@ def from_rows(spark: SparkSession, raw: Any, schema: Any = None) -> DataFrame:
     if isinstance(raw, Mapping):
         raw = [raw]
     if not isinstance(raw, Sequence) or isinstance(raw, (str, bytes)):
-        raise ValueError(f"Unsupported raw data type: {type(raw)}")
+        raise ValueError(f"rows must be a frame, a mapping or a sequence of mappings, not {type(raw).__name__}")
     if schema is None and raw and all(isinstance(r, Mapping) for r in raw):
         schema = list(dict.fromkeys(name for r in raw for name in r))
-        raw = [tuple(r.get(name) for name in schema) for r in raw]
+        columns = [_widened([r.get(name) for r in raw]) for name in schema]
+        if any(all(v is None for v in c) for c in columns):
+            # A column without any value is text.
+            types = spark.createDataFrame(
+                [tuple(next((v for v in c if v is not None), "") for c in columns)], schema
+            ).schema
+            schema = types
+        raw = list(zip(*columns))
     return missing_to_null(spark.createDataFrame(list(raw), schema))
 
 
+def _widened(values: list[Any]) -> list[Any]:
+    """Integers become floats where a column holds both."""
+    numbers = [v for v in values if v is not None]
+    mixed = {type(v) for v in numbers} == {int, float}
+    return [float(v) if mixed and v is not None else v for v in values]
+
+
 def infer_target(
     df: DataFrame, target_column: str | None = None, auto_detect: bool = True
 ) -> str | None:

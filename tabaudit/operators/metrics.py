@@ -53,6 +53,28 @@ def f1(scored: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return _scored(f1_scorer, scored, groups)
 
 
+def f1_macro(scored: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Mean of 2 tp / (2 tp + fp + fn) over the classes that occur as label or prediction."""
+    cells = confusion(scored, groups)
+    keys = [col(g) for g in groups]
+    right = F.when(F.col("label").cast("double") == F.col("prediction").cast("double"), F.col("n")).otherwise(0)
+    sides = [
+        cells.select(*keys, F.col(side).cast("double").alias("class"), "n", right.alias("right"))
+        for side in ("label", "prediction")
+    ]
+    # A right answer is counted on both sides, as 2 tp asks for.
+    by_class = reduce(DataFrame.unionByName, sides).groupBy(*keys, "class")
+    value = F.sum("right").cast("double") / F.sum("n")
+    return by_class.agg(value.alias("f1")).groupBy(*keys).agg(F.avg("f1").alias("value"))
+
+
+def check_classes(metrics: Mapping[str, Metric], n_classes: int) -> None:
+    """Metrics of one positive class are undefined for more than two classes."""
+    binary = [name for name, metric in metrics.items() if metric in (f1, average_precision)]
+    if n_classes > 2 and binary:
+        raise ValueError(f"{', '.join(binary)} needs two classes, the target has {n_classes}; use f1_macro")
+
+
 def custom(scorer: Scorer) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
     """Turn a scorer into a metric."""
     return lambda scored, groups=(): _scored(scorer, scored, groups)
@@ -118,6 +140,7 @@ Metric = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 METRICS: dict[str, Metric] = {
     "f1": f1,
+    "f1_macro": f1_macro,
     "balanced_accuracy": balanced_accuracy,
     "average_precision": average_precision,
     "accuracy": custom(accuracy_scorer),

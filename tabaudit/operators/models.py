@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from typing import Any
 
 import numpy as np
@@ -87,16 +87,40 @@ def kernel_width(gamma: Any, p: int, variance: float) -> float:
 
 
 def overall_variance(train: DataFrame, column: str) -> float:
-    """Variance over all entries of all vectors, as "scale" needs."""
-    entries = train.select(vector_to_array(F.col(column)).alias("a"))
-    total = lambda f: F.aggregate("a", F.lit(0.0), lambda acc, v: acc + f(v))
-    row = entries.agg(
-        F.avg(total(lambda v: v) / F.size("a")).alias("mean"),
-        F.avg(total(lambda v: v * v) / F.size("a")).alias("square"),
-    ).first()
-    if row["mean"] is None:
-        return 0.0
-    return max(row["square"] - row["mean"] ** 2, 0.0)
+    """Variance over all entries of all vectors, as "scale" needs, from centred moments."""
+    entries = train.select(F.explode(vector_to_array(F.col(column))).alias("entry"))
+    return entries.agg(F.var_pop("entry")).first()[0] or 0.0
+
+
+# Parameters that each estimator takes; others would be candidates that differ in name only.
+_FOREST_PARAMS = {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "max_samples", "criterion"}
+ESTIMATOR_PARAMS = {
+    SVC: {"C", "kernel", "gamma"},
+    RANDOM_FOREST: _FOREST_PARAMS,
+    THRESHOLD: {"column", "cutoff"},
+}
+
+
+def check_params(kind: str, names: Iterable[str]) -> None:
+    """An unknown parameter is an error, not ignored."""
+    unknown = sorted(set(names) - ESTIMATOR_PARAMS[kind])
+    if unknown:
+        raise ValueError(f"{kind} has no parameter {', '.join(unknown)}")
+
+
+def tree_depth(value: int | None) -> int:
+    """The depth of a forest; no limit is Spark's deepest tree, and a deeper one is an error."""
+    if value is None:
+        return DEEPEST_TREE
+    if int(value) > DEEPEST_TREE:
+        raise ValueError(f"max_depth is at most {DEEPEST_TREE}, asked {value}")
+    return int(value)
+
+
+def _subset(value: Any) -> str:
+    if value is None or value == 1.0 and isinstance(value, float):
+        return "all"
+    return str(value)
 
 
 def fit_classifier(
@@ -111,20 +135,23 @@ def fit_classifier(
     classes: int = 2,
 ) -> PipelineModel:
     """Fit one estimator on ``(features, label)``; the model adds prediction columns."""
+    check_params(kind, params)
     if kind == SVC:
         return _fit_svc(params, train, n_rows, p, seed, features, label, classes)
     if kind == RANDOM_FOREST:
-        depth = params.get("max_depth")
         forest = RandomForestClassifier(
             featuresCol=features,
             labelCol=label,
             numTrees=int(params.get("n_estimators", DEFAULT_TREES)),
-            maxDepth=DEEPEST_TREE if depth is None else min(int(depth), DEEPEST_TREE),
-            featureSubsetStrategy="sqrt",
+            maxDepth=tree_depth(params.get("max_depth")),
+            minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+            featureSubsetStrategy=_subset(params.get("max_features", "sqrt")),
+            subsamplingRate=float(params.get("max_samples") or 1.0),
+            impurity=params.get("criterion", "gini"),
             seed=seed,
         )
         return PipelineModel([forest.fit(train)])
-    raise ValueError(f"Unknown estimator {kind}")
+    raise ValueError(f"no such estimator: {kind}")
 
 
 def _fit_svc(
@@ -156,7 +183,7 @@ def _fit_svc(
         )
         train = stages[0].transform(train)
     elif kernel != "linear":
-        raise ValueError(f"Unknown kernel {kernel}")
+        raise ValueError(f"no such kernel: {kernel}")
     # The mean hinge loss here weighs against C times its sum there.
     svm = LinearSVC(
         featuresCol=column,

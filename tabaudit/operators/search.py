@@ -19,7 +19,7 @@ from tabaudit.dataset import Dataset
 from tabaudit.functions.columns import col, missing_to_null, numeric_columns
 from tabaudit.functions.storage import materialize
 from tabaudit.operators import sampling
-from tabaudit.operators.metrics import score_all
+from tabaudit.operators.metrics import check_classes, score_all
 from tabaudit.operators.models import (
     SVC,
     THRESHOLD,
@@ -74,12 +74,15 @@ def labelled(data: Dataset) -> tuple[DataFrame, list[str], int]:
     """Frame ``(key, label, features)``, feature names and class count.
 
     The needed columns are written once, as all later steps read them.  Labels 0
-    and 1 stay; other targets become their position among the sorted values.  Only
-    numeric features are used, and a null target is an error, as no classifier
-    takes either.
+    and 1 stay; other targets become their position among the sorted values.  A
+    feature that is not numeric and a null target are errors, as no classifier takes
+    either.
     """
     data = data.keyed()
     features = numeric_columns(data.df, data.features)
+    other = [c for c in data.features if c not in set(features)]
+    if other:
+        raise ValueError(f"features must be numeric: {', '.join(other)}")
     chosen = [col(data.key).alias(_KEY), col(data.target).alias(_LABEL), *[col(c) for c in features]]
     rows = materialize(missing_to_null(data.df).select(*chosen), "labelled")
     found = [r[0] for r in rows.select(_LABEL).distinct().limit(MAX_CLASSES + 1).collect()]
@@ -237,6 +240,7 @@ def cross_validate(
     cv: CvPlan,
 ) -> DataFrame:
     """Rows ``(cand_id, fold, metric, value)``, each fit on all folds but the scored one."""
+    check_classes(cv.metrics, n_classes)
     if spec.estimator == THRESHOLD:
         scored = _threshold_scores(spec, candidates, folded)
     else:
@@ -269,13 +273,15 @@ def rank_candidates(cv_scores: DataFrame) -> DataFrame:
 
 
 def pivoted_results(result: SearchResult) -> DataFrame:
-    """One row per candidate with its parameters and all scores, for export."""
+    """One row per candidate with its parameters, all scores and those of each fold, for export."""
     params = [(c.cand_id, c.as_text()) for c in result.candidates]
     names = result.ranking.sparkSession.createDataFrame(params, "cand_id int, params map<string,string>")
     scores = result.ranking.groupBy("cand_id").pivot("metric").agg(
         F.first("mean").alias("mean"), F.first("std").alias("std"), F.first("rank").alias("rank")
     )
-    return names.join(scores, "cand_id").withColumn("params", F.to_json("params"))
+    place = F.concat(F.lit("split"), F.col(_FOLD).cast("string"), F.lit("_"), F.col("metric"))
+    folds = result.cv_scores.withColumn("place", place).groupBy("cand_id").pivot("place").agg(F.first("value"))
+    return names.join(scores, "cand_id").join(folds, "cand_id").withColumn("params", F.to_json("params"))
 
 
 def grid_search(data: Dataset, spec: ModelSpec, cv: CvPlan, refit: bool = True) -> SearchResult:

@@ -8,7 +8,7 @@ from itertools import product
 from typing import Any
 
 from tabaudit.operators.metrics import METRICS, Metric, custom
-from tabaudit.operators.models import ESTIMATORS
+from tabaudit.operators.models import ESTIMATORS, check_params
 from tabaudit.operators.prep import PrepSpec
 
 DEFAULT_METRIC = "f1"
@@ -30,9 +30,10 @@ class ModelSpec:
 
     def __post_init__(self) -> None:
         if self.estimator not in ESTIMATORS:
-            raise ValueError(f"Unknown estimator {self.estimator}")
+            raise ValueError(f"no such estimator: {self.estimator}")
+        check_params(self.estimator, self.params)
         if self.sampler is not None and self.sampler not in SAMPLERS:
-            raise ValueError(f"Unknown sampler {self.sampler}")
+            raise ValueError(f"no such sampler: {self.sampler}")
 
     @classmethod
     def from_dict(cls, spec: Mapping[str, Any]) -> ModelSpec:
@@ -117,7 +118,7 @@ class CvPlan:
         elif isinstance(scoring, Mapping):
             names = scoring
         else:
-            raise ValueError(f"Unsupported scoring config: {type(scoring)}")
+            raise ValueError(f"scoring must be a name, a list or a mapping, not {type(scoring).__name__}")
         refit = (config.get("refit") if scoring is not None else None) or next(iter(names))
         if refit not in names:
             raise ValueError(f"refit metric {refit} is not scored")

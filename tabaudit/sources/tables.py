@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabaudit.functions.columns import col
+
 # Stamp format and the input extensions looked for.
 STAMP_FORMAT = "%Y%m%d_%H%M%S"
 INPUT_EXTENSIONS = (".csv", ".json")
 
+# Quotes inside fields are doubled, a backslash is a character, and white space stays.
+CSV_RULES = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def _extension(path: str) -> str:
     return posixpath.splitext(path.rstrip("/"))[1].lower()
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    infer: bool = True,
+    line_per_row: bool = False,
 ) -> DataFrame:
     """Read ``.csv`` (header row) or ``.json`` (array of records, or JSON lines).
 
     Give a ``schema`` for large inputs: inferring one costs an extra pass, and
     JSON lines with a schema are split between tasks.  ``infer=False`` reads all
-    CSV fields as text.
+    CSV fields as text.  Quoted CSV fields may hold line breaks, so a CSV file is read by
+    one task; ``line_per_row`` says that it has none and splits it.
     """
     kind = _extension(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == ".csv":
-        csv = reader.option("header", True).option("multiLine", False)
+        csv = reader.options(header=True, multiLine=not line_per_row, **CSV_RULES)
         return csv.option("inferSchema", infer and schema is None).csv(path)
     if kind == ".json":
-        return reader.option("multiLine", _is_record_array(spark, path)).json(path)
-    raise ValueError(f"Unsupported extension: {kind}")
+        found = reader.option("multiLine", _is_record_array(spark, path)).json(path)
+        return found if schema is not None else _in_record_order(spark, path, found)
+    raise ValueError(f"cannot read {kind or 'a file without extension'}: only .csv and .json")
 
 
 def _is_record_array(spark: SparkSession, path: str) -> bool:
@@ -44,16 +64,36 @@ def _is_record_array(spark: SparkSession, path: str) -> bool:
     return bool(first) and first[0]["value"].lstrip().startswith("[")
 
 
+def _in_record_order(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """Columns in the order of the first record's keys; an inferred schema sorts them by name.
+
+    Reads as many lines as the first record has.
+    """
+    names, lines = df.columns, 16
+    while True:
+        rows = spark.read.text(path).head(lines)
+        text = "\n".join(r["value"] for r in rows).lstrip().removeprefix("[").lstrip()
+        try:
+            record, _ = json.JSONDecoder().raw_decode(text)
+        except ValueError:
+            if len(rows) < lines:
+                return df
+            lines *= 4
+            continue
+        first = [k for k in record if k in names] if isinstance(record, dict) else []
+        return df.select(*[col(c) for c in dict.fromkeys([*first, *names])])
+
+
 def write_table(df: DataFrame, path: str, compression: str | None = None) -> None:
     """Write ``.csv`` with a header, or ``.json`` as JSON lines, without an index column."""
     kind = _extension(path)
     writer = df.write if compression is None else df.write.option("compression", compression)
     if kind == ".csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, **CSV_RULES).csv(path)
     elif kind == ".json":
         writer.option("ignoreNullFields", False).json(path)
     else:
-        raise ValueError(f"Unsupported extension: {kind}")
+        raise ValueError(f"cannot write {kind or 'a file without extension'}: only .csv and .json")
 
 
 def list_inputs(
@@ -95,14 +135,33 @@ def archive(
     compress: bool = False,
     now: datetime | None = None,
 ) -> str:
-    """Copy a table to ``out_dir`` under a time-stamped name, gzipped if asked.
+    """Copy the files of a table to ``out_dir`` under a time-stamped name, gzipped if asked.
 
-    The copy is written by the executors, one part per input split; each CSV part
-    repeats the header, so a part can be read alone.  CSV fields are kept as text.
+    Executors copy byte by byte, a file each and in small pieces, so the copy is identical to its source
+    whatever it holds.  A file appears under its name when it is complete.
     """
     target = f"{out_dir.rstrip('/')}/{stamped_name(source, now)}"
-    rows = read_table(spark, source, infer=False)
-    write_table(rows, target, "gzip" if compress else None)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                files, place = fs.FileSystem.from_uri(path)
+                out, folder = fs.FileSystem.from_uri(target)
+                out.create_dir(folder, recursive=True)
+                name = f"{folder}/{posixpath.basename(place)}" + ".gz" * compress
+                temporary = f"{folder}/.{posixpath.basename(name)}.{uuid.uuid4().hex}"
+                with files.open_input_stream(place, compression=None) as reader:
+                    with out.open_output_stream(temporary, compression="gzip" if compress else None) as writer:
+                        while piece := reader.read(1 << 20):
+                            writer.write(piece)
+                out.move(temporary, name)
+            yield batch
+
+    # Listing files does not read them.  A table has few enough files for one row each.
+    files_read = spark.read.format("binaryFile").load(source).select("path")
+    hidden = F.element_at(F.split("path", "/"), -1).rlike("^[._]")
+    listed = files_read.filter(~hidden).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    listed.mapInArrow(copy, "path string").write.format("noop").mode("overwrite").save()
     return target
 
 

@@ -7,11 +7,11 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabaudit.dataset import Dataset
-from tabaudit.operators import metrics, prep, sampling, search, splits
+from tabaudit.operators import metrics, models, prep, sampling, search, splits
 from tabaudit.operators import smote as smoting
 from tabaudit.operators.prep import PrepSpec
 from tabaudit.plans.specs import DEFAULT_SPECS, CvPlan, ModelSpec, expand_grid
@@ -108,7 +108,7 @@ def test_spec_from_dict():
     assert ModelSpec.from_dict({"name": "s", "steps": {**steps, "reduction": {"type": "other"}}}).reduction is None
     with pytest.raises(ValueError, match="umap"):
         ModelSpec.from_dict({"name": "s", "steps": {**steps, "reduction": {"type": "umap"}}})
-    with pytest.raises(ValueError, match="Unknown estimator"):
+    with pytest.raises(ValueError, match="no such estimator"):
         ModelSpec.from_dict({"name": "s", "steps": {"estimator": {"type": "mlp"}}})
 
 
@@ -302,3 +302,31 @@ def test_pca_projection_is_centred(spark):
     vectors = PipelineModel(fitted.stages("v")).transform(df)
     projected = prep.fit_pca(vectors, "v", "c", 2).transform(vectors).select(F.avg(vector_to_array("c")[0])).first()[0]
     assert projected == pytest.approx(0.0, abs=1e-9)
+
+
+def test_parameters_that_cannot_be_met_are_errors(spark):
+    with pytest.raises(ValueError, match="no parameter"):
+        ModelSpec("rf", "random_forest", {"class_weight": "balanced"})
+    with pytest.raises(ValueError, match="at most 30"):
+        models.tree_depth(31)
+    assert models.tree_depth(None) == models.tree_depth(30) == 30
+    df = spark.range(40).select("id", (F.col("id") % 2).alias("y"), F.col("id").cast("string").alias("s"))
+    data = Dataset(df, ("id", "s"), "y")
+    with pytest.raises(ValueError, match="numeric: s"):
+        search.grid_search(data, ModelSpec("t", "threshold", {"column": "id", "cutoff": 3.0}), CvPlan(folds=2))
+
+
+def test_binary_metrics_refuse_three_classes(spark):
+    df = spark.range(90).select("id", (F.col("id") % 3).cast("string").alias("y"))
+    spec = ModelSpec("t", "threshold", {"column": "id", "cutoff": 3.0})
+    with pytest.raises(ValueError, match="two classes"):
+        search.grid_search(Dataset(df, ("id",), "y"), spec, CvPlan(folds=2))
+    cv = CvPlan(folds=2, metrics={"f1_macro": metrics.METRICS["f1_macro"]}, refit="f1_macro")
+    found = search.grid_search(Dataset(df, ("id",), "y"), spec, cv)
+    table = search.pivoted_results(found)
+    assert {"split0_f1_macro", "split1_f1_macro"} <= set(table.columns) and table.count() == 1
+
+
+def test_kernel_width_of_values_with_a_large_mean(spark):
+    rows = spark.range(7).select(array_to_vector(F.array((F.col("id") + 1e9).cast("double"))).alias("v"))
+    assert models.overall_variance(rows, "v") == pytest.approx(4.0)
