@@ -7,7 +7,8 @@ result has every document with the size of its set and the smallest document rea
 2. **Candidates.**  With shingles in the order of their hashes, two linked sets share at least l of
    their first n - ceil(t n) + l shingles (*keys*).  l grows with the set, so a document that has fewer than l
    keys in common with any others links to nothing.  This drops documents that merely
-   share a passage.  It is repeated, as each drop makes other keys unique.
+   share a passage.  It is repeated, as each drop makes other keys unique.  Of the others the l - 1
+   keys that most documents have are left out, as the rarest common key of two linked documents remains.
 3. **Clusters.**  What is left falls into connected components by common keys.  No link crosses clusters,
    so each document is sent to one place only.  Clusters above ``UNIT`` documents are cut into blocks by set size, and only
    pairs of blocks whose size ranges can link are compared.
@@ -41,7 +42,7 @@ from tabaudit.llm.frames import decoded, shuffle_partitions, sliced, text_bytes
 
 WORDS = 4
 PERCENT = 85
-EXTRA_PERCENT = 5  # of a set: how many more keys than one a link must share
+EXTRA_PERCENT = 10  # of a set: how many more keys than one a link must share
 UNIT = 8192
 PRUNINGS = 2
 LEAF, FANOUT = 16, 8
@@ -240,6 +241,17 @@ def _prune(shared: DataFrame, percent: int, extra: int) -> DataFrame:
     return shared.join(enough.select("rep"), "rep")
 
 
+def _rarest(shared: DataFrame, percent: int, extra: int) -> DataFrame:
+    """Leave out each document's most frequent keys, one fewer than any link shares.
+
+    The rarest key that two linked documents share stays with both, so passages that many
+    documents have do not tie these together.
+    """
+    held = shared.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("holders"), "key"))
+    return held.withColumn("place", place).where(F.col("place") >= _needed(percent, extra)).select("key", "rep", "n")
+
+
 def _clusters(shared: DataFrame) -> DataFrame:
     """``rep``, ``n``, ``cluster``: documents connected by common keys."""
     centre = shared.groupBy("key").agg(F.min("rep").alias("b"))
@@ -251,6 +263,7 @@ def _clusters(shared: DataFrame) -> DataFrame:
 def _units(clusters: DataFrame, percent: int, unit: int) -> tuple[DataFrame, bool]:
     """``rep``, ``unit``, ``side``: where each document goes; a cluster above ``unit`` documents is cut into blocks by size."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    clusters = clusters.join(sizes.where(F.col("size") > 1).select("cluster"), "cluster", "left_semi")
     large = materialize(sizes.where(F.col("size") > unit), "large-clusters")
     if not large.limit(1).count():
         return clusters.select("rep", F.concat_ws(":", "cluster").alias("unit"), F.lit(1).alias("side")), False
@@ -332,7 +345,7 @@ def jaccard_components(
     shared = keys.select("rep", "n", F.explode("keys").alias("key")).select("key", "rep", "n")
     for _ in range(PRUNINGS):
         shared = _prune(shared, percent, extra)
-    shared = materialize(shared, "candidates")
+    shared = materialize(_rarest(shared, percent, extra), "candidates")
     units, cut = _units(materialize(_clusters(shared), "clusters"), percent, unit)
     texts = docs.select(col(id_column).cast("long").alias("rep"), text_bytes(text_column).alias("text"))
     edges = materialize(_compare_units(texts.join(units, "rep"), width, percent), "links")

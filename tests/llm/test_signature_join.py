@@ -72,9 +72,9 @@ def test_key_counts_are_safe():
         drop, add = (int(draw.integers(0, n // 6 + 2)) for _ in range(2))
         a, b = np.sort(universe[:n]), np.sort(universe[min(drop, n - 1) : n + add])
         if join.links(a, b, 85):
-            keys = [s[: join.n_keys(len(s), 85, 5)] for s in (a, b)]
+            keys = [s[: join.n_keys(len(s), 85, 10)] for s in (a, b)]
             common = len(np.intersect1d(*keys))
-            assert common >= max(join.needed_keys(len(a), 85, 5), join.needed_keys(len(b), 85, 5))
+            assert common >= max(join.needed_keys(len(a), 85, 10), join.needed_keys(len(b), 85, 10))
 
 
 @pytest.mark.parametrize("seed", range(4))
