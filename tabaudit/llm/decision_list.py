@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
-from tabaudit.llm.frames import decoded, fresh, text_bytes
+from tabaudit.llm.frames import each_text, fresh, text_bytes
 
 MAX_ROWS = 20_000
 REPEAT_WINDOW = 8
@@ -101,7 +101,7 @@ def statistics(text: str) -> tuple[int, ...]:
 def statistics_column(text_column: str = "text") -> Column:
     @F.arrow_udf(_STRUCT)
     def counted(texts: pa.Array) -> pa.Array:
-        rows = [statistics(decoded(t)) for t in texts.to_pylist()]
+        rows = [statistics(t) for t in each_text(texts)]
         columns = zip(*rows) if rows else [()] * len(COUNTS)
         return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=list(COUNTS))
 

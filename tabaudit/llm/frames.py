@@ -31,13 +31,20 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, function: Calla
     return docs.select(col(id_column), text_bytes(text_column)).mapInArrow(function, schema)
 
 
-def sliced(batches: Batches, rows: int = 1000) -> Batches:
+def sliced(batches: Batches, rows: int = 500) -> Batches:
     """The same rows in batches of at most ``rows``, so that what Python makes of a batch stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def each_text(texts: pa.Array, rows: int = 500) -> Iterator[str]:
+    """The decoded texts of an array, few at a time."""
+    for at in range(0, len(texts), rows):
+        for value in texts.slice(at, rows).to_pylist():
+            yield decoded(value)
+
+
 def id_type(docs: DataFrame, name: str) -> str:
     return docs.select(col(name)).schema[0].dataType.simpleString()
 

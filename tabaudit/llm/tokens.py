@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tabaudit.llm.frames import decoded, sliced, text_bytes
 
 # Two generations of as many words and pieces are kept in each Python worker.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 # The rules of the vocabulary files for which pieces are independent.
 WORD_NORMALIZER = [

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
-from tabaudit.llm.frames import decoded, fresh, text_bytes
+from tabaudit.llm.frames import decoded, each_text, fresh, text_bytes
 
 WINDOW = 8  # words
 GRAM = 6  # bytes
@@ -216,7 +216,7 @@ def score_column(model: Model | None, text_column: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([score(decoded(t), model) for t in texts.to_pylist()], pa.float64())
+        return pa.array([score(t, model) for t in each_text(texts)], pa.float64())
 
     return scores(text_bytes(text_column))
 
