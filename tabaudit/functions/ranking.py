@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import all_columns, col
 
+STRATUM = "__stratum"
 _CELL, _HASH, _SIZE, _EARLIER = "__cell", "__hash", "__size", "__earlier"
 
 
@@ -40,9 +41,13 @@ def hash_rank(
     key: str,
     rank: str = "rn",
     across_groups: bool = False,
+    per_group: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``rank``: the 1-based position in the group by ``order`` (a hex hash), ``key``.
 
+    ``per_group`` has a row of further columns for each ``STRATUM`` (a struct of the
+    groups).  They reach the rows with the offsets of the cells, so rows are never moved by group.
+
     Hash prefixes spread any group, hot or not, over cells of even size.  With
     ``across_groups`` the count goes on from group to group, in group order; the
     cells are then ordered in one task, so use it for few groups (classes).
@@ -56,9 +61,14 @@ def hash_rank(
         before = Window.partitionBy(*[F.col(_CELL)[g] for g in groups]).orderBy(F.col(_CELL)["prefix"])
     earlier = F.sum(_SIZE).over(before) - F.col(_SIZE)
     offsets = sizes.select(_CELL, earlier.alias(_EARLIER))
+    further = []
+    if per_group is not None:
+        stratum = F.struct(*[F.col(_CELL)[g].alias(g) for g in groups])
+        offsets = offsets.withColumn(STRATUM, stratum).join(per_group, STRATUM).drop(STRATUM)
+        further = [c for c in per_group.columns if c != STRATUM]
     inside = Window.partitionBy(_CELL).orderBy(_HASH, col(key))
     numbered = rows.withColumn(rank, F.row_number().over(inside)).join(offsets, _CELL)
-    return numbered.withColumn(rank, F.col(rank) + F.col(_EARLIER)).select(*all_columns(df), rank)
+    return numbered.withColumn(rank, F.col(rank) + F.col(_EARLIER)).select(*all_columns(df), rank, *further)
 
 
 def split_points(df: DataFrame, column: str, buckets: int) -> tuple[list[float], list[float]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import all_columns, col, order_hash
-from tabaudit.functions.ranking import hash_rank
+from tabaudit.functions.ranking import STRATUM, hash_rank
 from tabaudit.operators.splits import SEED
 
 # Copies of one row made by one task before the work is spread again.
@@ -41,13 +41,12 @@ def oversample(
 
 def copy_counts(df: DataFrame, target: str, key: str, largest: int, seed: int) -> DataFrame:
     """Add ``__copies``: how often each row must occur for its class to have ``largest`` rows."""
-    stratum = F.struct(col(target).alias("__class")).alias("__stratum")
+    stratum = F.struct(col(target).alias(target)).alias(STRATUM)
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn").withColumn("__stratum", stratum)
+    ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn", per_group=sizes)
     whole = F.floor(F.lit(largest) / F.col("__n"))
     extra = F.when(F.col("__rn") <= F.lit(largest) % F.col("__n"), 1).otherwise(0)
-    counted = ranked.join(sizes, "__stratum").withColumn("__copies", (whole + extra).cast("long"))
-    return counted.select(*all_columns(df), "__copies")
+    return ranked.select(*all_columns(df), (whole + extra).cast("long").alias("__copies"))
 
 
 def repeated(counted: DataFrame, key: str, many: bool, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import all_columns, col, order_hash
 from tabaudit.functions.joins import join_hot_keys
-from tabaudit.functions.ranking import global_rank, hash_rank
+from tabaudit.functions.ranking import STRATUM, global_rank, hash_rank
 from tabaudit.functions.storage import materialize
 
 # Defaults of the splitters.
@@ -52,10 +52,9 @@ def stratified_holdout(
     missing = F.col("__wanted") - F.sum("__whole").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc(F.col("__exact") - F.col("__whole")), "__class"))
     quota = F.col("__whole") + F.when(place <= missing, 1).otherwise(0)
-    quotas = shares.select(F.struct("__class").alias("__stratum"), quota.alias("__quota"))
-    ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn")
-    joined = ranked.withColumn("__stratum", F.struct(col(target).alias("__class"))).join(quotas, "__stratum")
-    return joined.select(*all_columns(df), (F.col("__rn") <= F.col("__quota")).alias(name))
+    quotas = shares.select(F.struct(F.col("__class").alias(target)).alias(STRATUM), quota.alias("__quota"))
+    ranked = hash_rank(df, [target], order_hash(key, seed), key, "__rn", per_group=quotas)
+    return ranked.select(*all_columns(df), (F.col("__rn") <= F.col("__quota")).alias(name))
 
 
 def group_fold_table(df: DataFrame, group: str, folds: int = FOLDS, seed: int = SEED) -> DataFrame:

@@ -330,3 +330,18 @@ def test_binary_metrics_refuse_three_classes(spark):
 def test_kernel_width_of_values_with_a_large_mean(spark):
     rows = spark.range(7).select(array_to_vector(F.array((F.col("id") + 1e9).cast("double"))).alias("v"))
     assert models.overall_variance(rows, "v") == pytest.approx(4.0)
+
+
+def test_rows_are_not_moved_by_class(spark):
+    """Quotas and copies come with the offsets of cells, also where nothing is broadcast."""
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("y"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for found in (splits.stratified_holdout(df, "y", "id"), sampling.copy_counts(df, "y", "id", 2000, 1)):
+            plan = found._jdf.queryExecution().toString()
+            nodes = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+            moved = [n for n in nodes.split("\n\n") if "Exchange" in n.split("\n")[0] and "payload" in n]
+            assert "Exchange" in plan and moved and all("__cell" in n and "hashpartitioning(__stratum" not in n for n in moved)
+            assert found.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
