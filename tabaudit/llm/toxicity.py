@@ -37,7 +37,7 @@ from tabaudit.llm.frames import decoded, each_text, fresh, text_bytes
 WINDOW = 8  # words
 GRAM = 6  # bytes
 LEVEL = 3
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 1_536
 THRESHOLD = 0.3
 # Savings in bytes from which a window counts in the features.
 FIRST, STRONG = 1, 5
@@ -47,8 +47,8 @@ FIRST, STRONG = 1, 5
 class Bounds:
     """How many labelled rows the model is fitted on; longer texts are not used for fitting."""
 
-    toxic: int = 1_200
-    ordinary: int = 3_000
+    toxic: int = 1_600
+    ordinary: int = 4_000
     characters: int = 50_000
 
 
