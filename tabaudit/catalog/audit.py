@@ -269,9 +269,29 @@ def profile_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, 6, "lower", "upper")
 
 
-@query()
+_PROFILED = (*LINEITEM_FEATURES, "l_returnflag")
+
+
+@query(
+    " union all ".join(
+        [f"select 'columns' as part, '{c}' as item, (count(*) - count({c}))::double as value from lineitem" for c in _PROFILED]
+        + [f"select 'numeric', '{c}', (count(*) filter (where {c} = 0))::double from lineitem" for c in LINEITEM_FEATURES]
+        + ["select 'values', 'l_returnflag', count(l_returnflag)::double from lineitem"]
+        + [f"select 'histogram', '{c}', count({c})::double from lineitem" for c in LINEITEM_FEATURES]
+        + [f"select 'correlation', column_a || ' ' || column_b, round(abs_corr, 6) from ({_PAIRS_SQL}) p"]
+    )
+)
 def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each part of a full profile has."""
+    """All parts of a full profile: nulls, zeros, rows of the top values and bins, correlations."""
     parts = profile.full_profile(audit_lineitem(spark, sf_dir).df)
-    counts = [p.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n")) for n, p in parts.items()]
-    return reduce(DataFrame.unionByName, counts)
+    column = F.col("column").alias("item")
+    rows = {
+        "columns": parts["columns"].select(column, F.col("n_nulls").cast("double").alias("value")),
+        "numeric": parts["numeric"].select(column, F.col("zeros").cast("double").alias("value")),
+        "values": parts["values"].groupBy(column).agg(F.sum("n").cast("double").alias("value")),
+        "histogram": parts["histogram"].groupBy(column).agg(F.sum("n").cast("double").alias("value")),
+        "correlation": parts["correlation"].select(
+            F.concat_ws(" ", "column_a", "column_b").alias("item"), F.round("abs_corr", 6).alias("value")
+        ),
+    }
+    return reduce(DataFrame.unionByName, [r.select(F.lit(n).alias("part"), "item", "value") for n, r in rows.items()])
