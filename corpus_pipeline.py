@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabaudit.functions.storage import materialize
 from tabaudit.llm import decision_list, packing, signature_join, toxicity
+from tabaudit.llm.frames import small_batches
 from tabaudit.llm.tokens import vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,21 +21,25 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that a learned rule rejects go."""
+    small_batches(spark)
     return decision_list.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score at or above the threshold go."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays."""
+    small_batches(spark)
     return signature_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary(VOCABULARY), CAPACITY, END_ID)
 
 

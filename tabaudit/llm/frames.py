@@ -31,6 +31,15 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, function: Calla
     return docs.select(col(id_column), text_bytes(text_column)).mapInArrow(function, schema)
 
 
+# Rows of whole texts in one Arrow batch: Spark's default of 10,000 rows is made for narrow rows.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let jobs over texts send few rows at a time to Python, which bounds the buffers of both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
 def sliced(batches: Batches, rows: int = 500) -> Batches:
     """The same rows in batches of at most ``rows``, so that what Python makes of a batch stays small."""
     for batch in batches:
