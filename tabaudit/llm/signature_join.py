@@ -348,7 +348,8 @@ def jaccard_components(
     shared = materialize(_rarest(shared, percent, extra), "candidates")
     units, cut = _units(materialize(_clusters(shared), "clusters"), percent, unit)
     texts = docs.select(col(id_column).cast("long").alias("rep"), text_bytes(text_column).alias("text"))
-    edges = materialize(_compare_units(texts.join(units, "rep"), width, percent), "links")
+    # The units grow with the documents, so they are never broadcast: one plan for every size.
+    edges = materialize(_compare_units(texts.join(units.hint("merge"), "rep"), width, percent), "links")
     if cut:
         found = connected_components(edges)
     else:
