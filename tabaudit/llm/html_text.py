@@ -2,13 +2,16 @@
 
 The standard library's parser streams events.  They are gathered into *lines*: the text between two block
 boundaries, with the number of tags in it and the elements that enclose it.  Lines in elements
-that are no article text by their kind (menus, footers, forms, scripts) or by the words of
-their class, id or role (adverts, notices, comments, sidebars) are marked as boilerplate.
+that are no article text by their kind (menus, footers, scripts) are marked as boilerplate.  So are those in forms and
+in elements with certain words in their class, id or role (adverts, notices, comments, sidebars), but only where
+these hold a minor share of the text around them: an element with most of it is a wrapper ("no-sidebar", a form
+around the whole page) and only its inner elements are judged.  Marks of this kind never leave a page without text.
 
 For the others the ratio of text to tags is smoothed with a Gaussian over neighbouring lines and split into two
 clusters by the threshold between their means.  The upper cluster gives the content regions.  The
 element that holds most of their text is the article, and all its unmarked lines are
-returned, also short ones between regions.  Where no element encloses them, the lines from the first
+returned, also short ones between regions.  It is widened to the elements around it (titles, leads, further parts)
+while what they add is not mostly links.  Where no element encloses the regions, the lines from the first
 region to the last one are returned, without those that are mostly links.
 
 White space inside a line becomes one space and lines are joined by a line break.  Null or empty pages
@@ -45,7 +48,7 @@ _INLINE = frozenset(
 )
 # Elements that never hold article text; a header does where it belongs to an article.
 _NEVER = frozenset(
-    "aside button canvas datalist footer form head iframe menu nav noscript object script select style svg template"
+    "aside button canvas datalist footer head iframe menu nav noscript object script select style svg template"
     " textarea title".split()
 )
 _WORDS = frozenset(
@@ -66,26 +69,50 @@ def _names(value: str | None) -> set[str]:
     return {p.lower() for p in parts if p}
 
 
+# Kinds of marks: none, a form or a word inside a longer name, a name of such words alone, an element's kind.
+_NONE, _WEAK, _STRONG, _SURE = range(4)
+
+
 class Line:
-    __slots__ = ("text", "tags", "link_chars", "containers", "marked")
+    __slots__ = ("text", "tags", "link_chars", "containers", "marked", "named")
 
-    def __init__(self, text: str, tags: int, link_chars: int, containers: tuple[int, ...], marked: bool) -> None:
+    def __init__(self, text: str, tags: int, link_chars: int, containers: tuple[int, ...], marked: bool, named: tuple[int, ...]) -> None:
         self.text, self.tags, self.link_chars = text, tags, link_chars
-        self.containers, self.marked = containers, marked
+        self.containers, self.marked, self.named = containers, marked, named
+
+    @property
+    def plain(self) -> int:
+        """Characters outside links."""
+        return max(0, len(self.text) - self.link_chars)
 
     @property
     def ratio(self) -> float:
-        return max(0, len(self.text) - self.link_chars) / max(1, self.tags)
+        return self.plain / max(1, self.tags)
+
+    @property
+    def linked(self) -> bool:
+        return 2 * self.link_chars > len(self.text)
+
+
+class Named:
+    """An element marked by its name: its ``group`` is that of its like inside the same marked element (``scope``)."""
+
+    __slots__ = ("scope", "strong", "group")
+
+    def __init__(self, scope: int, strong: bool, group: tuple) -> None:
+        self.scope, self.strong, self.group = scope, strong, group
 
 
 class _Events(HTMLParser):
-    """Gather lines; ``kinds`` has the tag of each container number."""
+    """Gather lines; ``kinds`` has the tag of each container number, ``named`` the elements marked by name."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = []
-        self.open: list[tuple[str, bool, int | None]] = []  # tag, begins boilerplate, container
+        self.named: list[Named] = []
+        self.inside: list[int] = []  # open elements marked by name
+        self.open: list[tuple[str, int, int | None]] = []  # tag, mark, container
         self.boilerplate = self.articles = self.links = 0
         self.pieces: list[str] = []
         self.tags = self.link_chars = 0
@@ -94,26 +121,34 @@ class _Events(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         if text:
             containers = tuple(c for _, _, c in self.open if c is not None)
-            self.lines.append(Line(text, self.tags, self.link_chars, containers, self.boilerplate > 0))
+            self.lines.append(Line(text, self.tags, self.link_chars, containers, self.boilerplate > 0, tuple(self.inside)))
         self.pieces, self.tags, self.link_chars = [], 0, 0
 
-    def _is_boilerplate(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    def _mark(self, tag: str, attributes: list[tuple[str, str | None]]) -> int:
         if tag in _NEVER:
-            return True
+            return _SURE
+        values = [v or "" for k, v in attributes if k in ("class", "id", "role")]
         if tag in ("html", "body", "article", "main"):
-            named = set()
-        else:
-            named = set().union(*(_names(v) for k, v in attributes if k in ("class", "id", "role")), set())
-        if tag == "article" and any(_names(v) & {"comment", "comments"} for k, v in attributes if k in ("class", "id")):
-            return True
-        if tag == "header" or named & _HEADERS:
-            return not self.articles
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attributes)
-        return bool(named & _WORDS) or hidden
+            values = [] if tag != "article" else [v for v in values if _names(v) & {"comment", "comments"}]
+            if values:
+                return _SURE
+        named = set().union(*map(_names, values), set())
+        if tag == "header":
+            return _NONE if self.articles else _SURE
+        if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attributes):
+            return _STRONG
+        # A header's name counts only outside articles, and there as that of other boilerplate.
+        words = _WORDS if self.articles else _WORDS | _HEADERS
+        if named & _HEADERS and self.articles or not named & words and tag != "form":
+            return _NONE
+        parts = [_names(part) for value in values for part in value.split()]
+        return _STRONG if any(p and p <= words for p in parts) else _WEAK
 
     def _pop(self) -> None:
-        tag, marked, _ = self.open.pop()
-        self.boilerplate -= marked
+        tag, mark, _ = self.open.pop()
+        self.boilerplate -= mark == _SURE
+        if mark in (_WEAK, _STRONG):
+            self.inside.pop()
         self.articles -= tag in ("article", "main")
         self.links -= tag == "a"
 
@@ -139,9 +174,14 @@ class _Events(HTMLParser):
         if tag in _CONTAINERS:
             container = len(self.kinds)
             self.kinds.append(tag)
-        marked = self._is_boilerplate(tag, attributes)
-        self.open.append((tag, marked, container))
-        self.boilerplate += marked
+        mark = self._mark(tag, attributes)
+        self.open.append((tag, mark, container))
+        self.boilerplate += mark == _SURE
+        if mark in (_WEAK, _STRONG):
+            scope = self.inside[-1] if self.inside else -1
+            names = tuple(sorted((k, v or "") for k, v in attributes if k in ("class", "role")))
+            self.inside.append(len(self.named))
+            self.named.append(Named(scope, mark == _STRONG, (scope, tag, mark, names)))
         self.articles += tag in ("article", "main")
         self.links += tag == "a"
 
@@ -183,9 +223,62 @@ def parse(page: str) -> tuple[list[Line], list[str]]:
     events = _Events()
     events.feed(page)
     events.finish()
+    _mark_named(events)
     return events.lines, events.kinds
 
 
+def _mark_named(events: _Events) -> None:
+    """Mark the lines of elements with boilerplate names, but for elements that hold most of the text around them.
+
+    A name of such words alone ("comments") must hold nine tenths to be a wrapper.  Forms and longer names
+    ("has-comments") are wrappers if those of one scope hold more than half of what is left, and each that holds a tenth
+    is one then.  Neither is where an ``article`` outside has a quarter of its text.
+    """
+    lines = [line for line in events.lines if not line.marked]
+    held: dict[int | tuple, int] = defaultdict(int)
+    in_articles = 0
+    articles: dict[int | tuple, int] = defaultdict(int)
+    for line in lines:
+        held[-1] += line.plain
+        inside = {n for n in line.named} | {events.named[n].group for n in line.named}
+        for n in inside:
+            held[n] += line.plain
+        if any(events.kinds[c] == "article" for c in line.containers):
+            in_articles += line.plain
+            for n in inside:
+                articles[n] += line.plain
+    wrappers = {-1}
+
+    def elsewhere(group: tuple) -> bool:
+        outside = in_articles - articles[group]
+        return outside > 0 and 4 * outside >= held[group]
+
+    by_scope: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for n, element in enumerate(events.named):
+        by_scope[element.scope][element.group].append(n)
+    for scope in sorted(by_scope):  # outer elements have lower numbers
+        if scope not in wrappers:
+            continue
+        groups, total = by_scope[scope], held[scope]
+        weak = []
+        left = total
+        for group, members in groups.items():
+            if not events.named[members[0]].strong:
+                weak.append(group)
+            elif 10 * held[group] > 9 * total and not elsewhere(group):
+                wrappers.update(members)
+            else:
+                left -= held[group]
+        if 2 * sum(held[group] for group in weak) > left:
+            for group in weak:
+                if 10 * held[group] >= left and not elsewhere(group):
+                    wrappers.update(groups[group])
+    marked = [any(n not in wrappers for n in line.named) for line in lines]
+    if not all(marked):
+        for line, mark in zip(lines, marked):
+            line.marked = mark
+
+
 def smoothed(ratios: list[float]) -> np.ndarray:
     """Gaussian over neighbouring lines; at the ends the weights that exist count."""
     values = np.array(ratios, float)
@@ -222,6 +315,32 @@ def _article(lines: list[Line], kinds: list[str], in_region: list[bool]) -> int
     return max(most) if most else None  # inner elements have higher numbers
 
 
+def _widened(article: int, lines: list[Line], kinds: list[str], in_region: list[bool]) -> list[Line]:
+    """The article's lines with those that the elements around it add, up to an element that adds mostly links.
+
+    The body adds its own lines and regions only, and other articles with linked lines are teasers.
+    """
+    chosen = [article in line.containers for line in lines]
+    path = next(line.containers for line, c in zip(lines, chosen) if c)
+    inner = path.index(article)
+    teasers = {
+        c for k, line in enumerate(lines) if not chosen[k] and line.linked
+        for c in line.containers if kinds[c] == "article" and c not in path[: inner + 1]
+    }
+    for at in range(inner - 1, -1, -1):
+        around = path[at]
+        if kinds[article] == "main":
+            break
+        added = [k for k, line in enumerate(lines) if not chosen[k] and around in line.containers and not teasers & set(line.containers)]
+        if sum(lines[k].link_chars for k in added) > sum(lines[k].plain for k in added):
+            break
+        for k in added:
+            own = kinds[around] != "body" or in_region[k] or lines[k].containers[-1] == around
+            chosen[k] = own and not lines[k].linked
+        article = around
+    return [line for line, c in zip(lines, chosen) if c]
+
+
 def main_text(page: str) -> str:
     lines, kinds = parse(page)
     lines = [line for line in lines if not line.marked]
@@ -232,10 +351,10 @@ def main_text(page: str) -> str:
     in_region = [bool(v >= threshold) for v in values]
     article = _article(lines, kinds, in_region)
     if article is not None:
-        chosen = [line for line in lines if article in line.containers]
+        chosen = _widened(article, lines, kinds, in_region)
     else:
         first, last = in_region.index(True), len(in_region) - in_region[::-1].index(True)
-        chosen = [line for line in lines[first:last] if 2 * line.link_chars <= len(line.text)]
+        chosen = [line for line in lines[first:last] if not line.linked]
     return "\n".join(line.text for line in chosen)
 
 

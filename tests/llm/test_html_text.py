@@ -53,3 +53,33 @@ def test_table(spark):
     wanted = [(1, "u", A, len(A)), (2, None, "", 0), (3, "v", "", 0), (None, "w", "", 0)] + [(5, "long", long, len(long))] * 2
     assert sorted(found, key=repr) == sorted(wanted, key=repr)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_wrappers_with_boilerplate_words():
+    """A word in the name of what holds the page's text is no reason to drop it; inner elements are still judged."""
+    body = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+    for name in ("content right-sidebar", "no-sidebar", "has-comments", "ad-free", "widget", "layoutNoSidebar"):
+        assert main_text(f'<body>{MENU}<div class="{name}">{body}</div></body>') == "\n".join([A, B, C]), name
+    inner = f'{body}<div class="comments"><p>{A}</p></div><div class="ad-slot">{B}</div>'
+    assert main_text(f'<body><div id="page" class="has-comments">{inner}</div></body>') == "\n".join([A, B, C])
+    assert main_text(f'<body><form action="/">{MENU}<div>{body}</div><form><p>Mail us</p></form></form></body>') == "\n".join([A, B, C])
+    posts = "".join(f'<div class="post ad-free"><p>{t}</p></div>' for t in (A, B, C))
+    assert main_text(f"<body>{MENU}{posts}</body>") == "\n".join([A, B, C])
+    assert main_text(f'<body><div class="comments"><p>{A}</p></div></body>') == A
+
+
+def test_large_boilerplate_beside_an_article():
+    comments = "".join(f'<div class="comment"><p>{C} {C}</p></div>' for _ in range(4))
+    assert main_text(f'<body><div class="post"><p>{A}</p><p>{B}</p></div><div id="comments">{comments}</div></body>') == "\n".join([A, B])
+    page = f'<body><article><p>{A}</p><p>{B}</p></article><div class="comments-area"><p>{C} {C}</p></div></body>'
+    assert main_text(page) == "\n".join([A, B])
+
+
+def test_title_and_lead_around_the_text():
+    text = f"<p>{A} {A}</p><p>{B} {B}</p><p>{C} {C}</p>"
+    wanted = "\n".join(["Title", "A lead.", f"{A} {A}", f"{B} {B}", f"{C} {C}"])
+    assert main_text(f'<body>{MENU}<div class=post><h1>Title</h1><p>A lead.</p><div class=text>{text}</div></div></body>') == wanted
+    assert main_text(f"<body>{MENU}<main><h1>Title</h1><p>A lead.</p><article>{text}</article></main></body>") == wanted
+    assert main_text(f"<body><h1>Title</h1><p>A lead.</p><div class=text>{text}</div></body>") == wanted
+    parts = f"<main><article><p>{A} {A}</p><p>{C}</p></article><article><p>{B}</p></article></main>"
+    assert main_text(f"<body>{MENU}{parts}</body>") == "\n".join([f"{A} {A}", C, B])
