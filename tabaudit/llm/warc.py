@@ -8,13 +8,14 @@ not-modified answer may update; headers about the payload or the connection keep
 
 The as-of join needs no window over all records of a URL.  Time is cut into cells at sketched quantiles.
 A running maximum is taken inside each (URL, cell), and one over the last responses of earlier cells, one
-row for each cell, so a URL with a third of all records is spread over a third of the cells.  Only (time, record id)
-moves through the windows; validators and headers are fetched by record id afterwards.
+row for each cell, so a URL with a third of all records is spread over a third of the cells.  A response moves
+through the windows with its validators and headers, so nothing is joined by record id, which may be null or repeated.
 
 Columns of the records: ``record_id``, ``url``, ``kind`` (``response`` or ``revisit``), ``captured_at`` (a number),
 ``etag``, ``last_modified``, ``headers`` (map, lower-case names).  Defined results: a null url or time matches nothing
-(``no earlier response``); of responses with the same time the one with the highest id counts; equal times are
-not earlier; without a common validator the status is ``unverified``.  Records of no or another kind and other columns
+(``no earlier response``); of responses with the same time the one with the highest id counts (a null id is the lowest), then the one with the
+highest tag, date and headers; equal times are not earlier; every revisit row gives one row, also if its id is null or
+repeated, and repeated responses count as one; without a common validator the status is ``unverified``.  Records of no or another kind and other columns
 are ignored, and an empty table gives no rows.
 """
 
@@ -48,17 +49,25 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.isNotNull(), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
-def latest_earlier(records: DataFrame) -> DataFrame:
-    """``record_id``, ``canonical_url``, ``captured_at`` of every revisit with the ``response_id`` of its as-of match."""
+_VALIDATORS = ("etag", "last_modified", "headers")
+
+
+def _response_order() -> list[Column]:
+    """What orders responses after their time; maps have no order, their sorted entries do."""
+    return [F.col("record_id"), F.col("etag"), F.col("last_modified"), F.array_sort(F.map_entries("headers")).alias("entries")]
+
+
+def _matched(records: DataFrame) -> DataFrame:
+    """Every revisit row with the struct ``response`` of its as-of match, which is null if there is none."""
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("captured_at").cast("long").alias("captured_at"),
-        (F.col("kind") == "response").alias("full"),
+        *_VALIDATORS, (F.col("kind") == "response").alias("full"),
     )
     able = rows.where(F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull())
     cells = 4 * shuffle_partitions(records.sparkSession)
     points, _ = split_points(able, "captured_at", cells)
     able = with_bucket(able, "captured_at", points, "cell")
-    key = F.when(F.col("full"), F.struct("captured_at", "record_id"))
+    key = F.when(F.col("full"), F.struct("captured_at", *_response_order()))
     last = able.where("full").groupBy("canonical_url", "cell").agg(F.max(key).alias("last"))
     marks = able.where(~F.col("full")).select("canonical_url", "cell").distinct()
     per_cell = last.join(marks, ["canonical_url", "cell"], "full")
@@ -67,10 +76,16 @@ def latest_earlier(records: DataFrame) -> DataFrame:
     inside = Window.partitionBy("canonical_url", "cell").orderBy("captured_at").rangeBetween(Window.unboundedPreceding, -1)
     found = able.withColumn("here", F.max(key).over(inside)).where(~F.col("full"))
     matched = found.join(carried, ["canonical_url", "cell"], "left").select(
-        "record_id", "canonical_url", "captured_at", F.coalesce("here", "carried")["record_id"].alias("response_id")
+        "record_id", "canonical_url", "captured_at", *_VALIDATORS, F.coalesce("here", "carried").alias("response")
     )
     unable = rows.where(~F.col("full") & (F.col("canonical_url").isNull() | F.col("captured_at").isNull()))
-    return matched.unionByName(unable.select("record_id", "canonical_url", "captured_at", F.lit(None).cast("long").alias("response_id")))
+    missing = F.lit(None).cast(matched.schema["response"].dataType).alias("response")
+    return matched.unionByName(unable.select("record_id", "canonical_url", "captured_at", *_VALIDATORS, missing))
+
+
+def latest_earlier(records: DataFrame) -> DataFrame:
+    """``record_id``, ``canonical_url``, ``captured_at`` of every revisit with the ``response_id`` of its as-of match."""
+    return _matched(records).select("record_id", "canonical_url", "captured_at", F.col("response.record_id").alias("response_id"))
 
 
 def _tag(value: Column) -> Column:
@@ -91,22 +106,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     Headers are merged only where the status is ``resolved``; else they are the revisit's own.
     """
-    sides = {
-        kind: records.where(F.col("kind") == kind).select(
-            F.col("record_id").alias(f"{kind}_key"),
-            F.col("captured_at").cast("long").alias(f"{kind}_time"),
-            *[F.col(c).alias(f"{kind}_{c}") for c in ("etag", "last_modified", "headers")],
-        )
-        for kind in ("response", "revisit")
-    }
-    found = latest_earlier(records)
-    found = found.join(sides["revisit"].drop("revisit_time"), found.record_id == F.col("revisit_key"))
-    found = found.join(sides["response"], F.col("response_id") == F.col("response_key"), "left")
-    tags = _tag(F.col("revisit_etag")) == _tag(F.col("response_etag"))
-    dates = F.col("revisit_last_modified") == F.col("response_last_modified")
+    found = _matched(records)
+    response = F.col("response")
+    tags = _tag(F.col("etag")) == _tag(response["etag"])
+    dates = F.col("last_modified") == response["last_modified"]
     agree = F.coalesce(tags, dates)
     status = (
-        F.when(F.col("response_id").isNull(), MISSING)
+        F.when(response.isNull(), MISSING)
         .when(agree.isNull(), UNVERIFIED)
         .when(agree, RESOLVED)
         .otherwise(MISMATCH)
@@ -115,16 +121,27 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.col("record_id").alias("revisit_id"),
         "canonical_url",
         "captured_at",
-        "response_id",
-        F.col("response_time").alias("response_at"),
+        response["record_id"].alias("response_id"),
+        response["captured_at"].alias("response_at"),
         status.alias("status"),
-        F.when(status == RESOLVED, merged_headers(F.col("response_headers"), F.col("revisit_headers")))
-        .otherwise(F.col("revisit_headers"))
+        F.when(status == RESOLVED, merged_headers(F.map_from_entries(response["entries"]), F.col("headers")))
+        .otherwise(F.col("headers"))
         .alias("headers"),
     )
 
 
 def attach_payload(resolved: DataFrame, records: DataFrame, payload: str) -> DataFrame:
-    """Add the response's payload to resolved revisits."""
-    bodies = records.where(F.col("kind") == "response").select(F.col("record_id").alias("response_id"), payload)
-    return resolved.where(F.col("status") == RESOLVED).join(bodies, "response_id")
+    """Add the response's payload to resolved revisits, one row for each.
+
+    Responses are found by URL, time and id, which may be null; of those alike the one that was matched counts.
+    """
+    names = ["response_id", *[c for c in resolved.columns if c != "response_id"]]
+    full = records.where(F.col("kind") == "response").select(
+        canonical_url(F.col("url")).alias("body_url"), F.col("captured_at").cast("long").alias("body_at"),
+        F.col("record_id").alias("body_id"), F.struct(*_response_order()[1:], F.col(payload)).alias("order"),
+    )
+    bodies = full.groupBy("body_url", "body_at", "body_id").agg(F.max("order").alias("body"))
+    same = (F.col("canonical_url") == F.col("body_url")) & (F.col("response_at") == F.col("body_at"))
+    same &= F.col("response_id").eqNullSafe(F.col("body_id"))
+    joined = resolved.where(F.col("status") == RESOLVED).join(bodies, same)
+    return joined.select(*names, F.col("body")[payload].alias(payload))

@@ -73,3 +73,32 @@ def test_no_records(spark):
     assert warc.resolve_revisits(table(spark, [])).count() == 0
     only = [(1, "http://a/", "revisit", 5, None, None, None)]
     assert warc.resolve_revisits(table(spark, only)).first()["status"] == warc.MISSING
+
+
+def test_null_and_repeated_ids(spark):
+    one = (1, "http://a/x", "response", 10, '"e1"', None, {"vary": "a"})
+    again = (2, "http://a/x", "revisit", 20, '"e1"', None, {"date": "2"})
+    rows = [
+        one, one, one, again, again,
+        (None, "http://b/", "response", 10, '"b"', None, {"vary": "b"}),
+        (None, "http://b/", "revisit", 20, '"b"', None, None),
+        (None, "http://b/", "revisit", 30, '"z"', None, {"date": "3"}),
+        (None, "http://c/", "revisit", 30, None, None, None),
+        (None, None, "revisit", 30, None, None, None),
+        (5, "http://d/", "response", 10, '"d"', None, None),
+        (None, "http://d/", "response", 10, '"other"', None, None),
+        (6, "http://d/", "revisit", 11, '"d"', None, None),
+    ]
+    resolved = warc.resolve_revisits(table(spark, rows))
+    found = sorted(((r["canonical_url"], r["captured_at"], r["revisit_id"], r["response_id"], r["response_at"], r["status"], r["headers"]) for r in resolved.collect()), key=repr)
+    wanted = [
+        *[("a/x", 20, 2, 1, 10, warc.RESOLVED, {"vary": "a", "date": "2"})] * 2,
+        ("b", 20, None, None, 10, warc.RESOLVED, {"vary": "b"}),
+        ("b", 30, None, None, 10, warc.MISMATCH, {"date": "3"}),
+        ("c", 30, None, None, None, warc.MISSING, None),
+        (None, 30, None, None, None, warc.MISSING, None),
+        ("d", 11, 6, 5, 10, warc.RESOLVED, {}),
+    ]
+    assert found == sorted(wanted, key=repr)
+    bodies = warc.attach_payload(resolved, table(spark, rows), "payload").collect()
+    assert sorted((r["canonical_url"], r["payload"]) for r in bodies) == [("a/x", "body 1")] * 2 + [("b", "body None"), ("d", "body 5")]
