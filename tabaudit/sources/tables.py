@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from datetime import datetime
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -128,6 +130,15 @@ def stamped_name(path: str, now: datetime | None = None) -> str:
     return f"{stamp}_{posixpath.basename(path.rstrip('/'))}"
 
 
+def _root(spark: SparkSession, source: str) -> str:
+    """The full path of ``source`` as file listings spell it, up to its first pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = system.makeQualified(path).toString().split("/")
+    plain = next((k for k, part in enumerate(parts) if re.search(r"[*?\[{]", part)), len(parts))
+    return "/".join(parts[:plain]).rstrip("/")
+
+
 def archive(
     spark: SparkSession,
     source: str,
@@ -138,17 +149,20 @@ def archive(
     """Copy the files of a table to ``out_dir`` under a time-stamped name, gzipped if asked.
 
     Executors copy byte by byte, a file each and in small pieces, so the copy is identical to its source
-    whatever it holds.  A file appears under its name when it is complete.
+    whatever it holds.  A file keeps its path relative to the source, so the folders of a partitioned table stay,
+    and appears under its name when it is complete.
     """
     target = f"{out_dir.rstrip('/')}/{stamped_name(source, now)}"
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                files, place = fs.FileSystem.from_uri(path)
-                out, folder = fs.FileSystem.from_uri(target)
+            for path, inside in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # Listings spell paths as they are, also with per cent signs and spaces in names of partitions.
+                files, place = fs.FileSystem.from_uri(quote(path, safe="/:@=+,;&"))
+                out, base = fs.FileSystem.from_uri(target)
+                name = f"{base}/{inside}" + ".gz" * compress
+                folder = posixpath.dirname(name)
                 out.create_dir(folder, recursive=True)
-                name = f"{folder}/{posixpath.basename(place)}" + ".gz" * compress
                 temporary = f"{folder}/.{posixpath.basename(name)}.{uuid.uuid4().hex}"
                 with files.open_input_stream(place, compression=None) as reader:
                     with out.open_output_stream(temporary, compression="gzip" if compress else None) as writer:
@@ -158,10 +172,17 @@ def archive(
             yield batch
 
     # Listing files does not read them.  A table has few enough files for one row each.
-    files_read = spark.read.format("binaryFile").load(source).select("path")
+    files_read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path")
     hidden = F.element_at(F.split("path", "/"), -1).rlike("^[._]")
-    listed = files_read.filter(~hidden).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
-    listed.mapInArrow(copy, "path string").write.format("noop").mode("overwrite").save()
+    root = _root(spark, source)
+    below = F.when(F.col("path").startswith(f"{root}/"), F.col("path").substr(len(root) + 2, 1 << 30))
+    name = F.when(F.col("path") == root, F.element_at(F.split("path", "/"), -1)).otherwise(below)
+    listed = files_read.filter(~hidden).withColumn("name", name)
+    clash = listed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or name is null").head(1)
+    if clash:
+        raise ValueError(f"{clash[0]['n']} files of {source} have no place of their own in the archive ({clash[0]['name']})")
+    listed = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    listed.mapInArrow(copy, "path string, name string").write.format("noop").mode("overwrite").save()
     return target
 
 

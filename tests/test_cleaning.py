@@ -162,6 +162,21 @@ def test_archive_keeps_text(spark, tmp_path, compress):
     assert data == (tmp_path / "in.csv").read_bytes() and (file.suffix == ".gz") == compress
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_archive_keeps_partitions(spark, tmp_path, compress):
+    """Files of one task have one name in every folder of a partitioned table."""
+    values = ["a", "b", "c:d 100%", None]
+    wanted = [(n, values[n % 4]) for n in range(40)]
+    rows = spark.createDataFrame(wanted, "n int, k string").coalesce(1)
+    rows.write.partitionBy("k").option("header", True).csv(str(tmp_path / "in.csv"))
+    copy = tables.archive(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), compress, datetime(2024, 5, 6, 7, 8, 9))
+    found = [(r["n"], r["k"]) for r in tables.read_table(spark, copy).collect()]
+    assert sorted(found) == sorted(wanted)
+    names = {p.relative_to(copy).as_posix() for p in (tmp_path / "out").rglob("*.csv*") if p.is_file() and p.name[0] != "."}
+    source = tmp_path / "in.csv"
+    assert names == {p.relative_to(source).as_posix() + ".gz" * compress for p in source.rglob("part*")}
+
+
 def test_run_index(spark):
     path = scratch_path(spark, "runs")
     assert runs.load_runs(spark, path).count() == 0
