@@ -3,7 +3,7 @@
 Documents are sets of word shingles; two link when their sets' Jaccard similarity reaches a threshold.  The
 result has every document with the size of its set and the smallest document reachable by links.  It is exact.
 
-1. **Copies.**  Documents with equal sets are one node, the smallest id stands for them.
+1. **Copies.**  Rows with equal sets are one node with a number of its own; the row with the smallest id lends its text.
 2. **Candidates.**  With shingles in the order of their hashes, two linked sets share at least l of
    their first n - ceil(t n) + l shingles (*keys*).  l grows with the set, so a document that has fewer than l
    keys in common with any others links to nothing.  This drops documents that merely
@@ -22,6 +22,8 @@ result has every document with the size of its set and the smallest document rea
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Fewer words than a shingle are one shingle; null
 texts and texts without words have an empty set and link to nothing.  Rows with equal ids count
 as one document with several texts; a null id is its own component (null).  Shingles are compared by 64-bit hashes.
+A row is found again by its id and a 64-bit hash of its text, so only its own text comes with it.
+``keep_one`` works on rows: an id with two texts is two rows that stay or go by their texts, as are rows without id.
 """
 
 from __future__ import annotations
@@ -32,13 +34,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
 from tabaudit.functions.storage import materialize
 from tabaudit.llm.components import connected_components
-from tabaudit.llm.frames import decoded, shuffle_partitions, sliced, text_bytes
+from tabaudit.llm.frames import decoded, fresh, shuffle_partitions, sliced, text_bytes
 
 WORDS = 4
 PERCENT = 85
@@ -206,26 +208,33 @@ class SignatureTree:
                 self.forest.union(i, j)
 
 
+def row_key(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """What finds a row again: its id (rows without id: a hash of the text), and a hash of the text."""
+    number, text = col(id_column).cast("long"), text_bytes(text_column)
+    return F.coalesce(number, F.xxhash64(text)), F.xxhash64(number.isNull(), text)
+
+
 def document_sets(docs: DataFrame, width: int, percent: int, extra: int, id_column: str, text_column: str) -> DataFrame:
-    """``doc_id``, ``n``, a 128-bit hash of the set (``h1``, ``h2``) and its ``keys``."""
+    """``doc_id``, the ``row_key`` (``k1``, ``k2``), ``n``, a 128-bit hash of the set (``h1``, ``h2``) and its ``keys``."""
     types = {"n": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows, keys = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(3).to_pylist():
                 found = shingles(decoded(text), width)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
                 rows.append((len(found), int(digest[0]), int(digest[1])))
                 keys.append(found[: n_keys(len(found), percent, extra)])
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64)
-            columns = [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types.values())]]
+            columns = [*batch.columns[:3], *[pa.array(c, t) for c, t in zip(zip(*rows), types.values())]]
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *types, "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", *types, "keys"])
 
-    rows = docs.select(col(id_column).cast("long").alias("doc_id"), text_bytes(text_column))
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>")
+    k1, k2 = row_key(id_column, text_column)
+    rows = docs.select(col(id_column).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text_bytes(text_column))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, keys array<long>")
 
 
 def _needed(percent: int, extra: int):
@@ -307,6 +316,8 @@ def _compare_units(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 if at != unit:
                     found += edges(ids, sides, sets)
                     unit, ids, sides, sets = at, [], [], []
+                elif ids and ids[-1] == rep and sides[-1] == side:
+                    continue  # the same row again
                 ids.append(rep)
                 sides.append(side)
                 sets.append(shingles(decoded(text), width))
@@ -326,6 +337,51 @@ def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
+def _linked_sets(
+    docs: DataFrame, width: int, percent: int, extra: int, unit: int, id_column: str, text_column: str, by_id: bool
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, distinct sets, members and links.
+
+    Distinct sets have a number ``rep``, their smallest ``doc_id`` and the ``row_key`` of its row; members are the rows with
+    a set and its ``rep``; links have the smallest ``component`` for each ``rep`` with any.  ``by_id`` leaves rows without
+    id out and links the sets of one id.
+    """
+    sets = materialize(document_sets(docs, width, percent, extra, id_column, text_column), "sets")
+    filled = sets.where(F.col("n") > 0)
+    if by_id:
+        filled = filled.where(F.col("doc_id").isNotNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")).alias("first")
+    least = filled.groupBy("h1", "h2", "n").agg(first).select("h1", "h2", "n", F.monotonically_increasing_id().alias("rep"), "first.*")
+    least = materialize(least, "distinct-sets")  # written, so numbers stay
+    named = least.select("h1", "h2", "n", "rep", F.col("doc_id").alias("least_id"), F.col("k1").alias("first_k1"), F.col("k2").alias("first_k2"))
+    rows = filled.select("doc_id", "k1", "k2", "n", "h1", "h2").join(named, ["h1", "h2", "n"])
+    is_first = (F.col("k1") == F.col("first_k1")) & (F.col("k2") == F.col("first_k2"))
+    members = materialize(rows.select("doc_id", "k1", "k2", "n", "rep", "least_id", is_first.alias("is_first")), "members")
+    firsts = members.where("is_first").select("k1", "k2", "rep").distinct()
+    keys = filled.select("k1", "k2", "n", "keys").join(firsts, ["k1", "k2"])
+    shared = keys.select("rep", "n", F.explode("keys").alias("key")).select("key", "rep", "n")
+    for _ in range(PRUNINGS):
+        shared = _prune(shared, percent, extra)
+    shared = materialize(_rarest(shared, percent, extra), "candidates")
+    units, cut = _units(materialize(_clusters(shared), "clusters"), percent, unit)
+    k1, k2 = row_key(id_column, text_column)
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), text_bytes(text_column).alias("text"))
+    # The units grow with the documents, so they are never broadcast: one plan for every size.
+    dealt = firsts.join(units.hint("merge"), "rep")
+    edges = materialize(_compare_units(texts.join(dealt.hint("merge"), ["k1", "k2"]), width, percent), "links")
+    if by_id:
+        several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where(F.col("b") < F.col("last"))
+        several = materialize(several.select("doc_id", "b"), "several-texts")
+        if several.limit(1).count():
+            edges = edges.unionByName(members.join(several, "doc_id").select(F.col("rep").alias("a"), "b").distinct())
+            cut = True
+    if cut:
+        found = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    else:
+        found = edges.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("component"))
+    return sets, least, members, found
+
+
 def jaccard_components(
     docs: DataFrame,
     width: int = WORDS,
@@ -336,33 +392,33 @@ def jaccard_components(
     text_column: str = "text",
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every document."""
-    sets = materialize(document_sets(docs, width, percent, extra, id_column, text_column), "sets")
-    filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    least = filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    members = materialize(filled.select("doc_id", "n", "h1", "h2").join(least, ["h1", "h2", "n"]).select("doc_id", "n", "rep"), "members")
-    first = members.where(F.col("doc_id") == F.col("rep")).select("rep").distinct()
-    keys = filled.select(F.col("doc_id").alias("rep"), "n", "keys").join(first, "rep", "left_semi")
-    shared = keys.select("rep", "n", F.explode("keys").alias("key")).select("key", "rep", "n")
-    for _ in range(PRUNINGS):
-        shared = _prune(shared, percent, extra)
-    shared = materialize(_rarest(shared, percent, extra), "candidates")
-    units, cut = _units(materialize(_clusters(shared), "clusters"), percent, unit)
-    texts = docs.select(col(id_column).cast("long").alias("rep"), text_bytes(text_column).alias("text"))
-    # The units grow with the documents, so they are never broadcast: one plan for every size.
-    edges = materialize(_compare_units(texts.join(units.hint("merge"), "rep"), width, percent), "links")
-    if cut:
-        found = connected_components(edges)
+    sets, least, members, found = _linked_sets(docs, width, percent, extra, unit, id_column, text_column, True)
+    smallest = found.join(least.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(smallest, "component").select("rep", "component_id")
+    linked = members.join(named, "rep", "left")
+    result = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least_id").alias("component_id"))
+    alone = sets.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"))
+    if alone.join(members, "doc_id", "left_semi").limit(1).count():
+        # An empty text of a document that has others.
+        result = materialize(result, "components")
+        alone = alone.join(result.select("doc_id", "component_id").distinct(), "doc_id", "left")
+        alone = alone.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     else:
-        found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    linked = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    result = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    alone = sets.where((F.col("n") == 0) | F.col("doc_id").isNull())
-    return result.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        alone = alone.withColumn("component_id", F.col("doc_id"))
+    return result.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays, that with the smallest id; a null id stays too."""
-    found = jaccard_components(docs, width, percent)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[col(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of rows with equal or linked sets stays, that with the smallest id (none is the largest).
+
+    Rows with an empty set stay, but for repeated rows of one id and text.
+    """
+    sets, least, _, found = _linked_sets(docs, width, percent, EXTRA_PERCENT, UNIT, "doc_id", "text", False)
+    group = F.coalesce("component", "rep").alias("group")
+    first = F.min(F.struct("nameless", "doc_id", "k1", "k2")).alias("first")
+    kept = least.join(found, "rep", "left").groupBy(group).agg(first).select("first.k1", "first.k2")
+    kept = kept.unionByName(sets.where(F.col("n") == 0).select("k1", "k2"))
+    k1, k2 = fresh(docs, "k1", "k2")
+    rows = docs.withColumns(dict(zip((k1, k2), row_key("doc_id", "text"))))
+    rows = rows.join(kept.toDF(k1, k2), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return rows.select(*[col(c) for c in docs.columns])

@@ -127,3 +127,32 @@ def test_components_of_chains_and_stars(spark):
     edges = spark.createDataFrame(chain, "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert found == {**{k: 0 for k in range(201)}, **{k: 1000 for k in range(1000, 1300)}, 4000: 4000, 5000: 4000}
+
+
+def repeated_ids() -> list[tuple[int | None, str | None]]:
+    """Ids with several texts, also empty ones and copies of other documents, and copies without id."""
+    a, b, c, d = (prose(k, 60) for k in range(900, 904))
+    return [
+        (1, a), (2, a + " tail"), (2, b), (3, b + " end"), (4, None), (4, c), (5, c + " more"), (5, ""), (6, d), (6, d),
+        (7, prose(905, 50)), (7, None), (None, d + " x"), *[(None, prose(906, 60) + t) for t in ("", "", " y")],
+    ]
+
+
+def test_components_of_repeated_ids(spark):
+    rows = repeated_ids()
+    found = join.jaccard_components(documents(spark, rows)).where("doc_id is not null").collect()
+    wanted = {i: c for i, (_, c) in brute(rows, 4, 85).items()}
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(
+        (i, len(sets_of(t, 4)), wanted[i]) for i, t in rows if i is not None
+    )
+    assert wanted[2] == wanted[3] == 1
+
+
+def test_rows_of_repeated_ids_stay_by_their_texts(spark):
+    rows = repeated_ids()
+    kept = [(r["doc_id"], r["text"]) for r in join.keep_one(documents(spark, rows)).collect()]
+    a, b, c, d = (prose(k, 60) for k in range(900, 904))
+    wanted = [(1, a), (2, b), (4, None), (4, c), (5, ""), (6, d), (7, prose(905, 50)), (7, None)]
+    assert sorted((k for k in kept if k[0] is not None), key=repr) == sorted(wanted, key=repr)
+    (nameless,) = [t for i, t in kept if i is None]
+    assert nameless.startswith(prose(906, 60))
