@@ -10,9 +10,12 @@ from tabaudit.functions.storage import scratch_path
 from tabaudit.llm import (
     byte_bpe,
     decision_list,
+    discriminant,
     html_text,
+    lexical_search,
     multiset_hash,
     packing,
+    phrases,
     sequence_files,
     signature_join,
     token_histogram,
@@ -182,6 +185,72 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.suffix_sums(token_histogram.length_histogram(docs, vocabulary(WORD_VOCABULARY)))
 
 
+@query("op11_quality_classifier")
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP12_SQL = rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+q as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from benchmark),
+sizes as (select doc_id, len(t) as n from d),
+whole as (select count(*) filter (n > 0) as big_n, coalesce(cast(sum(n) as bigint), 0) as big_l from sizes),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from d) group by 1, 2),
+w as (
+  select term, cast(floor(1000 * ln((2 * max(big_n) + 2) / cast(2 * count(*) + 1 as double))) as bigint) as w from tf, whole group by term),
+asked as (select item_id, term, count(*) as times from (select item_id, unnest(t) as term from q) group by 1, 2),
+scores as (
+  select item_id, tf.doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) as bigint) as score
+  from asked join tf using (term) join w using (term) join sizes on sizes.doc_id = tf.doc_id, whole group by 1, 2),
+ranked as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 10
+"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), {_ASCII_LOWER}), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+starts as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (select unnest([1, 2, 3, 4]) as k)),
+f as (
+  select lang, k, p, count(*) as a from (select lang, k, w[i : i + k - 1] as p from starts) group by lang, k, p having count(*) >= 30),
+longer as (select * from f where k > 1),
+cuts as (
+  select c.lang, c.p, c.a, cut, l.a as l, r.a as r, cast(cast(c.a as hugeint) * 2000000 // (l.a + r.a) as bigint) as score
+  from (select *, unnest(range(1, k)) as cut from longer) c
+  join f l on l.lang = c.lang and l.p = c.p[1 : cut]
+  join f r on r.lang = c.lang and r.p = c.p[cut + 1 :]),
+best as (select * from cuts qualify row_number() over (partition by lang, p order by score, cut) = 1),
+inside as (
+  select lang, w[i : i + size - 1] as p, max(a) as whole
+  from (select lang, p as w, a, size, unnest(range(1, k - size + 2)) as i
+        from longer, (select unnest([2, 3]) as size) where size < k) group by 1, 2),
+kept as (
+  select b.*, array_to_string(b.p, ' ') as phrase from best b left join inside i on i.lang = b.lang and i.p = b.p
+  where i.whole is null or 100 * i.whole < 80 * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
