@@ -42,6 +42,8 @@ ABSORB_PERCENT = 80
 # A trie of so many phrases takes about 30 MB; a bitmap of 2**27 bits 16 MB.
 TRIE_PHRASES = 400_000
 BITMAP_BITS = 27
+# Nodes with more children are placed one by one; of n candidates at most n / LARGE_NODE.
+LARGE_NODE = 64
 _PART_BYTES = 1 << 20
 _HELD_WORDS = 600_000
 _CHUNK_BITS = 1 << 15  # of Spark's bitmap functions
@@ -258,18 +260,24 @@ def _find_candidates(seed: int, bits: int, words: Broadcast, pairs: Broadcast) -
 class DoubleArray:
     """A trie of word sequences: from state ``s`` the symbol ``c`` leads to ``base[s] + c`` if ``check`` there is ``s``.
 
-    ``alphabet`` holds the sorted hashes of all words of the trie; the symbol of a word is its place plus one.
+    ``alphabet`` holds the sorted hashes of all words of the trie and ``codes`` their symbols, from 1.
     """
 
-    def __init__(self, alphabet: np.ndarray, base: np.ndarray, check: np.ndarray):
-        self.alphabet, self.base, self.check = alphabet, base, check
+    def __init__(self, alphabet: np.ndarray, codes: np.ndarray, base: np.ndarray, check: np.ndarray):
+        self.alphabet, self.codes, self.base, self.check = alphabet, codes, base, check
 
     @classmethod
     def build(cls, phrases: np.ndarray) -> tuple[DoubleArray, np.ndarray]:
         """The trie of rows of hashes (0 after the end) and the state in which each row ends."""
         words = np.unique(phrases)
         alphabet = words[words != 0]
-        symbols = np.where(phrases == 0, 0, np.searchsorted(alphabet, phrases) + 1).astype(np.int64)
+        # Words that follow others often get small symbols, so that the children of a node lie close together.
+        places = np.searchsorted(alphabet, phrases)
+        follows = np.bincount(places[:, 1:][phrases[:, 1:] != 0], minlength=len(alphabet))
+        codes = np.empty(len(alphabet), np.int32)
+        codes[np.argsort(-follows, kind="stable")] = np.arange(1, len(alphabet) + 1, dtype=np.int32)
+        symbols = np.zeros(phrases.shape, np.int64)
+        symbols[phrases != 0] = codes[places[phrases != 0]]
         # Nodes of each level: distinct prefixes, numbered through all levels; node 0 is the root.
         node = np.zeros(len(symbols), np.int64)
         parents, letters, levels, total = [], [], [], 1
@@ -286,32 +294,34 @@ class DoubleArray:
         order = np.lexsort((letter, parent))
         parent, letter = parent[order], letter[order]
         heads, first, size = np.unique(parent, return_index=True, return_counts=True)
-        used = np.zeros(2 * (total + len(alphabet)) + 2, bool)
-        used[0] = True
         base_of = np.zeros(total, np.int64)
-        low = 1
-        for which in np.lexsort((heads, -size)):
-            steps = letter[first[which] : first[which] + size[which]]
-            base, used = _place(used, steps, low)
-            base_of[heads[which]] = base
-            used[base + steps] = True
-            while low < len(used) and used[low]:
-                low += 1
+        slots = _Slots(2 * (total + len(alphabet)) + 2)
+        by_size = np.lexsort((heads, -size))
+        large = by_size[: int((size > LARGE_NODE).sum())]
+        for which in large:
+            base_of[heads[which]] = slots.place(letter[first[which] : first[which] + size[which]])
+        high = LARGE_NODE
+        while high > 1:
+            those = np.flatnonzero((size > high // 2) & (size <= high))
+            base_of[heads[those]] = slots.place_many(letter, first[those], size[those])
+            high //= 2
+        single = np.flatnonzero(size == 1)
+        base_of[heads[single]] = slots.place_singles(letter[first[single]], len(alphabet))
         state = np.zeros(total, np.int64)
         state[order + 1] = base_of[parent] + letter  # node numbers follow the order before sorting
-        slots = int(state.max(initial=0)) + len(alphabet) + 2
-        base = np.zeros(slots, np.int32)
-        check = np.full(slots, -1, np.int32)
+        length = int(state.max(initial=0)) + len(alphabet) + 2
+        base = np.zeros(length, np.int32)
+        check = np.full(length, -1, np.int32)
         base[state] = base_of
         check[state[order + 1]] = state[parent]
-        return cls(alphabet, base, check), state[node]
+        return cls(alphabet, codes, base, check), state[node]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for words that the trie does not have."""
         if not len(self.alphabet):
             return np.zeros(len(hashes), np.int64)
         place = np.minimum(np.searchsorted(self.alphabet, hashes), len(self.alphabet) - 1)
-        return np.where(self.alphabet[place] == hashes, place + 1, 0)
+        return np.where(self.alphabet[place] == hashes, self.codes[place], 0).astype(np.int64)
 
     def add_counts(self, counts: np.ndarray, hashes: np.ndarray, linked: np.ndarray) -> None:
         """Add the visits of every state by all positions, one level of the trie after the other."""
@@ -330,34 +340,90 @@ class DoubleArray:
 
     def to_bytes(self) -> bytes:
         sizes = np.array([len(self.alphabet), len(self.base)], np.int64)
-        return b"".join(a.tobytes() for a in (sizes, self.alphabet, self.base, self.check))
+        return b"".join(a.tobytes() for a in (sizes, self.alphabet, self.codes, self.base, self.check))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> DoubleArray:
-        words, slots = np.frombuffer(data, np.int64, 2)
-        at = 16 + 8 * int(words)
+        words, slots = (int(n) for n in np.frombuffer(data, np.int64, 2))
+        codes = 16 + 8 * words
+        base = codes + 4 * words
         return cls(
             np.frombuffer(data, np.uint64, words, 16),
-            np.frombuffer(data, np.int32, slots, at),
-            np.frombuffer(data, np.int32, slots, at + 4 * int(slots)),
+            np.frombuffer(data, np.int32, words, codes),
+            np.frombuffer(data, np.int32, slots, base),
+            np.frombuffer(data, np.int32, slots, base + 4 * slots),
         )
 
 
-def _place(used: np.ndarray, steps: np.ndarray, low: int, tries: int = 512) -> tuple[int, np.ndarray]:
-    """A base at which all ``steps`` hit free slots, and the slots, longer if need be."""
-    first, last = int(steps[0]), int(steps[-1])
-    start = max(low, first)
-    while True:
-        if start + (last - first) + tries >= len(used):
-            used = np.concatenate([used, np.zeros(max(len(used), last + tries), bool)])
-        free = np.flatnonzero(~used[start : start + tries]) + start
-        if len(free):
-            if len(steps) == 1:
-                return int(free[0]) - first, used
-            bad = used[(free - first)[:, None] + steps[None, :]].any(axis=1)
-            if not bad.all():
-                return int(free[np.argmin(bad)]) - first, used
-        start += tries
+class _Slots:
+    """Free slots of a double array while it is built; slot 0 is the root.  Nodes with more children come first."""
+
+    def __init__(self, size: int, window: int = 4096, windows: int = 16):
+        self.used = np.zeros(size, bool)
+        self.used[0] = True
+        self.window, self.windows = window, windows
+        self.start = self.end = 1
+
+    def _grow(self, size: int) -> None:
+        if size > len(self.used):
+            self.used = np.concatenate([self.used, np.zeros(size - len(self.used), bool)])
+
+    def place(self, steps: np.ndarray) -> int:
+        """A base at which all ``steps`` (sorted) hit free slots, for a node with many children.
+
+        A few windows are searched on from the last place, then the node gets fresh slots behind all others.
+        """
+        first, last = int(steps[0]), int(steps[-1])
+        at = max(self.start, first)
+        for _ in range(self.windows):
+            self._grow(at + self.window + last)
+            bases = np.flatnonzero(~self.used[at : at + self.window]) + (at - first)
+            for step in steps[1:]:
+                bases = bases[~self.used[bases + step]]
+                if not len(bases):
+                    break
+            if len(bases):
+                break
+            at += self.window
+        base = int(bases[0]) if len(bases) else max(self.end - first, 0)
+        self._grow(base + last + 1)
+        self.used[base + steps] = True
+        self.end = max(self.end, base + last + 1)
+        self.start = max(1, base + first - self.window)
+        return base
+
+    def place_many(self, letters: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bases for many nodes of similar size: all draw one, those that hit free slots alone keep it."""
+        draw = np.random.default_rng(len(first))
+        found = np.full(len(first), -1, np.int64)
+        left = np.arange(len(first))
+        self._grow(int(2.5 * (self.used.sum() + size.sum())) + 2 * int(letters.max(initial=0)))
+        rounds = 0
+        while len(left):
+            sizes = size[left]
+            steps = letters[np.repeat(first[left] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            heads = np.cumsum(sizes) - sizes
+            bases = draw.integers(0, len(self.used) - int(letters.max()) - 1, len(left))
+            slots = np.repeat(bases, sizes) + steps
+            node = np.repeat(np.arange(len(left)), sizes)
+            owner = np.full(len(self.used), -1, np.int64)
+            fits = np.logical_and.reduceat(~self.used[slots], heads)
+            owner[slots[fits[node]]] = node[fits[node]]
+            fits &= np.logical_and.reduceat(owner[slots] == node, heads)
+            self.used[slots[fits[node]]] = True
+            found[left[fits]] = bases[fits]
+            left = left[~fits]
+            rounds += 1
+            if rounds % 64 == 0:
+                self._grow(len(self.used) + len(self.used) // 2)
+        return found
+
+    def place_singles(self, steps: np.ndarray, largest: int) -> np.ndarray:
+        """A base for each of many nodes with one child; slots beyond the largest symbol suit any."""
+        self._grow(largest + 1 + len(steps) + int(self.used.sum()))
+        free = np.flatnonzero(~self.used[largest + 1 :])[: len(steps)] + largest + 1
+        self.used[free] = True
+        return free - steps
 
 
 def _build_trie(rows: pd.DataFrame) -> pd.DataFrame:
