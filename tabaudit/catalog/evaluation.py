@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabaudit.catalog import query
@@ -292,15 +292,9 @@ def _best_columns(best: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    """
-    select cand_id, metric, true as in_bounds, true as in_order
-    from (select unnest([0, 1])::int as cand_id), (select unnest(['f1', 'balanced_accuracy', 'average_precision']) as metric)
-    where (select count(*) from embeddings) > 0
-    """
-)
+@query()
 def cv_linear_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impute, scale, select, reduce and fit a linear machine on each of three folds."""
+    """Impute, scale, select, reduce and fit a linear machine on each of three folds, all fits together."""
     spec = ModelSpec(
         "linear_pca_svc",
         "svc",
@@ -310,24 +304,57 @@ def cv_linear_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"n_components": [0.8]},
     )
     scoring = {"cv_folds": 3, "scoring": SCORING["scoring"]}
-    found = search.grid_search(emb_binary(spark, sf_dir), spec, CvPlan.from_dict(scoring), refit=False).ranking
-    again = F.rank().over(Window.partitionBy("metric").orderBy(F.desc(F.round("mean", search.RANK_DIGITS))))
-    return found.select(
-        "cand_id",
-        "metric",
-        (F.col("mean").between(0.3, 1.0) & F.col("std").between(0.0, 0.3)).alias("in_bounds"),
-        (F.col("rank") == again).alias("in_order"),
-    )
+    return search.grid_search(emb_binary(spark, sf_dir), spec, CvPlan.from_dict(scoring), refit=False).ranking
 
 
-@query(
-    """
-    select unnest(['candidate_0', 'candidate_1', 'candidate_2']) as name, true as in_bounds
-    where (select count(*) from embeddings) > 0
-    """
-)
+@query()
 def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A budget of three random chains, the best one scored on the holdout."""
-    found = search.model_search(emb_binary(spark, sf_dir), max_candidates=3, cv=CvPlan(folds=2))
-    within = F.col("best_score").between(0.2, 1.0) & F.lit(0.2 <= found.holdout_score <= 1.0)
-    return found.tried.select("name", within.alias("in_bounds"))
+    """A budget of nine random chains in three rungs, and the holdout score of the best one."""
+    found = search.model_search(emb_binary(spark, sf_dir), max_candidates=9, cv=CvPlan(folds=2))
+    winner = F.when((F.col("name") == found.best.name) & (F.col("share") == 1.0), F.lit(found.holdout_score))
+    return found.rungs.withColumn("holdout_score", winner)
+
+
+# Rules that halve in three rungs, each on a hash sample three times as large as the one before.
+HALVED_CUTOFFS = (50, 200, 350, 500, 700, 1000, 1400, 2000, 4000)
+
+
+def _rung_sql() -> str:
+    """Rung by rung: the mean F1 over the folds of the sample, places, and who goes on."""
+    values = ", ".join(f"({i}, {c})" for i, c in enumerate(HALVED_CUTOFFS))
+    parts = []
+    for rung, (share, kept) in enumerate(((1 / 9, 3), (1 / 3, 1), (1.0, 0))):
+        alive = "rules" if rung == 0 else f"(select c.* from rules c join rung{rung - 1} r on r.cand_id = c.cand_id and r.promoted)"
+        parts.append(f"""
+    sample{rung} as (select * from folded where cast('0x' || substr(md5('42:' || doc_id), 1, 8) as bigint) < {int(share * 2**32)}),
+    rung{rung} as (
+      select {rung} as rung, {share!r}::double as share, (select count(*) from sample{rung}) as n_rows, cand_id, score, place, place <= {kept} as promoted
+      from (select *, cast(row_number() over (order by round(score, 12) desc, cand_id) as int) as place
+            from (select cand_id, avg(f1) as score
+                  from (select c.cand_id, s.fold,
+                               coalesce(2 * sum(cast(quality = 1 and n_chars > cutoff as int))
+                                 / nullif(sum(cast(quality = 1 as int)) + sum(cast(n_chars > cutoff as int)), 0)::double, 0) as f1
+                        from sample{rung} s, {alive} c group by c.cand_id, s.fold)
+                  group by cand_id)))""")
+    return f"""
+    with {DOC_QUALITY_SQL},
+    classes as (
+      select quality, sum(count(*)) over (order by quality) - count(*) as start from docs group by quality),
+    folded as (
+      select d.*, cast((start + rn - 1) % 3 as int) as fold
+      from (select *, row_number() over (partition by quality order by md5('42:' || doc_id), doc_id) as rn from docs) d
+      join classes c on d.quality = c.quality),
+    rules as (select * from (values {values}) t(cand_id, cutoff)), {",".join(parts)}
+    select rung, round(share, 6) as share, n_rows, cand_id, round(score, 6) as score, place, promoted
+    from (select * from rung0 union all select * from rung1 union all select * from rung2)
+    """
+
+
+@query(_rung_sql())
+def halving_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine rules on a ninth of the documents, three on a third, one on all; every score of every rung."""
+    spec = ModelSpec("by_chars", "threshold", {"column": "n_chars", "cutoff": list(HALVED_CUTOFFS)})
+    cv = CvPlan(folds=3)
+    rows, features, n_classes = search.labelled(doc_quality(spark, sf_dir))
+    found = search.successive_halving(search.fold_table(rows, cv), features, n_classes, [spec], cv, least_rows=1)
+    return rounded(found.rungs.drop("name"), 6, "share", "score")

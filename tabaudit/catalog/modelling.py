@@ -25,6 +25,7 @@ from tabaudit.functions.storage import materialize
 from tabaudit.operators import prep, sampling
 from tabaudit.operators.clean import dedupe
 from tabaudit.operators.models import FourierFeatures, fit_classifier, fourier_weights, positive_score
+from tabaudit.operators.neighbours import hashed_neighbours, recall
 from tabaudit.operators.prep import PrepSpec, centred, components_kept, fit_pca, fit_prep, fit_prep_folds
 from tabaudit.operators.smote import smote
 from tabaudit.operators.splits import stratified_folds
@@ -307,7 +308,7 @@ def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = F.array(F.col("n_chars").cast("double"), F.col("n_words").cast("double"))
     docs = doc_quality(spark, sf_dir).df.select("doc_id", "quality", vector.alias("v"))
-    made = smote(docs, "quality", "doc_id", "v")
+    made = smote(docs, "quality", "doc_id", "v", method="exact")
     return made.select(
         "doc_id",
         "quality",
@@ -316,6 +317,27 @@ def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def smote_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of ten classes, balanced with neighbours from hash tables of 64 dimensions."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return smote(vectors, "label", "vec_id", "v")
+
+
+@query(
+    """
+    select 'all' as "group", least(200, count(*)) * least(5, count(*) - 1) as wanted, true as reached
+    from (select distinct embedding from embeddings)
+    """
+)
+def neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether small buckets find nine of ten neighbours in 64 dimensions, against all distances."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("group"), F.col("embedding").cast("array<double>").alias("vector"))
+    points = materialize(vectors.groupBy("group", "vector").agg(F.count(F.lit(1)).alias("size")), "points")
+    found = hashed_neighbours(points, 5, 42, cell_rows=250)
+    return recall(points, found, 5).select("group", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
 # -- estimators -------------------------------------------------------------------------
 
 _W, _B = fourier_weights(2, 3, 0.5, 42)
@@ -338,40 +360,26 @@ def rff_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_FIT_SQL = """
-    select vec_id, case when label < 5 then 1.0::double else 0.0::double end as label, true as agrees, true as fits from embeddings
-"""
-
-
-def _fitted_scores(spark: SparkSession, sf_dir: str, kind: str, params: dict, accuracy: float) -> DataFrame:
-    """Fit on all embeddings and score them.
-
-    ``agrees``: the prediction is the side of the threshold on which the score lies; ``fits``: the
-    share of right predictions over all rows reaches ``accuracy``.
-    """
+def _fitted_scores(spark: SparkSession, sf_dir: str, kind: str, params: dict) -> DataFrame:
+    """Fit on all embeddings and score them; tests fit the same by hand."""
     data = emb_binary(spark, sf_dir)
     df = materialize(data.df.withColumn("label", col(data.target).cast("double")), "embeddings")
     fitted = fit_prep(df, data.features, PrepSpec(imputer="simple", scaler="standard"))
     rows = PipelineModel(fitted.stages("features")).transform(df).select(data.key, "label", "features")
-    p = len(fitted.features)
-    model = fit_classifier(kind, params, rows, fitted.n_rows, p, 42)
-    scored = model.transform(rows).withColumn("score", positive_score(kind))
-    scored = materialize(scored.select(data.key, "label", "prediction", "score"), "scored")
-    right = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("right")).scalar()
-    side = (F.col("score") > (0.0 if kind == "svc" else 0.5)).cast("double")
-    return scored.select(data.key, "label", (side == F.col("prediction")).alias("agrees"), (right >= accuracy).alias("fits"))
+    model = fit_classifier(kind, params, rows, fitted.n_rows, len(fitted.features), 42)
+    return model.transform(rows).select(data.key, "label", "prediction", positive_score(kind).alias("score"))
 
 
-@query(_FIT_SQL)
+@query()
 def linear_svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitted_scores(spark, sf_dir, "svc", {"kernel": "linear", "C": 1.0}, 0.58)
+    return _fitted_scores(spark, sf_dir, "svc", {"kernel": "linear", "C": 1.0})
 
 
-@query(_FIT_SQL)
+@query()
 def rbf_svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitted_scores(spark, sf_dir, "svc", {"C": 1.0, "gamma": "scale"}, 0.65)
+    return _fitted_scores(spark, sf_dir, "svc", {"C": 1.0, "gamma": "scale"})
 
 
-@query(_FIT_SQL)
+@query()
 def random_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitted_scores(spark, sf_dir, "random_forest", {"n_estimators": 20, "max_depth": 5}, 0.65)
+    return _fitted_scores(spark, sf_dir, "random_forest", {"n_estimators": 20, "max_depth": 5})

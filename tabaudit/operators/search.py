@@ -6,24 +6,34 @@ import random
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import datetime
 from functools import reduce
+from itertools import product
 from typing import Any
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorSlicer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabaudit.dataset import Dataset
-from tabaudit.functions.columns import col, missing_to_null, numeric_columns
+from tabaudit.functions.columns import col, missing_to_null, numeric_columns, order_hash
 from tabaudit.functions.storage import materialize
-from tabaudit.operators import sampling
-from tabaudit.operators.metrics import check_classes, score_all
+from tabaudit.operators import block_linear, sampling
+from tabaudit.operators.metrics import METRICS, check_classes, score_all
 from tabaudit.operators.models import (
+    DEFAULT_C,
+    DEFAULT_KERNEL,
+    FOURIER,
+    FOURIER_FEATURES,
     SVC,
     THRESHOLD,
+    check_params,
     fit_classifier,
+    fourier_weights,
+    kernel_width,
     positive_score,
     threshold_prediction,
 )
@@ -38,7 +48,8 @@ from tabaudit.operators.prep import (
 )
 from tabaudit.operators.smote import smote
 from tabaudit.operators.splits import stratified_folds, stratified_holdout
-from tabaudit.plans.specs import Candidate, CvPlan, ModelSpec
+from tabaudit.plans.specs import AutoSpec, Candidate, CvPlan, ModelSpec
+from tabaudit.sources.tables import write_artifact
 
 # Fits that run at once while a training set has at most SMALL_VALUES doubles.  A
 # larger one keeps the cluster busy alone, and its fits cache it one after another.
@@ -65,6 +76,7 @@ class SearchResult:
     refit_metric: str
     elapsed_sec: float
     model: PipelineModel | None
+    cv_results_path: str | None = None
 
 
 # -- labels and folds -------------------------------------------------------------------
@@ -228,6 +240,77 @@ def _threshold_scores(spec: ModelSpec, candidates: Sequence[Candidate], rows: Da
     )
 
 
+def _is_block_fit(spec: ModelSpec, candidates: Sequence[Candidate]) -> bool:
+    """Machines on unsampled rows are fitted together; samplers change the rows of each training set."""
+    if spec.estimator != SVC or spec.sampler is not None:
+        return False
+    steps = [c.step("estimator") for c in candidates]
+    return all(s.get("kernel", DEFAULT_KERNEL) in ("linear", "rbf") and s.get("approximation", FOURIER) == FOURIER for s in steps)
+
+
+def _block_scores(
+    spec: ModelSpec,
+    candidates: Sequence[Candidate],
+    folded: DataFrame,
+    preps: Mapping[int | None, FittedPrep],
+    features: Sequence[str],
+    n_classes: int,
+    cv: CvPlan,
+) -> DataFrame:
+    """Rows ``(cand_id, fold, label, prediction, score)`` of machines; scans do not grow with candidates or folds."""
+    for c in candidates:
+        check_params(spec.estimator, c.step("estimator"))
+    if spec.prep.imputer is None:
+        used = sorted({c for i in range(cv.folds) for c in preps[i].features})
+        holes = reduce(lambda a, b: a | b, [col(c).isNull() for c in used], F.lit(False))
+        if folded.where(holes).limit(1).count():
+            raise ValueError("missing values need an imputer")
+    n_rows = sum(preps[i].n_rows for i in range(cv.folds)) // max(cv.folds - 1, 1)
+    rows = folded.coalesce(n_rows * max(len(features), 1) // TASK_VALUES + 1)
+    blocks = block_linear.pack(rows, features, _LABEL, _FOLD)
+    views = [block_linear.Prepared.of(preps[i], i, features) for i in range(cv.folds)]
+    sizes = {(c.cand_id, i): v.width for c in candidates for i, v in enumerate(views)}
+    if spec.reduction == "pca":
+        found = block_linear.rotations(blocks, views)
+        # Components are not centred without a scaler, which moves intercepts and phases only.
+        views = [replace(v, rotation=axes) for v, (axes, _) in zip(views, found)]
+        extents = [e for _, e in found]
+        for c in candidates:
+            for i, variance in enumerate(extents):
+                shares = variance / variance.sum() if variance.sum() > 0 else variance
+                sizes[c.cand_id, i] = components_kept(shares, c.step("reduction").get("n_components"))
+    variances: list[dict[int, float]] = []
+    if any(c.step("estimator").get("kernel", DEFAULT_KERNEL) == "rbf" and c.step("estimator").get("gamma", "scale") in (None, "scale") for c in candidates):
+        if spec.reduction == "pca":
+            # Components are centred, so the variance of the first ones is the mean of theirs.
+            variances = [{k + 1: v for k, v in enumerate(np.cumsum(sizes_) / np.arange(1, len(sizes_) + 1))} for sizes_ in extents]
+        else:
+            variances = [{views[i].width: v} for i, v in enumerate(block_linear.spreads(blocks, views))]
+    positives = [1.0] if n_classes <= 2 else [float(i) for i in range(n_classes)]
+    lifts: dict[tuple[int, int, float], block_linear.Lift] = {}
+
+    def lift(candidate: Candidate, fold: int) -> block_linear.Lift | None:
+        params, size = candidate.step("estimator"), sizes[candidate.cand_id, fold]
+        if params.get("kernel", DEFAULT_KERNEL) == "linear":
+            return None
+        asked = params.get("gamma", "scale")
+        gamma = kernel_width(asked, size, variances[fold][size] if asked in (None, "scale") else 0.0)
+        key = (fold, size, gamma)
+        if key not in lifts:
+            lifts[key] = block_linear.Lift(*fourier_weights(size, FOURIER_FEATURES, gamma, cv.seed))
+        return lifts[key]
+
+    fits = []
+    for c in candidates:
+        for i, v in enumerate(views):
+            lifted = lift(c, i)
+            width = sizes[c.cand_id, i] if lifted is None else FOURIER_FEATURES
+            ridge = 1.0 / (float(c.step("estimator").get("C", DEFAULT_C)) * max(v.n_rows, 1))
+            fits += [block_linear.Fit(c.cand_id, v, width, ridge, positive, lifted) for positive in positives]
+    machines = block_linear.fit_machines(blocks, fits)
+    return block_linear.score_held_out(blocks, machines, positives if n_classes > 2 else [0.0, 1.0])
+
+
 # -- search -----------------------------------------------------------------------------
 
 
@@ -243,6 +326,8 @@ def cross_validate(
     check_classes(cv.metrics, n_classes)
     if spec.estimator == THRESHOLD:
         scored = _threshold_scores(spec, candidates, folded)
+    elif _is_block_fit(spec, candidates):
+        scored = _block_scores(spec, candidates, folded, statistics.fit(spec.prep), statistics.features, n_classes, cv)
     else:
         preps = statistics.fit(spec.prep)
 
@@ -335,26 +420,49 @@ def refit_on_all(
 # -- comparison -------------------------------------------------------------------------
 
 BEST_SCHEMA = (
-    "name string, best_params map<string,string>, best_score double, refit_metric string, elapsed_sec double"
+    "name string, best_params map<string,string>, best_score double, refit_metric string, elapsed_sec double,"
+    " cv_results_path string"
 )
 
 
 def best_rows(results: Sequence[SearchResult], spark: Any) -> DataFrame:
-    rows = [(r.name, r.best.as_text(), r.best_score, r.refit_metric, r.elapsed_sec) for r in results]
+    rows = [(r.name, r.best.as_text(), r.best_score, r.refit_metric, r.elapsed_sec, r.cv_results_path) for r in results]
     by_name = F.map_from_entries(F.array_sort(F.map_entries("best_params")))
     return spark.createDataFrame(rows, BEST_SCHEMA).withColumn("best_params", by_name)
 
 
 def compare(
-    data: Dataset, specs: Sequence[ModelSpec], cv: CvPlan, refit: bool = True, enabled: bool = True
+    data: Dataset,
+    specs: Sequence[ModelSpec | AutoSpec],
+    cv: CvPlan,
+    refit: bool = True,
+    enabled: bool = True,
+    out_dir: str | None = None,
+    now: datetime | None = None,
 ) -> list[SearchResult]:
-    """Search each spec on the same folds; nothing when disabled."""
+    """Search each spec on the same folds; nothing when disabled.
+
+    An ``AutoSpec`` runs the budgeted search instead, and its score is that of the holdout.  With ``out_dir`` the
+    table of each spec's candidates is written there and the result names its path.
+    """
     if not enabled or not specs:
         return []
-    rows, features, n_classes = labelled(data)
-    folded = fold_table(rows, cv)
-    statistics = fold_statistics(folded, features, cv)
-    return [_search(folded, statistics, n_classes, s, s.candidates(), cv, refit) for s in specs]
+    results = []
+    declared = [s for s in specs if isinstance(s, ModelSpec)]
+    if declared:
+        rows, features, n_classes = labelled(data)
+        folded = fold_table(rows, cv)
+        statistics = fold_statistics(folded, features, cv)
+    for spec in specs:
+        if isinstance(spec, ModelSpec):
+            found = _search(folded, statistics, n_classes, spec, spec.candidates(), cv, refit)
+        else:
+            found = automated(data, spec, cv.seed, out_dir)
+        if out_dir is not None:
+            path = write_artifact(pivoted_results(found), out_dir, f"cv_{found.name}", ".csv", now)
+            found = replace(found, cv_results_path=path)
+        results.append(found)
+    return results
 
 
 def leaderboard(results: Sequence[SearchResult], spark: Any) -> DataFrame:
@@ -369,35 +477,126 @@ SEARCH_SPACE: tuple[tuple[str, Mapping[str, Sequence[Any]]], ...] = (
     (SVC, {"kernel": ["rbf"], "C": [0.1, 1.0, 10.0], "gamma": ["scale"]}),
     ("random_forest", {"n_estimators": [20, 50, 100], "max_depth": [5, 10]}),
 )
+SELECTIONS: tuple[Mapping[str, Any], ...] = ({}, {"select_percentile": 50}, {"select_percentile": 75})
+PCA_RATIOS = (0.8, 0.9, 0.95)
+# Of the candidates of a rung one in HALVING goes on, with HALVING times as many rows.
+HALVING = 3
+# Rows that the first rung should hold at least, for each fold and class.
+RUNG_ROWS = 20
+
+
+def _chains() -> list[dict[str, Any]]:
+    """Every chain of the search space once."""
+    found = []
+    for estimator, space in SEARCH_SPACE:
+        reductions = [None, *PCA_RATIOS] if estimator == SVC else [None]
+        for values, selection, ratio in product(product(*space.values()), SELECTIONS, reductions):
+            found.append({"estimator": estimator, "params": dict(zip(space, values)), "selection": selection, "ratio": ratio})
+    return found
 
 
 def random_specs(count: int, seed: int) -> list[ModelSpec]:
-    """A seeded sequence of chains, each with one parameter combination."""
-    rng = random.Random(seed)
+    """Chains in a seeded order, each with one parameter combination and none twice; at most all there are."""
+    chains = _chains()
     specs = []
-    for i in range(count):
-        estimator, space = rng.choice(SEARCH_SPACE)
-        params = {k: rng.choice(v) for k, v in space.items()}
-        selection = rng.choice([{}, {"select_percentile": 50}, {"select_percentile": 75}])
-        reduction = rng.choice([None, "pca"]) if estimator == SVC else None
+    for i, c in enumerate(random.Random(seed).sample(chains, min(count, len(chains)))):
         specs.append(
             ModelSpec(
                 name=f"candidate_{i}",
-                estimator=estimator,
-                params=params,
-                prep=PrepSpec(imputer="simple", scaler="standard", **selection),
-                reduction=reduction,
-                reduction_params={"n_components": rng.choice([0.8, 0.9, 0.95])} if reduction else {},
+                estimator=c["estimator"],
+                params=c["params"],
+                prep=PrepSpec(imputer="simple", scaler="standard", **c["selection"]),
+                reduction=None if c["ratio"] is None else "pca",
+                reduction_params={} if c["ratio"] is None else {"n_components": c["ratio"]},
             )
         )
     return specs
 
 
+@dataclass(frozen=True)
+class Halving:
+    """Outcome of successive halving: the scores of every rung and the results of the last one, best first."""
+
+    rungs: DataFrame
+    results: list[tuple[ModelSpec, SearchResult]]
+    statistics: PrepStatistics
+
+
+RUNG_SCHEMA = "rung int, share double, n_rows long, name string, cand_id int, score double, place int, promoted boolean"
+
+
+def rung_shares(candidates: int, n_rows: int, least_rows: int, factor: int = HALVING) -> list[float]:
+    """Shares of the rows, rung by rung: all rows at last, as many rungs as candidates and rows allow."""
+    rungs = 1
+    while factor**rungs <= candidates and n_rows >= least_rows * factor**rungs:
+        rungs += 1
+    return [1.0 / factor ** (rungs - 1 - r) for r in range(rungs)]
+
+
+def in_share(key: str, seed: int, share: float) -> Column:
+    """Whether a row belongs to the hash sample of this share; larger samples hold the smaller ones."""
+    return F.conv(F.substring(order_hash(key, seed), 1, 8), 16, 10).cast("long") < F.lit(int(share * 2**32))
+
+
+def successive_halving(
+    folded: DataFrame,
+    features: Sequence[str],
+    n_classes: int,
+    specs: Sequence[ModelSpec],
+    cv: CvPlan,
+    factor: int = HALVING,
+    least_rows: int | None = None,
+    deadline: float | None = None,
+) -> Halving:
+    """Cross-validate all candidates of ``specs`` on a small hash sample, the best on a larger one, and so on.
+
+    A rung keeps the best ``ceil(n / factor)`` candidates by the refit metric (of equal ones the first) and the next
+    has ``factor`` times the rows; the last one has all.  Rows keep their fold in every sample.  The
+    clock is read between specs: when ``deadline`` has passed, the rung is finished with what was scored so far, and
+    at least one spec is always scored.
+    """
+    spark = folded.sparkSession
+    entries = [(spec, c) for spec in specs for c in spec.candidates()]
+    n_rows = folded.count()
+    shares = rung_shares(len(entries), n_rows, least_rows or RUNG_ROWS * cv.folds * n_classes, factor)
+    rows, results, late = [], [], False
+    for rung, share in enumerate(shares):
+        sample = folded if share == 1.0 else materialize(folded.where(in_share(_KEY, cv.seed, share)), "rung", [_FOLD])
+        statistics = fold_statistics(sample, features, cv)
+        size = n_rows if share == 1.0 else sample.count()
+        scored: list[tuple[float, int, ModelSpec, Candidate]] = []
+        found: dict[str, SearchResult] = {}
+        for spec in specs:
+            mine = [c for s, c in entries if s is spec]
+            if not mine:
+                continue
+            if late and scored:
+                break
+            result = _search(sample, statistics, n_classes, spec, mine, cv, refit=False)
+            found[spec.name] = result
+            means = {r["cand_id"]: r["mean"] for r in result.ranking.filter(F.col("metric") == cv.refit).collect()}
+            scored += [(means[c.cand_id], i, spec, c) for i, (s, c) in enumerate(entries) if s is spec]
+            late = deadline is not None and time.time() > deadline
+        ranked = sorted(scored, key=lambda r: (-round(r[0], RANK_DIGITS), r[1]))
+        last = late or rung == len(shares) - 1
+        kept = 0 if last else -(-len(ranked) // factor)
+        for place, (score, _, spec, c) in enumerate(ranked, 1):
+            rows.append((rung, share, size, spec.name, c.cand_id, score, place, place <= kept))
+        order = {spec.name: place for place, (_, _, spec, _) in reversed(list(enumerate(ranked)))}
+        results = sorted(((s, found[s.name]) for s in specs if s.name in found), key=lambda r: order[r[0].name])
+        if last:
+            break
+        chosen = sorted(ranked[:kept], key=lambda r: r[1])
+        entries = [(spec, c) for _, _, spec, c in chosen]
+    return Halving(spark.createDataFrame(rows, RUNG_SCHEMA), results, statistics)
+
+
 @dataclass(frozen=True)
 class ModelSearch:
-    """Outcome of a budgeted search: what was tried, the winner and its holdout score."""
+    """Outcome of a budgeted search: what reached the last rung, every rung, the winner and its holdout score."""
 
     tried: DataFrame
+    rungs: DataFrame
     best: SearchResult
     holdout_score: float
     model: PipelineModel
@@ -410,30 +609,37 @@ def model_search(
     cv: CvPlan | None = None,
     seed: int = 42,
     export_path: str | None = None,
+    specs: Sequence[ModelSpec] | None = None,
 ) -> ModelSearch:
-    """Random search on 80 % of the rows under a budget, scored on the other 20 %.
-
-    The clock is read between candidates; the first one is always tried.
-    """
+    """Successive halving of random chains on 80 % of the rows under a budget, scored on the other 20 %."""
     cv = cv or CvPlan(seed=seed)
     rows, features, n_classes = labelled(data)
     split = materialize(stratified_holdout(rows, _LABEL, _KEY, seed=seed), "holdout", ["is_test"])
     folded = fold_table(split.filter(~F.col("is_test")).drop("is_test"), cv)
-    statistics = fold_statistics(folded, features, cv)
     test = split.filter("is_test").drop("is_test")
     deadline = None if max_seconds is None else time.time() + max_seconds
-    results: list[tuple[ModelSpec, SearchResult]] = []
-    for spec in random_specs(max_candidates, seed):
-        if results and deadline is not None and time.time() > deadline:
-            break
-        found = _search(folded, statistics, n_classes, spec, spec.candidates(), cv, refit=False)
-        results.append((spec, found))
-    spec, best = max(results, key=lambda r: r[1].best_score)
+    tried = random_specs(max_candidates, seed) if specs is None else list(specs)
+    found = successive_halving(folded, features, n_classes, tried, cv, deadline=deadline)
+    spec, best = found.results[0]
+    statistics = fold_statistics(folded, features, cv)
     fitted = refit_on_all(spec, best.best, folded, statistics, n_classes, seed)
     scored = _scored_candidates(spec, fitted, test, n_classes)
     model = fitted.full()
     holdout = cv.metrics[cv.refit](scored, ()).first()["value"]
     if export_path is not None:
         model.write().overwrite().save(export_path)
-    tried = best_rows([r for _, r in results], data.df.sparkSession)
-    return ModelSearch(tried, best, holdout, model)
+    last = best_rows([r for _, r in found.results], data.df.sparkSession)
+    return ModelSearch(last, found.rungs, best, holdout, model)
+
+
+def automated(data: Dataset, spec: AutoSpec, seed: int, out_dir: str | None = None) -> SearchResult:
+    """The budgeted search of a declared entry, as a result like others; its score is that of the holdout."""
+    start = time.time()
+    cv = CvPlan(spec.folds, {spec.metric: METRICS[spec.metric]}, spec.metric, seed if spec.seed is None else spec.seed)
+    export = spec.export_path
+    if export is not None and out_dir is not None and "/" not in export:
+        export = f"{out_dir.rstrip('/')}/{export}"
+    found = model_search(data, spec.max_candidates, spec.max_seconds, cv, cv.seed, export)
+    return replace(
+        found.best, name=spec.name, best_score=found.holdout_score, elapsed_sec=time.time() - start, model=found.model
+    )

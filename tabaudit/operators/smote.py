@@ -1,14 +1,20 @@
 """Synthetic minority rows: points between a row and one of its nearest neighbours.
 
-SMOTE (Chawla et al., 2002).  Neighbours are exact.  Distinct vectors are cut into
+SMOTE (Chawla et al., 2002).  Neighbours come from hash tables with a bounded number of candidates
+per row (``neighbours.py``), for all classes at once; a class of up to ``CELL_ROWS`` distinct vectors is one bucket,
+so its neighbours are exact.
+
+``method="exact"`` compares further.  Distinct vectors are cut into
 blocks of bounded size along a random direction; as a projection never enlarges a
 distance, a row only needs the blocks within its best distance so far.  Tasks see
-two blocks at a time and return at most k neighbours per row.
+two blocks at a time and return at most k neighbours per row.  In many dimensions nearly
+all blocks are within reach and the work grows with the square of the class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,12 +27,13 @@ from tabaudit.functions.columns import col
 from tabaudit.functions.joins import join_hot_keys
 from tabaudit.functions.ranking import split_points, with_bucket
 from tabaudit.functions.storage import materialize
+from tabaudit.operators.neighbours import hashed_neighbours
 from tabaudit.operators.sampling import COPIES_PER_TASK, class_extent, copy_counts, repeated
 from tabaudit.operators.splits import SEED
 
 NEIGHBOURS = 5
 BLOCK_ROWS = 2_000
-MAX_BLOCKS = 4_096
+METHODS = ("hashed", "exact")
 _CHUNK_VALUES = 4_000_000
 
 _NEAR = "vector array<double>, squared double, near array<double>, near_size long"
@@ -68,8 +75,7 @@ def nearest_vectors(points: DataFrame, k: int, seed: int, block_rows: int = BLOC
     weights = F.array(*[F.lit(float(w)) for w in direction])
     at = F.aggregate(F.zip_with("vector", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     placed = points.select(at.alias("at"), "vector", "size")
-    # Beyond MAX_BLOCKS blocks the blocks grow instead.
-    wanted = min(-(-n // block_rows), MAX_BLOCKS)
+    wanted = -(-n // block_rows)
     cuts, _ = split_points(placed, "at", wanted) if wanted > 1 else ([], [])
     blocks = materialize(with_bucket(placed, "at", cuts, "block"), "blocks")
 
@@ -91,13 +97,15 @@ def nearest_vectors(points: DataFrame, k: int, seed: int, block_rows: int = BLOC
         )
         # Slack for the rounding of the projection.
         slack = F.lit(1e-9) * (F.abs("at") + F.lit(1.0))
-        edges = F.array(*[F.lit(float(c)) for c in cuts])
-        first = F.size(F.filter(edges, lambda c: c <= F.col("at") - F.col("reach") - slack))
-        last = F.size(F.filter(edges, lambda c: c <= F.col("at") + F.col("reach") + slack))
-        asked = (
+        within_reach = (
             blocks.join(reach, "vector", "left")
             .withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-            .withColumn("other", F.explode(F.sequence(first, last)))
+            .withColumn("low", F.col("at") - F.col("reach") - slack)
+            .withColumn("high", F.col("at") + F.col("reach") + slack)
+        )
+        within_reach = with_bucket(with_bucket(within_reach, "low", cuts, "first"), "high", cuts, "last")
+        asked = (
+            within_reach.withColumn("other", F.explode(F.sequence("first", "last")))
             .filter(F.col("other") != F.col("block"))
             .select("block", "other", "vector")
         )
@@ -113,15 +121,25 @@ def nearest_vectors(points: DataFrame, k: int, seed: int, block_rows: int = BLOC
     return found.withColumn("rank", nearest).filter(F.col("rank") <= k).select("vector", "rank", "near", "near_size")
 
 
-def _neighbour_slots(points: DataFrame, k: int, seed: int) -> DataFrame:
-    """Rows ``(vector, size, slots)``: the vectors of the k nearest rows.
+def _exact_neighbours(points: DataFrame, k: int, seed: int) -> DataFrame:
+    """The neighbours of every class, one after another."""
+    found = []
+    for row in points.select("group").distinct().collect():
+        of_class = materialize(points.filter(F.col("group").eqNullSafe(F.lit(row["group"]))).select("vector", "size"), "points")
+        group = F.lit(row["group"]).cast(points.schema["group"].dataType)
+        found.append(nearest_vectors(of_class, k, seed).select(group.alias("group"), "vector", "rank", "near", "near_size"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _neighbour_slots(points: DataFrame, k: int, seed: int, method: str) -> DataFrame:
+    """Rows ``(group, vector, size, slots)``: the vectors of the k nearest rows.
 
     Copies of a row are its nearest neighbours, then come the other vectors, each
     as often as it occurs.
     """
     points = materialize(points, "points")
-    near = nearest_vectors(points, k, seed)
-    lists = near.groupBy("vector").agg(
+    near = _exact_neighbours(points, k, seed) if method == "exact" else hashed_neighbours(points, k, seed)
+    lists = near.groupBy("group", "vector").agg(
         F.array_sort(F.collect_list(F.struct("rank", "near", "near_size"))).alias("others")
     )
     own = F.array_repeat(F.col("vector"), F.least(F.col("size") - 1, F.lit(k)).cast("int"))
@@ -129,7 +147,7 @@ def _neighbour_slots(points: DataFrame, k: int, seed: int) -> DataFrame:
         F.transform("others", lambda o: F.array_repeat(o["near"], F.least(o["near_size"], F.lit(k)).cast("int")))
     )
     slots = F.slice(F.concat(own, F.coalesce(others, F.array().cast("array<array<double>>"))), 1, k)
-    return points.join(lists, "vector", "left").select("vector", "size", slots.alias("slots"))
+    return points.join(lists, ["group", "vector"], "left").select("group", "vector", "size", slots.alias("slots"))
 
 
 def _hex_number(text: Column, start: int) -> Column:
@@ -137,15 +155,23 @@ def _hex_number(text: Column, start: int) -> Column:
 
 
 def smote(
-    df: DataFrame, target: str, key: str, vector: str, seed: int = SEED, k: int = NEIGHBOURS
+    df: DataFrame,
+    target: str,
+    key: str,
+    vector: str,
+    seed: int = SEED,
+    k: int = NEIGHBOURS,
+    method: str = "hashed",
 ) -> DataFrame:
     """``df`` and synthetic rows, until each class is as large as the largest.
 
     ``vector`` is an ML vector or an array of doubles.  Each row gets its share of
     copies; a copy moves towards one of the k nearest rows of its class, neighbour
     and distance taken from a seeded hash.  Other columns than target, key and
-    vector are null in synthetic rows.
+    vector are null in synthetic rows.  ``method`` finds neighbours, see above.
     """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
     is_vector = isinstance(df.schema[vector].dataType, VectorUDT)
     values = vector_to_array(col(vector)) if is_vector else col(vector).cast("array<double>")
     smallest, largest = class_extent(df, target)
@@ -154,19 +180,16 @@ def smote(
     )
     sizes = rows.groupBy("__class").agg(F.count(F.lit(1)).alias("n"))
     short = [r["__class"] for r in sizes.filter(F.col("n") < largest).collect()]
+    if not short:
+        return df
     counted = copy_counts(rows, "__class", "__name", largest, seed)
     minority = materialize(counted.filter(F.col("__class").isin(short)), "minority")
-    made = []
-    for value in short:
-        of_class = minority.filter(F.col("__class") == F.lit(value))
-        points = of_class.groupBy("vector").agg(F.count(F.lit(1)).alias("size"))
-        slots = materialize(_neighbour_slots(points, k, seed), "slots")
-        made.append(join_hot_keys(of_class, slots, "vector", "size"))
-    if not made:
-        return df
-    known = made[0]
-    for other in made[1:]:
-        known = known.unionByName(other)
+    points = minority.groupBy(F.col("__class").alias("group"), "vector").agg(F.count(F.lit(1)).alias("size"))
+    slots = materialize(_neighbour_slots(points, k, seed, method), "slots")
+    # A vector with many copies in a class is a hot key.
+    place = F.struct(F.col("__class").alias("group"), F.col("vector").alias("vector"))
+    slots = slots.select(F.struct("group", "vector").alias("__place"), "size", "slots")
+    known = join_hot_keys(minority.withColumn("__place", place), slots, "__place", "size").drop("__place")
     copies = repeated(known, "__name", largest > smallest * COPIES_PER_TASK, "__copy")
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), "__name", F.col("__copy").cast("string")))
     copies = copies.filter(F.col("__copy") > 1).withColumn("__mark", mark)

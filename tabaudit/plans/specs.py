@@ -73,6 +73,58 @@ class ModelSpec:
         return expand_grid(self.grid())
 
 
+# Libraries whose settings an automated entry may carry, and the entry's defaults.
+AUTO_LIBRARIES = ("tpot",)
+AUTO_GENERATIONS, AUTO_POPULATION, AUTO_FOLDS = 5, 50, 5
+
+
+@dataclass(frozen=True)
+class AutoSpec:
+    """An entry that leaves the choice of a chain to the budgeted search.
+
+    The settings of an evolutionary search are read as a budget: generations times population is the number of candidates.
+    """
+
+    name: str
+    max_candidates: int = AUTO_GENERATIONS * AUTO_POPULATION
+    max_seconds: float | None = None
+    metric: str = DEFAULT_METRIC
+    folds: int = AUTO_FOLDS
+    seed: int | None = None
+    export_path: str | None = None
+
+    def __post_init__(self) -> None:
+        _metric(self.metric)
+        if self.max_candidates < 1 or self.folds < 2:
+            raise ValueError(f"{self.name} needs a candidate and two folds at least")
+
+    @classmethod
+    def from_dict(cls, entry: Mapping[str, Any]) -> AutoSpec:
+        """Read ``{library, name, <library>: {generations, population_size, max_time_mins, scoring, cv, ...}}``."""
+        library = entry.get("library")
+        if library not in AUTO_LIBRARIES:
+            raise ValueError(f"no search stands for the library {library!r}")
+        settings = entry.get(library) or {}
+        minutes, seed = settings.get("max_time_mins"), settings.get("random_state")
+        generations = int(settings.get("generations") or AUTO_GENERATIONS)
+        return cls(
+            name=entry.get("name") or library,
+            max_candidates=generations * int(settings.get("population_size") or AUTO_POPULATION),
+            max_seconds=None if minutes is None else 60.0 * float(minutes),
+            metric=settings.get("scoring") or DEFAULT_METRIC,
+            folds=int(settings.get("cv") or AUTO_FOLDS),
+            seed=None if seed is None else int(seed),
+            export_path=settings.get("export_path") if settings.get("export_best_pipeline") else None,
+        )
+
+
+def spec_from_dict(spec: Mapping[str, Any]) -> ModelSpec | AutoSpec:
+    """A declared chain, or the search that an ``automl`` entry asks for."""
+    if spec.get("automl"):
+        return AutoSpec.from_dict({"name": spec.get("name"), **spec["automl"]})
+    return ModelSpec.from_dict(spec)
+
+
 @dataclass(frozen=True)
 class Candidate:
     cand_id: int

@@ -15,8 +15,8 @@ from tabaudit.operators.audit import CATEGORICAL_RATIO, analyze_raw, dataset_met
 from tabaudit.operators.clean import MIN_SAMPLES, clean, outlier_flags, validate
 from tabaudit.operators.profile import full_profile
 from tabaudit.operators.report import report_table
-from tabaudit.operators.search import SearchResult, compare, leaderboard, pivoted_results
-from tabaudit.plans.specs import DEFAULT_CV, DEFAULT_SPECS, CvPlan, ModelSpec
+from tabaudit.operators.search import SearchResult, compare, leaderboard
+from tabaudit.plans.specs import DEFAULT_CV, DEFAULT_SPECS, AutoSpec, CvPlan, ModelSpec
 from tabaudit.sources.runs import append_run
 from tabaudit.sources.tables import (
     INPUT_EXTENSIONS,
@@ -67,7 +67,7 @@ class RunPlan:
     profile_minimal: bool = False
     compare: bool = True
     report: bool = True
-    specs: Sequence[ModelSpec] = DEFAULT_SPECS
+    specs: Sequence[ModelSpec | AutoSpec] = DEFAULT_SPECS
     cv: Mapping[str, Any] = field(default_factory=lambda: dict(DEFAULT_CV))
 
 
@@ -82,6 +82,7 @@ class RunOutcome:
     summary: DataFrame | None = None
     profile: dict[str, DataFrame] = field(default_factory=dict)
     results: list[SearchResult] = field(default_factory=list)
+    profile_path: str | None = None
     report: DataFrame | None = None
     artifacts: list[str] = field(default_factory=list)
 
@@ -140,6 +141,7 @@ def run_all(
     """
     outcome = RunOutcome()
     now = now or datetime.now()
+    root = None if plan.output_dir is None else f"{plan.output_dir.rstrip('/')}/{plan.project}"
 
     if data is None and raw is None and plan.intake is not None and plan.intake.enabled:
         frames: list[DataFrame | None] = []
@@ -180,13 +182,20 @@ def run_all(
         def audit() -> None:
             outcome.summary = materialize(eda_summary(data), "summary")
             outcome.profile = full_profile(data.df.select(*_audited(data)), plan.profile_minimal)
+            if root is not None:
+                outcome.artifacts.append(write_artifact(outcome.summary, f"{root}/audit", "eda_summary", ".json", now))
+                for name, part in outcome.profile.items():
+                    outcome.artifacts.append(write_artifact(part, f"{root}/audit", f"profile_{name}", ".json", now))
+                outcome.profile_path = f"{root}/audit"
 
         _attempt(outcome, "audit", audit)
 
     if plan.compare and data.target is not None:
 
         def comparison() -> None:
-            outcome.results = compare(data, plan.specs, CvPlan.from_dict(plan.cv, plan.seed))
+            out_dir = None if root is None else f"{root}/models"
+            outcome.results = compare(data, plan.specs, CvPlan.from_dict(plan.cv, plan.seed), out_dir=out_dir, now=now)
+            outcome.artifacts += [r.cv_results_path for r in outcome.results if r.cv_results_path is not None]
 
         _attempt(outcome, "compare", comparison)
 
@@ -194,7 +203,7 @@ def run_all(
 
         def report() -> None:
             board = leaderboard(outcome.results, spark) if outcome.results else None
-            outcome.report = report_table(spark, outcome.summary, board)
+            outcome.report = report_table(spark, outcome.summary, board, outcome.profile_path)
 
         _attempt(outcome, "report", report)
 
@@ -209,15 +218,8 @@ def _audited(data: Dataset) -> list[str]:
 
 
 def _write_artifacts(spark: SparkSession, plan: RunPlan, outcome: RunOutcome, now: datetime) -> None:
-    """Result tables below ``<output>/<project>/<stage>`` and one row in the run index."""
+    """The report below ``<output>/<project>/reports`` and one row in the run index."""
     root = f"{plan.output_dir.rstrip('/')}/{plan.project}"
-    if outcome.summary is not None:
-        outcome.artifacts.append(write_artifact(outcome.summary, f"{root}/audit", "eda_summary", ".json", now))
-    for name, part in outcome.profile.items():
-        outcome.artifacts.append(write_artifact(part, f"{root}/audit", f"profile_{name}", ".json", now))
-    for result in outcome.results:
-        table = pivoted_results(result)
-        outcome.artifacts.append(write_artifact(table, f"{root}/models", f"cv_{result.name}", ".csv", now))
     if outcome.report is not None:
         outcome.artifacts.append(write_artifact(outcome.report, f"{root}/reports", "report", ".json", now))
     index = f"{plan.output_dir.rstrip('/')}/runs"
