@@ -1,17 +1,20 @@
 """Phrase collocations: candidates in double-array tries that numpy walks for all text positions at once.
 
-Four passes over the texts, each a map with sums before the shuffle:
+Five passes over the texts, each a map with sums before the shuffle:
 
 1. words are counted by language;
 2. adjacent words that are both frequent are counted by a hash of the pair;
-3. pairs, and runs of three and four words all of whose pairs may be frequent, become candidates when their
-   words have counts that reach the limit.  Frequent words and pairs are sent as bitmaps of fixed size, so this test errs
-   only towards more candidates (no part of a frequent phrase is rarer than the phrase);
-4. candidates are dealt by hash to double-array tries of bounded size, one broadcast at a time.  All positions of
+3. runs of three and four words all of whose pairs may be frequent are counted by a hash;
+4. runs whose hash may be frequent are counted by their words and become candidates when they reach the limit.
+   Frequent words, pairs and runs are sent as bitmaps of fixed size and counted by 40 bits of their hash, so these
+   tests err only towards more candidates (no part of a frequent phrase is rarer than the phrase);
+5. candidates are dealt by hash to double-array tries of bounded size, one broadcast at a time.  All positions of
    a text take their first step together, those that are still in the trie the second, and so on;
    states are counted by ``bincount`` and the counts of all tasks are added up.
 
-The counts of the fourth pass decide.  Those of single words must equal the counts by spelling of
+Counts by hash leave a task as packed arrays, one for each range of hashes, and are added up there with numpy.
+
+The counts of the fifth pass decide.  Those of single words must equal the counts by spelling of
 the first pass, which proves that no hash of a word is shared; otherwise all passes are repeated with another seed.
 
 Texts: null is empty; letters A-Z are lower-cased; ``.,;:!?`` and line ends cut pieces, spaces and tabs words.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
 from tabaudit.functions.storage import materialize
-from tabaudit.llm.frames import Batches, text_bytes
+from tabaudit.llm.frames import Batches, shuffle_partitions, text_bytes
 from tabaudit.llm.words import BREAK, byte_classes, gathered, joined, mixed, word_hashes, word_spans
 
 MIN_COUNT, TOP, LONGEST = 30, 2000, 4
@@ -159,7 +162,7 @@ def _count_words(seed: int) -> Callable[[Batches], Batches]:
     return run
 
 
-# -- passes 2 and 3: pairs and candidates ---------------------------------------------------------
+# -- passes 2 to 4: pairs, runs and candidates ---------------------------------------------------------
 
 
 def _bitmap(spark: SparkSession, hashes: DataFrame, bits: int) -> Broadcast:
@@ -194,16 +197,63 @@ def _frequent_pairs(part: Words, frequent: np.ndarray, bits: int) -> tuple[np.nd
     return places, _pair_hashes(part.hashes[places], part.hashes[places + 1])
 
 
-def _count_pairs(seed: int, bits: int, words: Broadcast) -> Callable[[Batches], Batches]:
+# Bytes of a hash below the bits of its range that counts keep.
+_KEPT_BYTES = 5
+_PACKED = "range int, data binary"
+
+
+def _range_bits(spark: SparkSession) -> int:
+    return max((shuffle_partitions(spark) - 1).bit_length(), 1)
+
+
+def _packed_counts(hashes: np.ndarray, counts: np.ndarray, bits: int, min_count: int) -> pa.RecordBatch:
+    """Sorted distinct hashes and their counts, a row for each range.  Counts beyond the limit need not be known."""
+    ranges = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    ends = np.searchsorted(ranges, np.arange((1 << bits) + 1))
+    kept = ((hashes << np.uint64(bits)) >> np.uint64(64 - 8 * _KEPT_BYTES)).astype("<u8")
+    keys = kept.view(np.uint8).reshape(-1, 8)[:, :_KEPT_BYTES]
+    number = np.minimum(counts, min_count).astype(_count_type(min_count))
+    used = np.flatnonzero(np.diff(ends))
+    data = [keys[ends[r] : ends[r + 1]].tobytes() + number[ends[r] : ends[r + 1]].tobytes() for r in used]
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], names=["range", "data"])
+
+
+def _count_type(min_count: int) -> np.dtype:
+    return np.dtype(np.uint8 if min_count <= 255 else "<u4")
+
+
+def _frequent_hashes(bits: int, min_count: int) -> Callable[[pa.Table], pa.Table]:
+    """The hashes of a range whose counts add up to the limit; the bits that were not kept are 0."""
+    kind = _count_type(min_count)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for data in table.column("data").to_pylist():
+            n = len(data) // (_KEPT_BYTES + kind.itemsize)
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :_KEPT_BYTES] = np.frombuffer(data, np.uint8, n * _KEPT_BYTES).reshape(n, _KEPT_BYTES)
+            keys.append(wide.view("<u8")[:, 0])
+            counts.append(np.frombuffer(data, kind, n, n * _KEPT_BYTES).astype(np.int64))
+        unique, _, total = _summed(np.concatenate(keys), np.concatenate(counts))
+        high = np.uint64(table.column("range")[0].as_py()) << np.uint64(64 - bits)
+        found = (unique[total >= min_count] << np.uint64(64 - 8 * _KEPT_BYTES - bits)) | high
+        return pa.table([pa.array(_signed(found))], names=["hash"])
+
+    return run
+
+
+def _count_hashes(seed: int, bits: int, ranges: int, min_count: int, words: Broadcast, pairs: Broadcast | None) -> Callable[[Batches], Batches]:
+    """Packed counts of pairs, or, when these are known, of longer runs."""
+
     def flushed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         hashes, _, counts = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-        return pa.RecordBatch.from_arrays([pa.array(_signed(hashes)), pa.array(counts)], names=["hash", "n"])
+        return _packed_counts(hashes, counts, ranges, min_count)
 
     def run(batches: Batches) -> Batches:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for part in _read(batches, seed):
-            _, pairs = _frequent_pairs(part, words.value, bits)
-            held.append(np.unique(pairs, return_counts=True))
+            found = [h for size, _, h in _runs(part, words.value, None if pairs is None else pairs.value, bits) if (size == 2) == (pairs is None)]
+            held += [np.unique(h, return_counts=True) for h in found]
             if sum(len(h[0]) for h in held) > 4 * _HELD_WORDS:
                 yield flushed(held)
                 held = []
@@ -213,38 +263,53 @@ def _count_pairs(seed: int, bits: int, words: Broadcast) -> Callable[[Batches],
     return run
 
 
-_CANDIDATE_SCHEMA = "size int, " + ", ".join(f"{h} long" for h in _HASHES) + ", n long"
-
-
-def _find_candidates(seed: int, bits: int, words: Broadcast, pairs: Broadcast) -> Callable[[Batches], Batches]:
-    def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = rows[:, 0]
-        for i in range(1, LONGEST):
-            keys = _pair_hashes(keys, rows[:, i])
-        _, first, total = _summed(keys, counts)
-        return rows[first], total
+def _runs(part: Words, words: np.ndarray, pairs: np.ndarray | None, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, places and hashes of runs: all pairs of words that may be frequent, and the runs of such pairs that may be."""
+    places, hashes = _frequent_pairs(part, words, bits)
+    if pairs is None:
+        yield 2, places, hashes
+        return
+    may = _in_bitmap(pairs, hashes, bits)
+    yield 2, places[may], hashes[may]
+    # Whether such a pair starts at a word; a longer run needs one at each of its words but the last.
+    starts = np.zeros(len(part.hashes) + LONGEST, bool)
+    starts[places[may]] = True
+    runs = starts[: len(part.hashes)].copy()
+    for size in range(3, LONGEST + 1):
+        runs &= starts[size - 2 : size - 2 + len(runs)]
+        at = np.flatnonzero(runs)
+        found = part.hashes[at]
+        for i in range(1, size):
+            found = _pair_hashes(found, part.hashes[at + i])
+        yield size, at, found
+
+
+def _find_candidates(seed: int, bits: int, ranges: int, words: Broadcast, pairs: Broadcast, longer: Broadcast) -> Callable[[Batches], Batches]:
+    """Packed words and counts of runs whose hash may be frequent; ``range`` is that of the hash."""
 
     def flushed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        rows, total = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-        size = (rows != 0).sum(axis=1).astype(np.int32)
-        columns = [pa.array(_signed(np.ascontiguousarray(rows[:, i]))) for i in range(LONGEST)]  # 0 after the end
-        return pa.RecordBatch.from_arrays([pa.array(size), *columns, pa.array(total)], names=["size", *_HASHES, "n"])
+        keys, rows = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        keys, first, total = _summed(keys, rows[:, -1].astype(np.int64))
+        rows = rows[first]
+        rows[:, -1] = total
+        where = (keys >> np.uint64(64 - ranges)).astype(np.int64)
+        ends = np.searchsorted(where, np.arange((1 << ranges) + 1))
+        used = np.flatnonzero(np.diff(ends))
+        data = [rows[ends[r] : ends[r + 1]].tobytes() for r in used]
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], names=["range", "data"])
 
     def run(batches: Batches) -> Batches:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for part in _read(batches, seed):
-            places, hashes = _frequent_pairs(part, words.value, bits)
-            # Whether a pair that may be frequent starts at a word; a longer run needs one at each of its words but the last.
-            starts = np.zeros(len(part.hashes) + LONGEST, bool)
-            starts[places[_in_bitmap(pairs.value, hashes, bits)]] = True
-            runs = starts[: len(part.hashes)].copy()
-            for size in range(2, LONGEST + 1):
-                at = np.flatnonzero(runs)
-                rows = np.zeros((len(at), LONGEST), np.uint64)
+            for size, at, hashes in _runs(part, words.value, pairs.value, bits):
+                may = np.ones(len(at), bool) if size == 2 else _in_bitmap(longer.value, hashes, bits)
+                unique, first, counts = np.unique(hashes[may], return_index=True, return_counts=True)
+                at = at[may][first]
+                rows = np.zeros((len(unique), LONGEST + 1), np.uint64)
                 for i in range(size):
                     rows[:, i] = part.hashes[at + i]
-                held.append(summed(rows, np.ones(len(rows))))
-                runs &= starts[size - 1 : size - 1 + len(runs)]
+                rows[:, LONGEST] = counts
+                held.append((unique, rows))
             if sum(len(h[0]) for h in held) > _HELD_WORDS:
                 yield flushed(held)
                 held = []
@@ -254,7 +319,24 @@ def _find_candidates(seed: int, bits: int, words: Broadcast, pairs: Broadcast) -
     return run
 
 
-# -- pass 4: double-array tries ---------------------------------------------------------------------
+_CANDIDATE_SCHEMA = "size int, " + ", ".join(f"{h} long" for h in _HASHES)
+
+
+def _candidates(min_count: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(d, np.uint64).reshape(-1, LONGEST + 1) for d in table.column("data").to_pylist()])
+        keys = rows[:, 0]
+        for i in range(1, LONGEST):
+            keys = _pair_hashes(keys, rows[:, i])
+        _, first, total = _summed(keys, rows[:, LONGEST].astype(np.int64))
+        rows = rows[first[total >= min_count]]
+        columns = [pa.array(_signed(np.ascontiguousarray(rows[:, i]))) for i in range(LONGEST)]  # 0 after the end
+        return pa.table([pa.array((rows[:, :LONGEST] != 0).sum(axis=1).astype(np.int32)), *columns], names=["size", *_HASHES])
+
+    return run
+
+
+# -- pass 5: double-array tries ---------------------------------------------------------------------
 
 
 class DoubleArray:
@@ -478,16 +560,18 @@ def _counted(docs: DataFrame, min_count: int, trie_phrases: int, bits: int, seed
         return None
 
     word_map = _bitmap(spark, words, bits)
-    pairs = texts.mapInArrow(_count_pairs(seed, bits, word_map), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    pair_map = _bitmap(spark, pairs.where(F.col("n") >= min_count), bits)
-    candidates = (
-        texts.mapInArrow(_find_candidates(seed, bits, word_map, pair_map), _CANDIDATE_SCHEMA)
-        .groupBy("size", *_HASHES)
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= min_count)
-    )
-    singles = words.select(F.lit(1).alias("size"), F.col("hash").alias("h1"), *[F.lit(0).cast("long").alias(h) for h in _HASHES[1:]], "n")
-    candidates = materialize(candidates.unionByName(singles).drop("n"), "phrase-candidates")
+    ranges = _range_bits(spark)
+
+    def frequent(known_pairs: Broadcast | None) -> Broadcast:
+        packed = texts.mapInArrow(_count_hashes(seed, bits, ranges, min_count, word_map, known_pairs), _PACKED)
+        return _bitmap(spark, packed.groupBy("range").applyInArrow(_frequent_hashes(ranges, min_count), "hash long"), bits)
+
+    pair_map = frequent(None)
+    longer_map = frequent(pair_map)
+    packed = texts.mapInArrow(_find_candidates(seed, bits, ranges, word_map, pair_map, longer_map), _PACKED)
+    candidates = packed.groupBy("range").applyInArrow(_candidates(min_count), _CANDIDATE_SCHEMA)
+    singles = words.select(F.lit(1).alias("size"), F.col("hash").alias("h1"), *[F.lit(0).cast("long").alias(h) for h in _HASHES[1:]])
+    candidates = materialize(candidates.unionByName(singles), "phrase-candidates")
     parts = max(-(-candidates.count() // trie_phrases), 1)
     dealt = candidates.withColumn("part", F.pmod(F.xxhash64(*_HASHES), F.lit(parts)).cast("int"))
     order = Window.partitionBy("part").orderBy("h1", "h2", "h3", "h4")
