@@ -326,7 +326,7 @@ def _rung_sql() -> str:
     for rung, (share, kept) in enumerate(((1 / 9, 3), (1 / 3, 1), (1.0, 0))):
         alive = "rules" if rung == 0 else f"(select c.* from rules c join rung{rung - 1} r on r.cand_id = c.cand_id and r.promoted)"
         parts.append(f"""
-    sample{rung} as (select * from folded where cast('0x' || substr(md5('42:' || doc_id), 1, 8) as bigint) < {int(share * 2**32)}),
+    sample{rung} as (select * from folded where cast('0x' || substr(md5('43:' || doc_id), 1, 8) as bigint) < {int(share * 2**32)}),
     rung{rung} as (
       select {rung} as rung, {share!r}::double as share, (select count(*) from sample{rung}) as n_rows, cand_id, score, place, place <= {kept} as promoted
       from (select *, cast(row_number() over (order by round(score, 12) desc, cand_id) as int) as place

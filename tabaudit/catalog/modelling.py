@@ -24,6 +24,7 @@ from tabaudit.functions.columns import col
 from tabaudit.functions.storage import materialize
 from tabaudit.operators import prep, sampling
 from tabaudit.operators.clean import dedupe
+from tabaudit.operators.components import fit_leading
 from tabaudit.operators.models import FourierFeatures, fit_classifier, fourier_weights, positive_score
 from tabaudit.operators.neighbours import hashed_neighbours, recall
 from tabaudit.operators.prep import PrepSpec, centred, components_kept, fit_pca, fit_prep, fit_prep_folds
@@ -248,6 +249,30 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+@query(
+    f"""
+    {_PCA_SQL}
+    select 1 as component, round(((a + d) / 2 + s) / (a + d), 6) as share from r
+    union all select 2, round(((a + d) / 2 - s) / (a + d), 6) from r
+    """
+)
+def pca_leading_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same shares by a thin basis, scans and a tree of triangles."""
+    shares = fit_leading(_price_vectors(spark, sf_dir)[1], "v", "c", 2).shares
+    rows = [(i + 1, float(s)) for i, s in enumerate(shares)]
+    return rounded(spark.createDataFrame(rows, "component int, share double"), 6, "share")
+
+
+@query()
+def pca_leading_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four components of the embeddings, axes signed by their largest entry."""
+    data = emb_binary(spark, sf_dir)
+    fitted = centred(fit_prep(data.df, data.features, PrepSpec()), data.df)
+    vectors = PipelineModel(fitted.stages("v")).transform(data.df)
+    made = fit_leading(vectors, "v", "c", 4).model.transform(vectors)
+    return made.select("vec_id", *[F.round(vector_to_array(F.col("c"))[i], 6).alias(f"c{i}") for i in range(4)])
+
+
 _RANKED_LABELS = """
     with ranked as (
       select doc_id, quality, count(*) over (partition by quality) as n,

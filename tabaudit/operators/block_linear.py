@@ -22,6 +22,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,12 @@ class Blocks:
     df: DataFrame
     columns: tuple[str, ...]
 
-    def scan(self, step: Callable[[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], np.ndarray]) -> np.ndarray:
-        """The sum of ``step`` over all tasks; each returns one array for all of its blocks."""
+    def scan(
+        self,
+        step: Callable[[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], np.ndarray],
+        combine: Callable[[Sequence[np.ndarray]], np.ndarray] = sum,
+    ) -> np.ndarray:
+        """``step`` of every task, one array for all of its blocks, put together in two levels by ``combine``."""
         width = len(self.columns)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,12 +62,12 @@ class Blocks:
             yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["sums"])
 
         def added(parts: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(b) for b in parts["sums"])
+            total = combine([np.frombuffer(b) for b in parts["sums"]])
             return pd.DataFrame({"sums": [total.tobytes()]})
 
         parts = self.df.mapInArrow(run, "sums binary").withColumn("lot", F.spark_partition_id() % F.lit(self._lots()))
         sums = parts.groupBy("lot").applyInPandas(added, "sums binary").collect()
-        return sum(np.frombuffer(r["sums"]) for r in sums)
+        return combine([np.frombuffer(r["sums"]) for r in sums])
 
     def _lots(self) -> int:
         return max(int(self.df.sparkSession.sparkContext.defaultParallelism ** 0.5), 1)
@@ -77,9 +82,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[n
 
 def pack(rows: DataFrame, columns: Sequence[str], label: str, fold: str) -> Blocks:
     """Write ``rows`` as blocks; missing entries are NaN."""
-    size = max(min(BLOCK_VALUES // max(len(columns), 1), BLOCK_ROWS), 1)
     values = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in columns])
     chosen = rows.select(values.alias("x"), col(label).cast("double").alias("label"), col(fold).cast("int").alias("fold"))
+    return _packed(chosen, tuple(columns))
+
+
+def _packed(chosen: DataFrame, columns: tuple[str, ...]) -> Blocks:
+    size = max(min(BLOCK_VALUES // max(len(columns), 1), BLOCK_ROWS), 1)
 
     def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         x, labels, folds = (np.concatenate(p) for p in zip(*parts))
@@ -100,7 +109,7 @@ def pack(rows: DataFrame, columns: Sequence[str], label: str, fold: str) -> Bloc
         if held:
             yield packed(held)
 
-    return Blocks(materialize(chosen.mapInArrow(run, _BLOCK_SCHEMA), "blocks"), tuple(columns))
+    return Blocks(materialize(chosen.mapInArrow(run, _BLOCK_SCHEMA), "blocks"), columns)
 
 
 # -- preparation in terms of raw columns -------------------------------------------------------
@@ -172,12 +181,12 @@ def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return np.where(missing, 0.0, x), missing.astype(float)
 
 
-def spreads(blocks: Blocks, views: Sequence[Prepared]) -> list[float]:
-    """The variance over all entries of all training rows of each view without a rotation, from one scan."""
+def _column_moments(blocks: Blocks, views: Sequence[Prepared]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows, and mean and variance of every prepared column without the rotation, of each view; one scan for all folds."""
     p = len(blocks.columns)
     folds = sorted({v.held_out for v in views if v.held_out is not None})
     place = {f: i for i, f in enumerate(folds)}
-    cells = len(folds) + 1
+    cells = len(folds) + 1  # the last holds rows of any other fold
 
     def step(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         sums = np.zeros((cells, 1 + 3 * p))
@@ -193,16 +202,118 @@ def spreads(blocks: Blocks, views: Sequence[Prepared]) -> list[float]:
     found = []
     for view in _no_median(views):
         total = sum(s for i, s in enumerate(sums) if view.held_out is None or i != place[view.held_out])
-        n, mid = total[0], view.medians
+        n, mid = max(total[0], 1.0), view.medians
         first, second, holes = (total[1 + i * p :][:p][view.places] for i in range(3))
         mean = (first + mid * holes) / n
         square = (second + mid**2 * holes) / n
-        centred = (mean - view.means) / view.scales
-        squares = (square - 2 * view.means * mean + view.means**2) / view.scales**2
-        found.append(max(float(squares.mean() - centred.mean() ** 2), 0.0))
+        found.append((int(total[0]), (mean - view.means) / view.scales, (square - mean**2).clip(min=0) / view.scales**2))
     return found
 
 
+def spreads(blocks: Blocks, views: Sequence[Prepared]) -> list[float]:
+    """The variance over all entries of all training rows of each view without a rotation."""
+    return [float((v + m**2).mean() - m.mean() ** 2) for _, m, v in _column_moments(blocks, views)]
+
+
+@dataclass(frozen=True)
+class Axes:
+    """Leading principal axes (columns), their variances, and the variance of all columns together."""
+
+    axes: np.ndarray
+    variances: np.ndarray
+    total: float
+
+
+def leading_rotations(
+    blocks: Blocks, views: Sequence[Prepared], k: int, extra: int = 10, rounds: int = 3, seed: int = 42
+) -> list[Axes]:
+    """The first ``k`` principal axes of each view by a randomised range finder (Halko, Martinsson and Tropp, 2011).
+
+    Nothing of the size of a covariance is made: a scan multiplies the rows with a thin basis and back, for all views at once,
+    and the driver makes the result orthogonal.  After ``rounds`` scans the rows in terms of the basis
+    are decomposed as tall thin matrices: every task keeps the triangle of its own rows, and triangles are stacked and
+    decomposed again in a tree.
+    """
+    p = len(blocks.columns)
+    plain = _no_median(views)
+    moments = _column_moments(blocks, plain)
+    sizes = [min(k + extra, v.width) for v in plain]
+    bases = [np.linalg.qr(np.random.default_rng(seed).normal(size=(v.width, n)))[0] for v, n in zip(plain, sizes)]
+    held_out = [v.held_out for v in plain]
+
+    def maps() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        made = []
+        for view, base, (_, mean, _) in zip(plain, bases, moments):
+            value, missing, added = view.raw(base, p)
+            made.append((value, missing, added - mean @ base))
+        return made
+
+    def thin(sent: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray, fold: np.ndarray):
+        value, missing = _split(x)
+        for (to_value, to_missing, added), out in zip(sent, held_out):
+            y = value @ to_value + added
+            if missing is not None:
+                y += missing @ to_missing
+            if out is not None:
+                y[fold == out] = 0.0
+            yield value, missing, y
+
+    for _ in range(rounds):
+        sent = blocks.df.sparkSession.sparkContext.broadcast(maps())
+
+        def step(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+            sums = [(np.zeros((p, n)), np.zeros((p, n)), np.zeros(n)) for n in sizes]
+            for x, _, fold in parts:
+                for (by_value, by_missing, added), (value, missing, y) in zip(sums, thin(sent.value, x, fold)):
+                    by_value += value.T @ y
+                    if missing is not None:
+                        by_missing += missing.T @ y
+                    added += y.sum(0)
+            return np.concatenate([a.ravel() for s in sums for a in s])
+
+        sums, at = blocks.scan(step), 0
+        for i, (view, n, (_, mean, _)) in enumerate(zip(plain, sizes, moments)):
+            by_value, by_missing = sums[at : at + 2 * p * n].reshape(2, p, n)
+            added = sums[at + 2 * p * n : at + 2 * p * n + n]
+            at += 2 * p * n + n
+            bases[i] = np.linalg.qr(view.gradient(by_value, by_missing, added) - np.outer(mean, added))[0]
+    sent = blocks.df.sparkSession.sparkContext.broadcast(maps())
+
+    def triangles(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        held = [np.zeros((n, n)) for n in sizes]
+        for x, _, fold in parts:
+            for i, (_, _, y) in enumerate(thin(sent.value, x, fold)):
+                held[i] = _triangle(np.concatenate([held[i], y]))
+        return np.concatenate([r.ravel() for r in held])
+
+    def stacked(parts: Sequence[np.ndarray]) -> np.ndarray:
+        merged, at = [], 0
+        for n in sizes:
+            merged.append(_triangle(np.concatenate([part[at : at + n * n].reshape(n, n) for part in parts])).ravel())
+            at += n * n
+        return np.concatenate(merged)
+
+    found, at = [], 0
+    merged = blocks.scan(triangles, stacked)
+    for base, n, (rows, _, variance) in zip(bases, sizes, moments):
+        _, singular, turn = np.linalg.svd(merged[at : at + n * n].reshape(n, n))
+        at += n * n
+        found.append(Axes((base @ turn.T)[:, :k], singular[:k] ** 2 / max(rows, 1), float(variance.sum())))
+    return found
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The square factor of a tall matrix."""
+    found = np.linalg.qr(rows, mode="r")
+    return np.concatenate([found, np.zeros((rows.shape[1] - len(found), rows.shape[1]))])
+
+
+def pack_vectors(vectors: DataFrame, column: str, width: int) -> Blocks:
+    """Blocks of a vector column, all in fold 0 and without labels."""
+    values = vectors.select(vector_to_array(F.col(column)).alias("x"), F.lit(0.0).alias("label"), F.lit(0).alias("fold"))
+    return _packed(values, tuple(f"{column}{i}" for i in range(width)))
+
+
 def rotations(blocks: Blocks, views: Sequence[Prepared]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Principal axes (columns) and their variances for each view, from one scan for all folds."""
     p = len(blocks.columns)

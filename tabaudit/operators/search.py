@@ -271,7 +271,12 @@ def _block_scores(
     views = [block_linear.Prepared.of(preps[i], i, features) for i in range(cv.folds)]
     sizes = {(c.cand_id, i): v.width for c in candidates for i, v in enumerate(views)}
     if spec.reduction == "pca":
-        found = block_linear.rotations(blocks, views)
+        counts = [c.step("reduction").get("n_components") for c in candidates]
+        if all(isinstance(n, int) and not isinstance(n, bool) for n in counts):
+            # Numbers of components are found without a covariance of all columns.
+            found = [(a.axes, a.variances) for a in block_linear.leading_rotations(blocks, views, max(counts), seed=cv.seed)]
+        else:
+            found = block_linear.rotations(blocks, views)
         # Components are not centred without a scaler, which moves intercepts and phases only.
         views = [replace(v, rotation=axes) for v, (axes, _) in zip(views, found)]
         extents = [e for _, e in found]
@@ -534,8 +539,11 @@ def rung_shares(candidates: int, n_rows: int, least_rows: int, factor: int = HAL
 
 
 def in_share(key: str, seed: int, share: float) -> Column:
-    """Whether a row belongs to the hash sample of this share; larger samples hold the smaller ones."""
-    return F.conv(F.substring(order_hash(key, seed), 1, 8), 16, 10).cast("long") < F.lit(int(share * 2**32))
+    """Whether a row belongs to the hash sample of this share; larger samples hold the smaller ones.
+
+    The hash is another one than that of folds and holdout, which would leave the first rows out.
+    """
+    return F.conv(F.substring(order_hash(key, seed + 1), 1, 8), 16, 10).cast("long") < F.lit(int(share * 2**32))
 
 
 def successive_halving(
