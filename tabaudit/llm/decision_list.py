@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
+from tabaudit.functions.storage import materialize
 from tabaudit.llm.frames import each_text, fresh, text_bytes
 
 MAX_ROWS = 20_000
@@ -242,7 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Ru
     """Learn from labelled documents that pass the base rules (``quality`` 0 is bad)."""
     judged = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so few rows that they can be broadcast
-    sample = docs.select(col("doc_id"), col("text")).join(F.broadcast(chosen), "doc_id").withColumn("stats", statistics_column())
+    # Written, as the filter on statistics would otherwise move below the join and measure every document.
+    sample = materialize(docs.select(col("doc_id"), col("text")).join(F.broadcast(chosen), "doc_id"), "quality-sample")
+    sample = sample.withColumn("stats", statistics_column())
     named = measures(F.col("stats"))
     values = sample.where(~base_failed(F.col("stats"))).select("doc_id", "quality", *[c.alias(k) for k, c in named.items()])
     rows = values.orderBy(F.xxhash64("doc_id"), *named).limit(max_rows).toPandas()

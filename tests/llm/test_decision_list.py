@@ -83,6 +83,18 @@ def test_rules_are_spark_expressions(labelled):
     assert rules and "CASE WHEN" in str(decision_list.kept_by(rules, F.col("stats")))
 
 
+def test_only_the_sample_is_measured_for_the_rules(spark, monkeypatch):
+    """No Python node reads all documents to learn from a few."""
+    written = []
+    plain = decision_list.materialize
+    monkeypatch.setattr(decision_list, "materialize", lambda df, label: written.append((label, df)) or plain(df, label))
+    docs = documents(spark, [(i, prose(i, 40)) for i in range(60)])
+    decision_list.fit(docs, labels(spark, [(i, i % 2, 0) for i in range(20)]))
+    assert [label for label, _ in written] == ["quality-sample"]
+    plan = written[0][1]._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan and "InArrow" not in plan and written[0][1].count() == 20
+
+
 def test_without_labels(spark):
     found = decision_list.judge(documents(spark), labels(spark, [])).collect()
     assert len(found) == 15 and all(r["kept"] == (not r["base_failed"]) for r in found)
