@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabaudit.functions.storage import materialize
 from tabaudit.llm.tokens import token_counts
 
 # Neighbouring lengths whose sums are made in one task.
@@ -23,8 +24,12 @@ CELL = 1024
 
 
 def length_histogram(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
-    """``n_tokens``, ``n_docs``: how many documents have each encoded length."""
-    return token_counts(docs, path, text_column).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """``n_tokens``, ``n_docs``: how many documents have each encoded length.
+
+    Written, a row for each length, as sums read it twice and would encode every document for each.
+    """
+    counts = token_counts(docs, path, text_column).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return materialize(counts, "lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
