@@ -77,6 +77,42 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_folds(events, "user_id")
 
 
+@query(
+    """
+    with recursive sizes as (
+      select l_suppkey as g, count(*) as n, md5('42:' || l_suppkey) as mark from lineitem group by l_suppkey),
+    whole as (select sum(n) as total from sizes),
+    large as (
+      select g, n, row_number() over (order by n desc, mark, g) as place from sizes, whole where n * 100 > total),
+    placed(place, g, n, fold, loads) as (
+      select 0::bigint, null::bigint, 0::bigint, 0, [0, 0, 0, 0, 0]::bigint[]
+      union all
+      select l.place, l.g, l.n, list_position(p.loads, list_min(p.loads)) - 1,
+             list_transform(p.loads, lambda x, i: case when i = list_position(p.loads, list_min(p.loads)) then x + l.n else x end)
+      from placed p join large l on l.place = p.place + 1),
+    final as (select loads from placed order by place desc limit 1),
+    folds as (select i as fold, loads[i + 1] as load from final, (select unnest(range(5)) as i)),
+    rest as (select coalesce(sum(n), 0) as rows from sizes, whole where n * 100 <= total),
+    level as (
+      select min((rows + filled) / k::double) as level
+      from (select row_number() over (order by load) as k, sum(load) over (order by load rows unbounded preceding) as filled from folds), rest),
+    ends as (
+      select fold, floor(sum(greatest(level - load, 0.0)) over (order by fold) + 1e-6) as upto from folds, level),
+    small as (
+      select g, sum(n) over (order by mark, g) - n as first from sizes, whole where n * 100 <= total),
+    table_ as (
+      select g, fold from placed where place > 0
+      union all
+      select g, (select count(*) from ends where fold < 4 and upto <= first) from small)
+    select l_orderkey, l_linenumber, l_suppkey, cast(fold as int) as fold from lineitem join table_ on g = l_suppkey
+    """
+)
+def balanced_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as groups: the larger ones one by one, the others along a line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return splits.balanced_group_folds(lines, "l_suppkey")
+
+
 @query(
     """
     select event_id, cast(ntile(6) over (order by ts, md5('42:' || event_id), event_id) - 1 as int) as block
@@ -309,8 +345,8 @@ def cv_linear_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A budget of nine random chains in three rungs, and the holdout score of the best one."""
-    found = search.model_search(emb_binary(spark, sf_dir), max_candidates=9, cv=CvPlan(folds=2))
+    """A budget of three random chains, halved over rungs, and the holdout score of the best one."""
+    found = search.model_search(emb_binary(spark, sf_dir), max_candidates=3, cv=CvPlan(folds=2))
     winner = F.when((F.col("name") == found.best.name) & (F.col("share") == 1.0), F.lit(found.holdout_score))
     return found.rungs.withColumn("holdout_score", winner)
 

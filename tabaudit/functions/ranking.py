@@ -71,6 +71,18 @@ def hash_rank(
     return numbered.withColumn(rank, F.col(rank) + F.col(_EARLIER)).select(*all_columns(df), rank, *further)
 
 
+def spread_sum(df: DataFrame, mark: str, key: str, amount: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over all rows before this one in order of ``mark`` (a hex hash), ``key``."""
+    prefix = F.substring(F.col(mark), 1, hash_digits(df.sparkSession))
+    rows = df.withColumn(_CELL, prefix)
+    sizes = rows.groupBy(_CELL).agg(F.sum(amount).alias(_SIZE))
+    # Bounded by the number of prefixes.
+    offsets = sizes.select(_CELL, (F.sum(_SIZE).over(Window.orderBy(_CELL)) - F.col(_SIZE)).alias(_EARLIER))
+    inside = Window.partitionBy(_CELL).orderBy(mark, col(key))
+    summed = rows.withColumn(name, F.sum(amount).over(inside) - F.col(amount)).join(offsets, _CELL)
+    return summed.withColumn(name, F.col(name) + F.col(_EARLIER)).select(*all_columns(df), name)
+
+
 def split_points(df: DataFrame, column: str, buckets: int) -> tuple[list[float], list[float]]:
     """Sketched quantiles of ``column`` and the values that span several of them.
 

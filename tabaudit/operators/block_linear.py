@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,10 @@ from tabaudit.operators.prep import FittedPrep
 
 BLOCK_VALUES, BLOCK_ROWS = 1_000_000, 8_192
 SMOOTH = 0.05
-MAX_SCANS = 200
+MAX_SCANS = 100
 TOLERANCE = 1e-4
+# Sums of so many tasks are collected; those of more are added up in lots first.
+DIRECT_TASKS = 64
 _HISTORY = 12
 
 _BLOCK_SCHEMA = "x binary, label binary, fold binary"
@@ -65,12 +68,17 @@ class Blocks:
             total = combine([np.frombuffer(b) for b in parts["sums"]])
             return pd.DataFrame({"sums": [total.tobytes()]})
 
-        parts = self.df.mapInArrow(run, "sums binary").withColumn("lot", F.spark_partition_id() % F.lit(self._lots()))
-        sums = parts.groupBy("lot").applyInPandas(added, "sums binary").collect()
+        parts = self.df.mapInArrow(run, "sums binary")
+        if self.tasks > DIRECT_TASKS:
+            lot = F.spark_partition_id() % F.lit(int(self.tasks**0.5))
+            parts = parts.withColumn("lot", lot).groupBy("lot").applyInPandas(added, "sums binary")
+        sums = parts.collect()
         return combine([np.frombuffer(r["sums"]) for r in sums])
 
-    def _lots(self) -> int:
-        return max(int(self.df.sparkSession.sparkContext.defaultParallelism ** 0.5), 1)
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks of a scan."""
+        return self.df.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -393,6 +401,7 @@ class _State:
     slope: float = 0.0
     step: float = 1.0
     moves: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    flat: int = 0
     done: bool = False
 
     def feed(self, loss: float, gradient: np.ndarray, tolerance: float) -> None:
@@ -404,8 +413,9 @@ class _State:
             if move @ change > 1e-12 * np.sqrt((move @ move) * (change @ change)):
                 self.moves = [*self.moves[-_HISTORY + 1 :], (move, change)]
             self._accept(loss, gradient)
-            if drop <= 1e-3 * tolerance * max(abs(loss), 1e-3):
-                self.done = True
+            # Three steps in a row that hardly gain anything end the fit; one may be a short step only.
+            self.flat = self.flat + 1 if drop <= tolerance * max(abs(loss), 1e-3) else 0
+            self.done = self.flat == 3
         else:
             self.step /= 2
             if self.step < 1e-8:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import all_columns, col, order_hash
 from tabaudit.functions.joins import join_hot_keys
-from tabaudit.functions.ranking import STRATUM, global_rank, hash_rank
+from tabaudit.functions.ranking import STRATUM, global_rank, hash_rank, spread_sum
 from tabaudit.functions.storage import materialize
 
 # Defaults of the splitters.
 SEED = 42
 FOLDS = 5
 TEST_SHARE = 0.2
+# Groups of which fewer than folds * LARGE_PARTS fit in a table are placed one by one.
+LARGE_PARTS = 20
 
 
 def _class_sizes(df: DataFrame, target: str) -> DataFrame:
@@ -82,6 +87,56 @@ def group_folds(
     return join_hot_keys(rows, table, "__group", "n").select(*all_columns(df), name)
 
 
+def _levels(loads: Sequence[int], rows: int) -> list[int]:
+    """Where the folds end on a line of ``rows`` rows that fills them all to one level, as far as their loads allow."""
+    filled, level = 0, math.inf
+    for k, load in enumerate(sorted(loads), 1):
+        filled += load
+        level = min(level, (rows + filled) / k)
+    ends, at = [], 0.0
+    for load in loads:
+        at += max(level - load, 0.0)
+        ends.append(math.floor(at + 1e-6))
+    return ends
+
+
+def balanced_group_table(df: DataFrame, group: str, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """Rows ``(group, n, fold)`` with folds of even size.
+
+    Groups above ``1 / (folds * LARGE_PARTS)`` of the rows, at most that many by definition, go one by one to the
+    emptiest fold, largest first (Graham 1969).  The others lie in seeded hash order on a line, which is cut
+    so that every fold comes up to one level; a group belongs to the fold in which it starts.  So folds differ
+    from the level by less than one small group, unless a single group is larger than it.
+    """
+    sizes = materialize(df.groupBy(col(group).alias("group")).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    is_large = F.col("n") * (folds * LARGE_PARTS) > total
+    mark = F.coalesce(order_hash("group", seed), F.lit(""))
+    large = sizes.filter(is_large).orderBy(F.desc("n"), mark, "group").collect()
+    loads, places = [0] * folds, []
+    for row in large:
+        fold = loads.index(min(loads))
+        loads[fold] += row["n"]
+        places.append((row["group"], row["n"], fold))
+    first = spread_sum(sizes.filter(~is_large).withColumn("__mark", mark), "__mark", "group", "n", "__first")
+    fold = F.lit(0)
+    for end in _levels(loads, total - sum(loads))[:-1]:
+        fold = fold + (F.col("__first") >= end).cast("int")
+    small = first.select("group", "n", fold.alias("fold"))
+    kind = sizes.schema["group"].dataType.simpleString()
+    return df.sparkSession.createDataFrame(places, f"group {kind}, n long, fold int").unionByName(small)
+
+
+def balanced_group_folds(
+    df: DataFrame, group: str, folds: int = FOLDS, seed: int = SEED, name: str = "fold"
+) -> DataFrame:
+    """Add a fold such that no group crosses folds and folds are even; null is a group."""
+    table = materialize(balanced_group_table(df, group, folds, seed), "balanced-folds")
+    table = table.select(F.struct("group").alias("__group"), F.col("fold").alias(name), "n")
+    rows = df.withColumn("__group", F.struct(col(group).alias("group")))
+    return join_hot_keys(rows, table, "__group", "n").select(*all_columns(df), name)
+
+
 def time_blocks(
     df: DataFrame, order: str, key: str, splits: int = FOLDS, seed: int = SEED, name: str = "block"
 ) -> DataFrame:
