@@ -21,6 +21,8 @@ from tabaudit.catalog.fixtures import (
     rounded,
     table,
 )
+from tabaudit.functions.sketches import merged_sketches, quantile_sketches, rank_error, sketch_quantiles
+from tabaudit.functions.storage import materialize
 from tabaudit.operators import audit, profile
 
 _FEATURES = ", ".join(LINEITEM_FEATURES)
@@ -295,3 +297,31 @@ def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     }
     return reduce(DataFrame.unionByName, [r.select(F.lit(n).alias("part"), "item", "value") for n, r in rows.items()])
+
+
+@query(
+    """
+    with long as (
+      select 'l_quantity' as "column", l_returnflag, l_quantity as v from lineitem
+      union all select 'l_extendedprice', l_returnflag, l_extendedprice from lineitem
+      union all select 'l_discount', l_returnflag, l_discount from lineitem),
+    wanted as (select unnest([0.05, 0.25, 0.5, 0.75, 0.95]) as p)
+    select "column", p::double as p, count(*) as n, min(v)::double as low, max(v)::double as high, true as near from long, wanted group by all
+    """
+)
+def sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each return flag, stored, merged and asked; ``near``: the true rank of every answer is within the error."""
+    names, probabilities = ["l_quantity", "l_extendedprice", "l_discount"], [0.05, 0.25, 0.5, 0.75, 0.95]
+    lines = table(spark, sf_dir, "lineitem")
+    stored = materialize(quantile_sketches(lines, names, ["l_returnflag"]), "sketches")
+    answers = sketch_quantiles(merged_sketches(stored), probabilities)
+    asked = answers.select("column", "n", "low", "high", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in probabilities]).alias("p"), F.col("quantiles").alias("q"))).alias("a"))
+    asked = asked.select("column", "n", "low", "high", F.col("a.p").alias("p"), F.col("a.q").alias("q"))
+    values = lines.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names])).alias("e")).select("e.*")
+    # Fifteen answers, so few that Spark may send them to the rows.
+    ranked = values.join(asked, "column").groupBy("column", "p", "n", "low", "high").agg(
+        F.count_if(F.col("v") < F.col("q")).alias("below"), F.count_if(F.col("v") <= F.col("q")).alias("upto")
+    )
+    slack = F.col("n") * 2 * rank_error()
+    near = (F.col("below") - slack <= F.col("p") * F.col("n")) & (F.col("p") * F.col("n") <= F.col("upto") + slack)
+    return ranked.select("column", "p", "n", "low", "high", near.alias("near"))
