@@ -155,4 +155,4 @@ def validate(df: DataFrame, min_samples: int = MIN_SAMPLES) -> None:
     """Raise ``ValueError`` on fewer than ``min_samples`` rows."""
     n = df.limit(min_samples).count()
     if n < min_samples:
-        raise ValueError(f"Insufficient samples: {n} < {min_samples}")
+        raise ValueError(f"{n} rows are too few, at least {min_samples} are needed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import posixpath
 import re
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabaudit.functions.columns import col
+from tabaudit.functions.columns import quote as quoted
+from tabaudit.sources.records import csv_records, narrowest_types
 
 # Stamp format and the input extensions looked for.
 STAMP_FORMAT = "%Y%m%d_%H%M%S"
@@ -41,25 +45,46 @@ def read_table(
     schema: T.StructType | str | None = None,
     infer: bool = True,
     line_per_row: bool = False,
+    split: bool = False,
 ) -> DataFrame:
     """Read ``.csv`` (header row) or ``.json`` (array of records, or JSON lines).
 
     Give a ``schema`` for large inputs: inferring one costs an extra pass, and
     JSON lines with a schema are split between tasks.  ``infer=False`` reads all
     CSV fields as text.  Quoted CSV fields may hold line breaks, so a CSV file is read by
-    one task; ``line_per_row`` says that it has none and splits it.
+    one task; ``line_per_row`` says that it has none and splits it.  ``split`` lets many tasks read a file that
+    has some, at the price of a second pass that counts quotes (see ``records``).
     """
     kind = _extension(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
+    if kind == ".csv" and split:
+        return _split_csv(spark, path, schema, infer)
     if kind == ".csv":
-        csv = reader.options(header=True, multiLine=not line_per_row, **CSV_RULES)
-        return csv.option("inferSchema", infer and schema is None).csv(path)
+        rows = reader.options(header=True, multiLine=not line_per_row, **CSV_RULES)
+        return rows.option("inferSchema", infer and schema is None).csv(path)
     if kind == ".json":
         found = reader.option("multiLine", _is_record_array(spark, path)).json(path)
         return found if schema is not None else _in_record_order(spark, path, found)
     raise ValueError(f"cannot read {kind or 'a file without extension'}: only .csv and .json")
 
 
+def _split_csv(spark: SparkSession, path: str, schema: T.StructType | str | None, infer: bool) -> DataFrame:
+    """Records cut by many tasks and parsed one by one; empty lines are left out, as Spark's reader does."""
+    records = csv_records(spark, path).where(F.trim("record") != "")
+    rules = {k: str(v) for k, v in CSV_RULES.items()}
+    if schema is None:
+        head = records.where("first").orderBy("file").first()
+        if head is None:
+            return spark.createDataFrame([], T.StructType())
+        names = next(csv.reader(io.StringIO(head["record"])))
+        wanted = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+    else:
+        wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in wanted.fields)
+    rows = records.where(~F.col("first")).select(F.from_csv("record", ddl, rules).alias("r")).select("r.*")
+    return narrowest_types(rows) if schema is None and infer else rows
+
+
 def _is_record_array(spark: SparkSession, path: str) -> bool:
     """Whether the files hold one JSON array each rather than one record per line."""
     first = spark.read.text(path).filter(F.trim("value") != "").head(1)

@@ -240,3 +240,64 @@ def test_block_fits_are_for_unsampled_machines():
     assert search._is_block_fit(linear, linear.candidates())
     assert not search._is_block_fit(ModelSpec("s", "svc", {"kernel": "linear"}, sampler="over"), linear.candidates())
     assert not search._is_block_fit(linear, [Candidate(0, {"estimator__approximation": "nystrom"})])
+
+
+# -- registered scores -------------------------------------------------------------------------
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def embeddings(spark):
+    """Scaled rows, labels of 1 and -1, and the order of their ids, by numpy."""
+    rows = sorted(spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding", "label").collect(), key=lambda r: r["vec_id"])
+    x = np.array([r["embedding"] for r in rows], float)
+    return (x - x.mean(axis=0)) / x.std(axis=0), np.array([1.0 if r["label"] < 5 else -1.0 for r in rows]), [r["vec_id"] for r in rows]
+
+
+def least_loss(x, y, ridge):
+    """The smallest regularised hinge loss, by the same optimiser on plain arrays with a finer rounding."""
+    state, n = block_linear._State(np.zeros(x.shape[1] + 1)), len(x)
+    for _ in range(3000):
+        w = state.trial
+        short = 1 - y * (x @ w[:-1] + w[-1])
+        inside, bent = short > 0, (short > 0) & (short < 0.01)
+        loss = np.where(bent, short**2 / 0.02, np.where(inside, short - 0.005, 0)).mean() + 0.5 * ridge * w[:-1] @ w[:-1]
+        slope = -y * np.where(bent, short / 0.01, inside) / n
+        state.feed(loss, np.append(x.T @ slope + ridge * w[:-1], slope.sum()), 1e-9)
+        if state.done:
+            break
+    return hinge(x, y, state.weights, ridge)
+
+
+def hinge(x, y, w, ridge):
+    return np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])).mean() + 0.5 * ridge * w[:-1] @ w[:-1]
+
+
+@pytest.mark.parametrize("name", ["linear_svm_scores", "rbf_svm_scores"])
+def test_registered_machines_equal_a_fit_by_hand(spark, name):
+    import __spark_entry__ as entry
+
+    x, y, ids = embeddings(spark)
+    if name == "rbf_svm_scores":
+        directions, phases = models.fourier_weights(64, models.FOURIER_FEATURES, 1 / (64 * x.var()), 42)
+        x = np.sqrt(2 / models.FOURIER_FEATURES) * np.cos(x @ directions + phases)
+    found = {r["vec_id"]: r for r in entry.queries()[name](spark, SMALL).collect()}
+    score = np.array([found[i]["score"] for i in ids])
+    assert [found[i]["label"] for i in ids] == [(v + 1) / 2 for v in y]
+    assert [found[i]["prediction"] for i in ids] == [float(v > 0) for v in score]
+    # Scores are linear in the rows, so they give the weights of least norm that make them.
+    wide = np.column_stack([x, np.ones(len(x))])
+    weights = np.linalg.lstsq(wide, score, rcond=None)[0]
+    assert np.allclose(wide @ weights, score, atol=1e-6)
+    ridge = 1 / len(x)
+    assert hinge(x, y, weights, ridge) <= 1.05 * least_loss(x, y, ridge) + 1e-3
+
+
+def test_registered_forest(spark):
+    import __spark_entry__ as entry
+
+    _, y, ids = embeddings(spark)
+    found = {r["vec_id"]: r for r in entry.queries()["random_forest_scores"](spark, SMALL).collect()}
+    assert set(found) == set(ids) and all(0 <= r["score"] <= 1 and r["prediction"] == float(r["score"] > 0.5) for r in found.values())
+    # Deep enough to beat the larger class on its own rows by far.
+    assert np.mean([found[i]["prediction"] == (v + 1) / 2 for i, v in zip(ids, y)]) > 0.85

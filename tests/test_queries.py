@@ -8,11 +8,9 @@ import __spark_entry__ as entry
 from tests.oracle import difference, expected
 
 SMALL = "/root/testdata/sf0.001"
-# Fits of many models; their parts are tested elsewhere.
-SLOW = {"cv_linear_svc", "model_search", "linear_svm_scores", "rbf_svm_scores", "random_forest_scores"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, name):
     found = entry.queries()[name](spark, SMALL).toPandas()
     sql = entry.oracle_sql().get(name)

@@ -67,7 +67,7 @@ def test_given_data_is_not_cleaned(spark):
 def test_failures_are_recorded(spark):
     small = spark.range(5).select("id", F.col("id").alias("target"))
     outcome = run_all(spark, RunPlan(), raw=small)
-    assert outcome.status[0][:2] == ("data", False) and "Insufficient samples" in outcome.status[0][2]
+    assert outcome.status[0][:2] == ("data", False) and "are too few" in outcome.status[0][2]
 
 
 def test_prepare_options(spark):
