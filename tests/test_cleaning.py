@@ -90,7 +90,7 @@ def test_outliers(spark):
 
 
 def test_validation(spark):
-    with pytest.raises(ValueError, match="9 < 10"):
+    with pytest.raises(ValueError, match="9 rows are too few"):
         clean.validate(spark.range(9))
     clean.validate(spark.range(10))
     assert clean.validation_status(spark.range(3)).first()["ok"] is False
