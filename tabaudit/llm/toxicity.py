@@ -8,13 +8,18 @@ pair of dictionaries are measured with a second pair, trained on other ordinary
 smaller saving: a chance match seldom occurs in both.  Thresholds on a text's savings
 are calibrated on labelled texts that no dictionary was trained on, and give its score.
 
-The toxic dictionary is trained on the stretches of toxic texts whose byte sequences are over-represented
-among toxic documents; common prose would only add the same content to both sides.
+The toxic dictionary is trained on *marked* stretches of toxic texts, those whose byte sequences are more frequent than in
+ordinary texts; common prose would only add the same content to both sides.  The distinct stretches, the most frequent last,
+are put before what the training kept, so that those of rare languages have a place.  Ordinary
+dictionaries are trained on windows without marked sequences, as a word that ordinary texts have now and then
+would cost the same on both sides otherwise.  How much more frequent a marked sequence must be, in how many texts, and the room for
+stretches (``SETTINGS``) is chosen inside the fit: each setting's weights are fitted on two thirds of the calibration
+texts and judged on the others by log loss.  Rows that are held out take no part.
 
 Dictionaries and thresholds are fitted on the driver on a bounded sample of labelled rows (``Bounds``);
 every text is then scored whole.  Nulls and texts without words have no window and get the score
 of a text without savings.  Repeated rows get equal scores.  Without rows of both classes nothing can be
-learnt and all scores are 0.
+learnt and all scores are 0.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,9 +43,11 @@ WINDOW = 8  # words
 GRAM = 6  # bytes
 LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 1_536
+PROSE_WINDOWS = 20_000  # ordinary windows that a dictionary is trained on
 THRESHOLD = 0.3
 # Savings in bytes from which a window counts in the features.
-FIRST, STRONG = 1, 5
+STEPS = (1, 3, 5, 7)
+FIRST = STEPS[0]
 
 
 @dataclass(frozen=True)
@@ -49,7 +56,19 @@ class Bounds:
 
     toxic: int = 1_600
     ordinary: int = 4_000
-    characters: int = 50_000
+    characters: int = 10_000
+
+
+@dataclass(frozen=True)
+class Setting:
+    """When byte sequences are marked: the log of their relative frequency, the toxic texts that have them; bytes for stretches."""
+
+    contrast: float
+    texts: int
+    room: int
+
+
+SETTINGS = (Setting(3.0, 4, 2_048), Setting(2.2, 5, 3_072), Setting(1.8, 6, 2_048), Setting(1.8, 4, 4_096))
 
 
 @dataclass(frozen=True)
@@ -93,9 +112,11 @@ def savings(text: str, pairs: tuple[tuple[bytes, bytes], ...]) -> list[int]:
 
 
 def features(saved: list[int]) -> list[float]:
-    top = sorted(saved, reverse=True)[:3] + [0, 0, 0]
-    strong = sum(s >= STRONG for s in saved)
-    return [1.0, top[0], top[1], top[2], math.log1p(strong), math.log1p(sum(saved)), math.log1p(len(saved)), float(not saved)]
+    n, total = max(1, len(saved)), sum(saved)
+    top = sorted(saved, reverse=True)[:4] + [0, 0, 0, 0]
+    hits = [sum(s >= step for s in saved) for step in STEPS]
+    counts = [math.log1p(x) for x in (*hits, total, len(saved))]
+    return [1.0, *top[:4], *counts, float(not saved), math.sqrt(hits[1] / n), math.sqrt(hits[2] / n), total / n]
 
 
 def _chance(row: list[float], weights: tuple[float, ...]) -> float:
@@ -107,24 +128,40 @@ def score(text: str, model: Model | None) -> float:
     return 0.0 if model is None else _chance(features(savings(text, model.pairs)), model.weights)
 
 
-def _grams(words: set[bytes]) -> set[bytes]:
-    found = set()
-    for word in words:
-        spaced = b" " + word + b" "
-        found.update(spaced[i : i + GRAM] for i in range(max(1, len(spaced) - GRAM + 1)))
-    return found
+def _grams(word: bytes) -> set[bytes]:
+    spaced = b" " + word + b" "
+    return {spaced[i : i + GRAM] for i in range(max(1, len(spaced) - GRAM + 1))}
+
+
+class _Frequencies:
+    """How often byte sequences occur in words of some texts, and in how many texts."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.times: Counter[bytes] = Counter()
+        self.texts: Counter[bytes] = Counter()
+        self.words = 0
+        for text in texts:
+            here: Counter[bytes] = Counter()
+            for word, n in Counter(words_of(text)).items():
+                self.words += n
+                for gram in _grams(word):
+                    here[gram] += n
+            self.times.update(here)
+            self.texts.update(here.keys())
 
+    def log_rate(self, gram: bytes) -> float:
+        return math.log((self.times[gram] + 0.5) / max(1, self.words))
 
-def toxic_stretches(toxic: list[str], ordinary: list[str], contrast: float = 3.0) -> list[bytes]:
-    """Stretches of words in toxic texts covered by sequences that far more toxic than ordinary documents have."""
-    seen = Counter(g for text in toxic for g in _grams(set(words_of(text))))
-    least_docs = min(8, max(4, len(toxic) // 40))
-    often = {g for g, n in seen.items() if n >= least_docs}
-    other = Counter(g for text in ordinary for g in _grams(set(words_of(text))) & often)
-    share = len(ordinary) / len(toxic)
-    marked = {g for g in often if math.log((seen[g] + 0.5) * share / (other[g] + 0.5)) > contrast}
+
+def marked_grams(toxic: _Frequencies, ordinary: _Frequencies, setting: Setting) -> set[bytes]:
+    often = (g for g, n in toxic.texts.items() if n >= setting.texts)
+    return {g for g in often if toxic.log_rate(g) - ordinary.log_rate(g) > setting.contrast}
+
+
+def stretches(texts: list[str], marked: set[bytes]) -> list[bytes]:
+    """The stretches of words that marked sequences cover."""
     found = []
-    for text in toxic:
+    for text in texts:
         for word in words_of(text):
             spaced = b" " + word + b" "
             covered = [False] * len(spaced)
@@ -163,28 +200,65 @@ def _calibrate(rows: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tupl
     return tuple(float(b) for b in beta)
 
 
-def train(toxic: list[str], ordinary: list[str], toxic_share: float, seed: int = 17) -> Model | None:
-    """Two thirds of each class train the dictionaries, the rest calibrates the thresholds."""
+def _toxic_content(found: list[bytes], room: int) -> bytes:
+    """What a dictionary keeps of the stretches, after the distinct ones that occur twice or more and have room."""
+    kept = _trained([b"".join(found[i : i + 8]) for i in range(0, len(found), 8)], TOXIC_BYTES)
+    before = b""
+    for stretch, n in Counter(found).most_common():
+        if n < 2 or len(before) + len(stretch) > room:
+            break
+        if stretch not in kept and stretch not in before:
+            before = stretch + before
+    return before + kept
+
+
+def _pairs(toxic: list[str], ordinary: list[list[bytes]], marked: set[bytes], setting: Setting) -> tuple[tuple[bytes, bytes], ...]:
+    """A pair of dictionaries for each half of the ordinary windows."""
+    content = _toxic_content(stretches(toxic, marked), setting.room)
+    pairs = []
+    for prose in ordinary:
+        plain = [w for w in prose if not any(w[i : i + GRAM] in marked for i in range(len(w) - GRAM + 1))]
+        shared = _trained(plain[:PROSE_WINDOWS], ORDINARY_BYTES)
+        filler = _trained(plain[-PROSE_WINDOWS:], max(256, len(content)))[-len(content) :]
+        pairs.append((shared + filler, shared + content))
+    return tuple(pairs)
+
+
+def _loss(rows: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted log loss of rows by weights fitted on the other thirds."""
+    total, third = 0.0, np.arange(len(rows)) % 3
+    for k in range(3):
+        beta = np.array(_calibrate(rows[third != k], labels[third != k], weight[third != k]))
+        z = np.clip(rows[third == k] @ beta, -30, 30)
+        total += float((weight[third == k] * np.logaddexp(0, np.where(labels[third == k] == 1, -z, z))).sum())
+    return total
+
+
+def train(toxic: list[str], ordinary: list[str], toxic_share: float, settings: tuple[Setting, ...] = SETTINGS, seed: int = 17) -> Model | None:
+    """Two thirds of each class train the dictionaries, the rest calibrates the thresholds and chooses the setting."""
     if len(toxic) < 3 or len(ordinary) < 3:
         return None
     draw = Random(seed)
     fit = [[t for i, t in enumerate(texts) if i % 3] for texts in (toxic, ordinary)]
     test = [[t for i, t in enumerate(texts) if i % 3 == 0] for texts in (toxic, ordinary)]
-    stretches = toxic_stretches(*fit)
-    if not stretches:
-        return None
-    grouped = [b"".join(stretches[i : i + 8]) for i in range(0, len(stretches), 8)]
-    toxic_part = _trained(grouped, TOXIC_BYTES)
-    pairs = []
+    seen = [_Frequencies(texts) for texts in fit]
+    prose = []
     for half in (0, 1):
-        prose = [w for i, t in enumerate(fit[1]) if i % 2 == half for w in windows(t)]
-        shared = _trained(draw.sample(prose, min(len(prose), 20_000)), ORDINARY_BYTES)
-        filler = _trained(draw.sample(prose, min(len(prose), 5_000)), TOXIC_BYTES)
-        pairs.append((shared + filler, shared + toxic_part))
-    rows = np.array([features(savings(t, tuple(pairs))) for texts in test for t in texts])
+        every = [w for i, t in enumerate(fit[1]) if i % 2 == half for w in windows(t)]
+        prose.append(draw.sample(every, min(len(every), 2 * PROSE_WINDOWS)))
     labels = np.array([1.0] * len(test[0]) + [0.0] * len(test[1]))
     weight = np.where(labels == 1, toxic_share / len(test[0]), (1 - toxic_share) / len(test[1])) * len(labels)
-    return Model(tuple(pairs), _calibrate(rows, labels, weight))
+    best: tuple[float, Model] | None = None
+    for setting in settings:
+        marked = marked_grams(*seen, setting)
+        if not marked:
+            continue
+        pairs = _pairs(fit[0], prose, marked, setting)
+        rows = np.array([features(savings(t, pairs)) for texts in test for t in texts])
+        loss = _loss(rows, labels, weight)
+        if best is None or loss < best[0]:
+            best = loss, Model(pairs, _calibrate(rows, labels, weight))
+    return None if best is None else best[1]
 
 
 def held_out(id_column: Column) -> Column:
