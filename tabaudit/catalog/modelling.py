@@ -102,6 +102,23 @@ def anova_f_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prep.anova_f_scores(data.df, data.features, data.target), 6, "f_score")
 
 
+@query("""
+    with long as (
+      select 'l_quantity' as feature, 0 as position, l_partkey as class, cast(l_quantity as double) as x from lineitem
+      union all select 'l_extendedprice', 1, l_partkey, cast(l_extendedprice as double) from lineitem
+      union all select 'l_discount', 2, l_partkey, cast(l_discount as double) from lineitem),
+    per_class as (select feature, position, class, count(x) as n, avg(x) as m, var_pop(x) as v from long group by all),
+    grand as (select feature, avg(x) as g, count(x) as n from long group by feature)
+    select c.feature, c.position,
+           round((sum(c.n * (c.m - g.g) * (c.m - g.g)) / (count(*) - 1)) / (sum(c.n * c.v) / (max(g.n) - count(*))), 6) as f_score
+    from per_class c join grand g on c.feature = g.feature group by c.feature, c.position
+""")
+def anova_many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F scores for a target with a class for each part."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rounded(prep.anova_f_scores(items, ["l_quantity", "l_extendedprice", "l_discount"], "l_partkey"), 6, "f_score")
+
+
 @query(f"{_F_SQL} select feature from scores order by f_score desc, position desc limit 2")
 def select_k_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = doc_quality(spark, sf_dir)

@@ -2,8 +2,9 @@
 
 A fit collects one small statistics table (folds x classes x features) and turns
 it into plain SQL expressions, so applying it is a projection without a join.
-All folds of a cross-validation are fitted by the same two jobs: the statistics
-are taken per fold, and each training set merges the folds it contains.
+All folds of a cross-validation are fitted by the same few jobs: the statistics
+are taken per fold, and each training set merges the folds it contains.  What the F tests need of the
+classes is summed in Spark, so the target may have any number of them.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from functools import cached_property
 import numpy as np
 from pyspark.ml import Transformer
 from pyspark.ml.feature import PCA, PCAModel, SQLTransformer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col, missing_to_null, quote
 from tabaudit.functions.quantiles import exact_quantiles
 
-# Classes whose statistics may be collected; classifiers here stop far below.
+# Classes that a classifier may tell apart.
 MAX_CLASSES = 1_000
 
 _DECOMPOSITION = threading.Lock()
@@ -110,10 +111,9 @@ class _Moments:
 
 @dataclass
 class _Cell:
-    """Moments of one fold and class, and how many values were missing."""
+    """Moments of one fold, and its rows with those whose value is missing."""
 
     fold: int | None
-    label: object
     rows: int
     moments: _Moments
 
@@ -123,23 +123,23 @@ class _Cell:
         return self.moments.merge(filled)
 
 
-def _collect_cells(
-    df: DataFrame, features: Sequence[str], by: Sequence[str], fold: str | None, target: str | None
-) -> list[_Cell]:
+def _moment_columns(features: Sequence[str]) -> list[Column]:
     asked = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(features):
         v = col(c).cast("double")
         asked += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}")]
-    if target is not None and df.select(col(target)).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    grouped = df.groupBy(*[col(c) for c in by]).agg(*asked).collect()
+    return asked
+
+
+def _collect_cells(df: DataFrame, features: Sequence[str], fold: str | None) -> list[_Cell]:
+    """A cell for each fold."""
+    grouped = df.groupBy(*([col(fold)] if fold else [])).agg(*_moment_columns(features)).collect()
     cells = []
     for r in grouped:
         n = np.array([r[f"n{i}"] for i in range(len(features))], dtype=float)
         mean = np.array([r[f"m{i}"] or 0.0 for i in range(len(features))], dtype=float)
         var = np.array([r[f"v{i}"] or 0.0 for i in range(len(features))], dtype=float)
-        where, label = (r[fold] if fold else None), (r[target] if target else None)
-        cells.append(_Cell(where, label, r["rows"], _Moments(n, mean, var * n)))
+        cells.append(_Cell(r[fold] if fold else None, r["rows"], _Moments(n, mean, var * n)))
     return cells
 
 
@@ -150,20 +150,59 @@ def _merged(parts: Sequence[_Moments], p: int) -> _Moments:
     return total
 
 
-def _f_scores(classes: Sequence[_Moments], total: _Moments) -> list[float | None]:
-    """One-way ANOVA F per feature; ``None`` where the feature is constant."""
-    between = sum(c.n * (c.mean - total.mean) ** 2 for c in classes)
-    within = sum(c.m2 for c in classes)
-    groups = sum((c.n > 0).astype(float) for c in classes)
-    scores: list[float | None] = []
-    for b, w, g, n in zip(between, within, groups, total.n):
-        if g < 2 or n <= g or (w == 0 and b == 0):
-            scores.append(None)
-        elif w == 0:
-            scores.append(float("inf"))
-        else:
-            scores.append(float((b / (g - 1)) / (w / (n - g))))
-    return scores
+def _class_sums(
+    df: DataFrame, features: Sequence[str], target: str, fold: str | None, centres: Sequence[tuple[int | None, np.ndarray, np.ndarray | None]]
+) -> DataFrame:
+    """Rows ``(set, position, groups, between, within)``: sums of squares of each training set, with any number of classes.
+
+    An entry of ``centres`` is a training set: the fold it leaves out, the means of its features, and what its missing
+    values become.  Classes are counted per fold once; each training set merges the folds of its classes.
+    """
+    spark = df.sparkSession
+    keys = [col(target).alias("class"), (col(fold) if fold else F.lit(None).cast("int")).alias("part")]
+    counted = df.groupBy(*keys).agg(*_moment_columns(features))
+    values = [F.struct(F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v")) for i in range(len(features))]
+    taken = [F.when(F.lit(held_out is None) | F.coalesce(F.col("part") != F.lit(held_out), F.lit(False)), F.lit(k)) for k, (held_out, _, _) in enumerate(centres)]
+    cells = counted.select("class", "rows", F.explode(F.array_compact(F.array(*taken))).alias("set"), F.array(*values).alias("values"))
+    cells = cells.select("class", "rows", "set", F.posexplode("values").alias("position", "x")).select("class", "rows", "set", "position", "x.*")
+    facts = [
+        (k, i, float(mean[i]), None if filler is None else float(filler[i]))
+        for k, (_, mean, filler) in enumerate(centres)
+        for i in range(len(features))
+    ]
+    cells = cells.join(spark.createDataFrame(facts, "set int, position int, centre double, filler double"), ["set", "position"])
+    # Values are told from the mean of the training set, so large means lose no digits.
+    missing = F.when(F.col("filler").isNotNull(), F.col("rows") - F.col("n")).otherwise(F.lit(0))
+    own, fill = F.coalesce(F.col("m"), F.lit(0.0)) - F.col("centre"), F.coalesce("filler", F.lit(0.0)) - F.col("centre")
+    total = F.col("n") + missing
+    mean = F.when(missing == 0, own).when(F.col("n") == 0, fill).otherwise((F.col("n") * own + missing * fill) / total)
+    spread = F.coalesce(F.col("v"), F.lit(0.0)) * F.col("n")
+    spread = spread + F.when((missing > 0) & (F.col("n") > 0), (own - fill) * (own - fill) * F.col("n") * missing / total).otherwise(0.0)
+    cells = cells.select("set", "position", "class", total.alias("n"), mean.alias("d"), spread.alias("m2")).where(F.col("n") > 0)
+    per_class = cells.groupBy("set", "position", "class").agg(
+        F.sum("n").alias("n"),
+        F.sum("m2").alias("m2"),
+        F.sum(F.col("n") * F.col("d")).alias("s"),
+        F.min("d").alias("low"),
+        F.max("d").alias("high"),
+        F.collect_list(F.struct("n", "d")).alias("parts"),  # one for each fold
+    )
+    per_class = per_class.withColumn("d", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("s") / F.col("n")))
+    between_folds = F.aggregate("parts", F.lit(0.0), lambda done, x: done + x["n"] * (x["d"] - F.col("d")) * (x["d"] - F.col("d")))
+    return per_class.groupBy("set", "position").agg(
+        F.count(F.lit(1)).alias("groups"),
+        F.sum(F.col("n") * F.col("d") * F.col("d")).alias("between"),
+        F.sum(F.col("m2") + between_folds).alias("within"),
+    )
+
+
+def _f_score(n: float, groups: int, between: float, within: float) -> float | None:
+    """One-way ANOVA F; ``None`` where the feature is constant."""
+    if groups < 2 or n <= groups or (within == 0 and between == 0):
+        return None
+    if within == 0:
+        return float("inf")
+    return float((between / (groups - 1)) / (within / (n - groups)))
 
 
 # -- selection --------------------------------------------------------------------------
@@ -229,6 +268,7 @@ class PrepStatistics:
     ) -> None:
         self.df, self.features, self.target = missing_to_null(df), list(features), target
         self.fold, self.folds = fold, list(folds)
+        self._f: dict[bool, dict[int | None, list[float | None]]] = {}
 
     @cached_property
     def _medians(self) -> dict[tuple[int | None, str], float | None]:
@@ -236,8 +276,28 @@ class PrepStatistics:
 
     @cached_property
     def _cells(self) -> list[_Cell]:
-        by = [c for c in (self.fold, self.target) if c is not None]
-        return _collect_cells(self.df, self.features, by, self.fold, self.target)
+        return _collect_cells(self.df, self.features, self.fold)
+
+    def _total(self, held_out: int | None, imputed: bool) -> tuple[_Moments, np.ndarray | None]:
+        """Moments of a training set, and what its missing values become."""
+        train = [c for c in self._cells if held_out is None or c.fold != held_out]
+        if not imputed:
+            return _merged([c.moments for c in train], len(self.features)), None
+        found = [self._medians[(held_out, c)] for c in self.features]
+        filler = np.array([0.0 if m is None else m for m in found])
+        return _merged([c.imputed(filler) for c in train], len(self.features)), filler
+
+    def _scores(self, imputed: bool) -> dict[int | None, list[float | None]]:
+        """F scores of all training sets from one job, kept for later specs."""
+        if imputed not in self._f:
+            totals = [self._total(held_out, imputed) for held_out in self.folds]
+            centres = [(held_out, total.mean, filler) for held_out, (total, filler) in zip(self.folds, totals)]
+            scores = {held_out: [None] * len(self.features) for held_out in self.folds}
+            for r in _class_sums(self.df, self.features, self.target, self.fold, centres).collect():
+                n = float(totals[r["set"]][0].n[r["position"]])
+                scores[self.folds[r["set"]]][r["position"]] = _f_score(n, r["groups"], r["between"], r["within"])
+            self._f[imputed] = scores
+        return self._f[imputed]
 
     def fit(self, spec: PrepSpec) -> dict[int | None, FittedPrep]:
         """The steps of ``spec`` fitted on each training set."""
@@ -247,23 +307,12 @@ class PrepStatistics:
 
     def _fit_one(self, spec: PrepSpec, held_out: int | None) -> FittedPrep:
         names = self.features
-        train = [c for c in self._cells if held_out is None or c.fold != held_out]
-        if spec.imputer == "simple":
-            found = [self._medians[(held_out, c)] for c in names]
-            filler = np.array([0.0 if m is None else m for m in found])
-            parts = [c.imputed(filler) for c in train]
-            # A feature without any value cannot be imputed and is left out.
-            usable = [i for i, m in enumerate(found) if m is not None]
-        else:
-            found = [None] * len(names)
-            parts = [c.moments for c in train]
-            usable = list(range(len(names)))
-        total = _merged(parts, len(names))
-        by_class: dict[object, list[_Moments]] = {}
-        for cell, part in zip(train, parts):
-            by_class.setdefault(cell.label, []).append(part)
-        classes = [_merged(group, len(names)) for group in by_class.values()]
-        scores = _f_scores(classes, total) if spec.needs_f else [None] * len(names)
+        imputed = spec.imputer == "simple"
+        total, _ = self._total(held_out, imputed)
+        found = [self._medians[(held_out, c)] if imputed else None for c in names]
+        # A feature without any value cannot be imputed and is left out.
+        usable = [i for i, m in enumerate(found) if not imputed or m is not None]
+        scores = self._scores(imputed)[held_out] if spec.needs_f else [None] * len(names)
         deviation = np.sqrt(total.variance)
         # A constant feature is only centred.
         constant = deviation <= 1e-12 * np.maximum(np.abs(total.mean), 1.0)
@@ -279,7 +328,7 @@ class PrepStatistics:
             means={names[i]: float(total.mean[i]) for i in scaled},
             scales={names[i]: float(scale[i]) for i in scaled},
             scores={n: scores[i] for i, n in enumerate(names)},
-            n_rows=sum(c.rows for c in train),
+            n_rows=sum(c.rows for c in self._cells if held_out is None or c.fold != held_out),
         )
 
 

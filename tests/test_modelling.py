@@ -379,3 +379,23 @@ def test_rows_are_not_moved_by_class(spark):
             assert found.count() == 3000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_f_scores_of_many_classes_by_fold(spark):
+    """More classes than any driver table would hold, missing values, and training sets that merge folds."""
+    rows = [(i % 3, i % 1500, None if i % 11 == 0 else float((i * 37) % 101 + (i % 1500) % 7), 4.0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "fold int, label int, x double, flat double")
+    for imputer in (None, "simple"):
+        spec = prep.PrepSpec(imputer=imputer, select_k_best="all")
+        for held_out, fitted in zip((0, None), prep.fit_prep_folds(df, ["x", "flat"], spec, "label", "fold", [0, None])):
+            train = [(c, x) for f, c, x, _ in rows if f != held_out]
+            median = float(np.median([x for _, x in train if x is not None]))
+            train = [(c, median if x is None else x) for c, x in train if imputer or x is not None]
+            values = np.array([x for _, x in train])
+            groups = {}
+            for c, x in train:
+                groups.setdefault(c, []).append(x)
+            between = sum(len(g) * (np.mean(g) - values.mean()) ** 2 for g in groups.values())
+            within = sum(len(g) * np.var(g) for g in groups.values())
+            wanted = (between / (len(groups) - 1)) / (within / (len(values) - len(groups)))
+            assert fitted.scores["x"] == pytest.approx(wanted, rel=1e-9) and fitted.scores["flat"] is None
