@@ -17,6 +17,7 @@ from tabaudit.functions.columns import (
 )
 from tabaudit.functions.quantiles import exact_quantiles
 from tabaudit.operators.audit import corr_pairs, distinct_counts
+from tabaudit.operators.frequent import frequent_values
 
 # The quantiles, list length and bins of a profile.
 PROFILE_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -89,21 +90,15 @@ def profile_topk(
 ) -> DataFrame:
     """The ``k`` most frequent values of each non-numeric column, ties by value.
 
-    The rank filter is applied before the shuffle as well, so a column with many
-    values sends at most ``k`` rows per task.
+    Summaries of tasks tell which values can win, so only nearly unique columns are shuffled whole
+    (``operators/frequent.py``).  The rank filter is applied before the last shuffle as well.
     """
     names = other_columns(df, names)
     if not names:
         schema = "column string, value string, n long, rank int, share double"
         return df.sparkSession.createDataFrame([], schema)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = [(F.lit(c), col(c).cast("string")) for c in names]
-    counts = (
-        stacked(df, ["column", "value"], rows)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = frequent_values(df, names, k)
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     return (
         counts.withColumn("rank", F.row_number().over(order))
