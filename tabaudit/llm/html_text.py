@@ -11,8 +11,10 @@ For the others the ratio of text to tags is smoothed with a Gaussian over neighb
 clusters by the threshold between their means.  The upper cluster gives the content regions.  The
 element that holds most of their text is the article, and all its unmarked lines are
 returned, also short ones between regions.  It is widened to the elements around it (titles, leads, further parts)
-while what they add is not mostly links.  Where no element encloses the regions, the lines from the first
-region to the last one are returned, without those that are mostly links.
+while what they add is not mostly links; the body adds lines of its own and lines whose ratio reaches the threshold before
+smoothing, as smoothing lifts a notice beside a long paragraph.  Where no element encloses the regions, the lines from the first
+region to the last one are returned, without those that are mostly links, and so are the lines before and after them
+that stand directly in the same element as most of the regions (titles, short paragraphs), up to one that does not.
 
 White space inside a line becomes one space and lines are joined by a line break.  Null or empty pages
 and pages without text give an empty text.  Nothing is cut.  Repeated rows give equal texts.
@@ -315,10 +317,29 @@ def _article(lines: list[Line], kinds: list[str], in_region: list[bool]) -> int
     return max(most) if most else None  # inner elements have higher numbers
 
 
-def _widened(article: int, lines: list[Line], kinds: list[str], in_region: list[bool]) -> list[Line]:
+def _grown(lines: list[Line], in_region: list[bool]) -> list[Line]:
+    """Lines from the first region to the last, and on both sides those directly in the element of most of them."""
+    direct: dict[int, int] = defaultdict(int)
+    for line, chosen in zip(lines, in_region):
+        if chosen:
+            direct[line.containers[-1] if line.containers else -1] += len(line.text)
+    home = max(direct, key=lambda c: (direct[c], -c))
+    first, last = in_region.index(True), len(in_region) - in_region[::-1].index(True)
+
+    def at_home(line: Line) -> bool:
+        return not line.linked and (line.containers[-1] if line.containers else -1) == home
+
+    while first and at_home(lines[first - 1]):
+        first -= 1
+    while last < len(lines) and at_home(lines[last]):
+        last += 1
+    return [line for line in lines[first:last] if not line.linked]
+
+
+def _widened(article: int, lines: list[Line], kinds: list[str], dense: list[bool]) -> list[Line]:
     """The article's lines with those that the elements around it add, up to an element that adds mostly links.
 
-    The body adds its own lines and regions only, and other articles with linked lines are teasers.
+    The body adds its own lines and dense ones only, and other articles with linked lines are teasers.
     """
     chosen = [article in line.containers for line in lines]
     path = next(line.containers for line, c in zip(lines, chosen) if c)
@@ -335,7 +356,7 @@ def _widened(article: int, lines: list[Line], kinds: list[str], in_region: list[
         if sum(lines[k].link_chars for k in added) > sum(lines[k].plain for k in added):
             break
         for k in added:
-            own = kinds[around] != "body" or in_region[k] or lines[k].containers[-1] == around
+            own = kinds[around] != "body" or dense[k] or lines[k].containers[-1] == around
             chosen[k] = own and not lines[k].linked
         article = around
     return [line for line, c in zip(lines, chosen) if c]
@@ -351,10 +372,10 @@ def main_text(page: str) -> str:
     in_region = [bool(v >= threshold) for v in values]
     article = _article(lines, kinds, in_region)
     if article is not None:
-        chosen = _widened(article, lines, kinds, in_region)
+        dense = [line.ratio >= threshold for line in lines]
+        chosen = _widened(article, lines, kinds, dense)
     else:
-        first, last = in_region.index(True), len(in_region) - in_region[::-1].index(True)
-        chosen = [line for line in lines[first:last] if not line.linked]
+        chosen = _grown(lines, in_region)
     return "\n".join(line.text for line in chosen)
 
 

@@ -83,3 +83,37 @@ def test_title_and_lead_around_the_text():
     assert main_text(f"<body><h1>Title</h1><p>A lead.</p><div class=text>{text}</div></body>") == wanted
     parts = f"<main><article><p>{A} {A}</p><p>{C}</p></article><article><p>{B}</p></article></main>"
     assert main_text(f"<body>{MENU}{parts}</body>") == "\n".join([f"{A} {A}", C, B])
+
+
+def built(k: int, tag: str, names: bool) -> tuple[str, list[str]]:
+    """A page and its article's blocks; ``tag`` encloses the article, and other parts are plain unless ``names``."""
+    blocks = [f"Title {k}"] + [prose(100 * k + j, 3 + (k * 17 + j * 29) % 70) for j in range(3 + k % 4)] + ["Short end."] * (k % 2)
+    inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    menu, advert, footer = ("nav", 'div class="ad"', "footer") if names else ("div", "div", "div")
+    frame = f"<{menu}>{MENU}</{menu}><{advert}>{prose(9 * k, 8)}</div>%s<{footer}>&copy; {prose(7 * k, 9)}</{footer}>"
+    return f"<body>{frame % (f'<{tag}>{inner}</{tag}>' if tag else inner)}</body>", blocks
+
+
+def differing(pages: list[tuple[str, list[str]]]) -> tuple[float, float]:
+    """Characters lost and gained, as shares of the articles."""
+    lost = gained = total = 0
+    for page, blocks in pages:
+        found = main_text(page).split("\n")
+        lost += sum(len(b) for b in blocks if b not in found)
+        gained += sum(len(b) for b in found if b not in blocks)
+        total += sum(map(len, blocks))
+    return lost / total, gained / total
+
+
+def test_pages_without_article_elements_or_names():
+    assert differing([built(k, "", True) for k in range(60)]) == (0.0, 0.0)
+    lost, gained = differing([built(k, "div", False) for k in range(60)])
+    assert lost < 0.02 and gained < 0.02
+
+
+def test_clusters_decide(monkeypatch):
+    """Without the threshold, adverts and footers without names stay in the text."""
+    pages = [built(k, "div", False)[0] for k in range(60)]
+    by_method = [main_text(page) for page in pages]
+    monkeypatch.setattr("tabaudit.llm.html_text.split_at", lambda values: float("-inf"))
+    assert sum(main_text(page) != text for page, text in zip(pages, by_method)) >= 30
