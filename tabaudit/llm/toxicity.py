@@ -12,8 +12,8 @@ The toxic dictionary is trained on *marked* stretches of toxic texts, those whos
 ordinary texts; common prose would only add the same content to both sides.  The distinct stretches, the most frequent last,
 are put before what the training kept, so that those of rare languages have a place.  Ordinary
 dictionaries are trained on windows without marked sequences, as a word that ordinary texts have now and then
-would cost the same on both sides otherwise.  How much more frequent a marked sequence must be, in how many texts, and the room for
-stretches (``SETTINGS``) is chosen inside the fit: each setting's weights are fitted on two thirds of the calibration
+would cost the same on both sides otherwise.  How much more frequent a marked sequence must be, and in what share of toxic
+texts (``SETTINGS``), is chosen inside the fit: each setting's weights are fitted on two thirds of the calibration
 texts and judged on the others by log loss.  Rows that are held out take no part.
 
 Dictionaries and thresholds are fitted on the driver on a bounded sample of labelled rows (``Bounds``);
@@ -61,14 +61,15 @@ class Bounds:
 
 @dataclass(frozen=True)
 class Setting:
-    """When byte sequences are marked: the log of their relative frequency, the toxic texts that have them; bytes for stretches."""
+    """When byte sequences are marked: the log of their relative frequency, and the share of toxic texts that have them."""
 
     contrast: float
-    texts: int
-    room: int
+    share: float
 
 
-SETTINGS = (Setting(3.0, 4, 2_048), Setting(2.2, 5, 3_072), Setting(1.8, 6, 2_048), Setting(1.8, 4, 4_096))
+SETTINGS = tuple(Setting(contrast, share) for contrast in (3.0, 2.4, 1.8) for share in (0.015, 0.025, 0.04))
+FEWEST_TEXTS = 4
+STRETCH_BYTES = 2_048
 
 
 @dataclass(frozen=True)
@@ -139,7 +140,7 @@ class _Frequencies:
     def __init__(self, texts: list[str]) -> None:
         self.times: Counter[bytes] = Counter()
         self.texts: Counter[bytes] = Counter()
-        self.words = 0
+        self.words, self.n = 0, len(texts)
         for text in texts:
             here: Counter[bytes] = Counter()
             for word, n in Counter(words_of(text)).items():
@@ -154,7 +155,8 @@ class _Frequencies:
 
 
 def marked_grams(toxic: _Frequencies, ordinary: _Frequencies, setting: Setting) -> set[bytes]:
-    often = (g for g, n in toxic.texts.items() if n >= setting.texts)
+    least = max(FEWEST_TEXTS, setting.share * toxic.n)
+    often = (g for g, n in toxic.texts.items() if n >= least)
     return {g for g in often if toxic.log_rate(g) - ordinary.log_rate(g) > setting.contrast}
 
 
@@ -200,21 +202,21 @@ def _calibrate(rows: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tupl
     return tuple(float(b) for b in beta)
 
 
-def _toxic_content(found: list[bytes], room: int) -> bytes:
+def _toxic_content(found: list[bytes]) -> bytes:
     """What a dictionary keeps of the stretches, after the distinct ones that occur twice or more and have room."""
     kept = _trained([b"".join(found[i : i + 8]) for i in range(0, len(found), 8)], TOXIC_BYTES)
     before = b""
     for stretch, n in Counter(found).most_common():
-        if n < 2 or len(before) + len(stretch) > room:
+        if n < 2 or len(before) + len(stretch) > STRETCH_BYTES:
             break
         if stretch not in kept and stretch not in before:
             before = stretch + before
     return before + kept
 
 
-def _pairs(toxic: list[str], ordinary: list[list[bytes]], marked: set[bytes], setting: Setting) -> tuple[tuple[bytes, bytes], ...]:
+def _pairs(toxic: list[str], ordinary: list[list[bytes]], marked: set[bytes]) -> tuple[tuple[bytes, bytes], ...]:
     """A pair of dictionaries for each half of the ordinary windows."""
-    content = _toxic_content(stretches(toxic, marked), setting.room)
+    content = _toxic_content(stretches(toxic, marked))
     pairs = []
     for prose in ordinary:
         plain = [w for w in prose if not any(w[i : i + GRAM] in marked for i in range(len(w) - GRAM + 1))]
@@ -253,7 +255,7 @@ def train(toxic: list[str], ordinary: list[str], toxic_share: float, settings: t
         marked = marked_grams(*seen, setting)
         if not marked:
             continue
-        pairs = _pairs(fit[0], prose, marked, setting)
+        pairs = _pairs(fit[0], prose, marked)
         rows = np.array([features(savings(t, pairs)) for texts in test for t in texts])
         loss = _loss(rows, labels, weight)
         if best is None or loss < best[0]:
