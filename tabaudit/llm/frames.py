@@ -45,6 +45,7 @@ def sliced(batches: Batches, rows: int = 500) -> Batches:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
 
 def each_text(texts: pa.Array, rows: int = 500) -> Iterator[str]:

@@ -71,7 +71,8 @@ class Kept(dict):
         if value is None:
             value = self.make(key)
         if len(self) >= self.limit:
-            self.old = dict(self)
+            self.old.clear()  # before the copy, so that there are never three generations
+            self.old.update(self)
             self.clear()
         self[key] = value
         return value
@@ -135,9 +136,9 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> TextEncoder:
     """One encoder for each file in a Python worker."""
-    return TextEncoder(path)
+    return TextEncoder(path, kept)
 
 
 def token_counts(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
