@@ -17,6 +17,7 @@ from tabaudit.llm.tokens import vocabulary
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 0
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+KEPT_WORDS = 80_000  # encoded words that a Python worker keeps; it holds what earlier stages left as well
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
     small_batches(spark)
-    return packing.pack_documents(docs, vocabulary(VOCABULARY), CAPACITY, END_ID)
+    return packing.pack_documents(docs, vocabulary(VOCABULARY), CAPACITY, END_ID, kept=KEPT_WORDS)
 
 
 STAGES = [
