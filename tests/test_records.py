@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tabaudit.catalog import tables as catalog_tables
 from tabaudit.sources import records
 from tabaudit.sources.tables import read_table
 
@@ -75,3 +76,19 @@ def test_without_line_breaks_and_without_rows(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "e.csv"), split=True).count() == 0
     text = read_table(spark, str(tmp_path / "p.csv"), infer=False, split=True)
     assert {t for _, t in text.dtypes} == {"string"}
+
+
+def test_no_task_writes_a_whole_table(spark, tmp_path, small_ranges, monkeypatch):
+    """Files of the split reading grow in number with the table, and each is still cut by several tasks."""
+    rows = spark.range(0, 400, 1, 10).select(
+        F.col("id").alias("doc_id"), F.expr("repeat(sha2(cast(id as string), 256), 5)").alias("text"), F.lit("en").alias("lang"), F.lit(320).cast("long").alias("n_chars")
+    )
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog_tables, "scratch_path", lambda spark, label: str(tmp_path / label))
+    found = catalog_tables.csv_split_roundtrip(spark, str(tmp_path))
+    held = [p.read_text().count('say ""') for p in sorted((tmp_path / "csv.csv").glob("part-*"))]
+    assert sum(held) == 400 and len(held) > 2 and max(held) < 200
+    ranges = records._lines(spark, str(tmp_path / "csv.csv")).groupBy("file").agg(F.countDistinct("start").alias("n"))
+    assert min(r["n"] for r in ranges.collect()) > 1
+    wanted = rows.select("doc_id", F.md5(catalog_tables._wrapped("text")).alias("digest"), "lang", "n_chars")
+    assert found.exceptAll(wanted).count() == 0 == wanted.exceptAll(found).count()
