@@ -122,35 +122,38 @@ def _members(values: DataFrame, intervals: Sequence[Interval]) -> DataFrame:
 def _at_rank(intervals: Sequence[Interval], searches: Sequence[_Search]) -> Column:
     """Whether a counted part, rows ``upto - n`` to ``upto`` of its interval, holds a wanted rank."""
     places = {interval: i for i, interval in enumerate(intervals)}
-    wanted: dict[int, set[int]] = {}
+    wanted: list[set[int]] = [set() for _ in intervals]
     for x in searches:
-        wanted.setdefault(places[x.interval], set()).update((x.first - x.below, x.second - x.below))
-    holds = F.lit(False)
-    for i, ranks in wanted.items():
-        listed = F.array(*[F.lit(r) for r in sorted(ranks)])
-        inside = F.exists(listed, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
-        holds = F.when(F.col("i") == i, inside).otherwise(holds)
-    return holds
+        wanted[places[x.interval]].update((x.first - x.below, x.second - x.below))
+    listed = F.get(F.lit([sorted(ranks) for ranks in wanted]).cast("array<array<bigint>>"), F.col("i"))
+    return F.exists(listed, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
 
 
-def _split(values: DataFrame, searches: list[_Search], bins: int) -> None:
-    """One round: bin the open intervals and go on inside the bins of the wanted ranks."""
-    intervals = list(dict.fromkeys(x.interval for x in searches))
-    bin_of = F.lit(None).cast("int")
-    for i, (_, low, high) in enumerate(intervals):
+def _bin_of(intervals: Sequence[Interval], bins: int) -> Column:
+    """The bin of a value ``v`` in its interval ``i``.
+
+    Ends are looked up by ``i``, so the work for a value does not grow with the number of intervals.
+    """
+    starts, widths = [], []
+    for _, low, high in intervals:
         # Infinite ends are cut to the largest double; halves avoid an overflow.
         half_low = max(low, -sys.float_info.max) / 2
         half_width = min(high, sys.float_info.max) / 2 - half_low
-        finite = F.least(F.greatest(F.col("v"), F.lit(-sys.float_info.max)), F.lit(sys.float_info.max))
-        share = (finite / 2 - F.lit(half_low)) / F.lit(half_width or sys.float_info.min)
-        place = F.least(F.floor(F.greatest(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-        if math.isinf(low) or math.isinf(high):
-            # The infinities get bins of their own.
-            place = F.when(F.col("v") == -math.inf, -1).when(F.col("v") == math.inf, bins).otherwise(place)
-        bin_of = F.when(F.col("i") == i, place).otherwise(bin_of)
+        starts.append(half_low)
+        widths.append(half_width or sys.float_info.min)
+    finite = F.least(F.greatest(F.col("v"), F.lit(-sys.float_info.max)), F.lit(sys.float_info.max))
+    share = (finite / 2 - F.get(F.lit(starts), F.col("i"))) / F.get(F.lit(widths), F.col("i"))
+    place = F.least(F.floor(F.greatest(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    # The infinities get bins of their own.
+    return F.when(F.col("v") == -math.inf, -1).when(F.col("v") == math.inf, bins).otherwise(place)
+
+
+def _split(values: DataFrame, searches: list[_Search], bins: int) -> None:
+    """One round: bin the open intervals and go on inside the bins of the wanted ranks."""
+    intervals = list(dict.fromkeys(x.interval for x in searches))
     counted = (
         _members(values, intervals)
-        .groupBy("i", bin_of.alias("bin"))
+        .groupBy("i", _bin_of(intervals, bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         .withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("bin")))
     )

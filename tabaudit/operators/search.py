@@ -520,11 +520,12 @@ def random_specs(count: int, seed: int) -> list[ModelSpec]:
 
 @dataclass(frozen=True)
 class Halving:
-    """Outcome of successive halving: the scores of every rung and the results of the last one, best first."""
+    """Outcome of successive halving: the scores of every rung, and of the last one the results, best first, share and statistics."""
 
     rungs: DataFrame
     results: list[tuple[ModelSpec, SearchResult]]
     statistics: PrepStatistics
+    share: float
 
 
 RUNG_SCHEMA = "rung int, share double, n_rows long, name string, cand_id int, score double, place int, promoted boolean"
@@ -596,7 +597,7 @@ def successive_halving(
             break
         chosen = sorted(ranked[:kept], key=lambda r: r[1])
         entries = [(spec, c) for _, _, spec, c in chosen]
-    return Halving(spark.createDataFrame(rows, RUNG_SCHEMA), results, statistics)
+    return Halving(spark.createDataFrame(rows, RUNG_SCHEMA), results, statistics, share)
 
 
 @dataclass(frozen=True)
@@ -629,7 +630,8 @@ def model_search(
     tried = random_specs(max_candidates, seed) if specs is None else list(specs)
     found = successive_halving(folded, features, n_classes, tried, cv, deadline=deadline)
     spec, best = found.results[0]
-    statistics = fold_statistics(folded, features, cv)
+    # A last rung with all rows has their medians and moments already.
+    statistics = found.statistics if found.share == 1.0 else fold_statistics(folded, features, cv)
     fitted = refit_on_all(spec, best.best, folded, statistics, n_classes, seed)
     scored = _scored_candidates(spec, fitted, test, n_classes)
     model = fitted.full()

@@ -126,3 +126,10 @@ def test_hash_digits_grow_with_the_cluster(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert math.log(4 * int(before), 16) <= ranking.hash_digits(spark)
+
+
+def test_work_for_a_value_does_not_grow_with_the_columns(spark):
+    intervals = [(f"q{i}", 0.0, float(i + 1)) for i in range(50)]
+    searches = [quantiles._Search(c, 10.0, low, high, 0, 100_000) for c, low, high in intervals]
+    assert str(quantiles._at_rank(intervals, searches)).count("WHEN") == 0
+    assert str(quantiles._bin_of(intervals, 8)).count("WHEN") <= 2

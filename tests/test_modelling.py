@@ -399,3 +399,11 @@ def test_f_scores_of_many_classes_by_fold(spark):
             within = sum(len(g) * np.var(g) for g in groups.values())
             wanted = (between / (len(groups) - 1)) / (within / (len(values) - len(groups)))
             assert fitted.scores["x"] == pytest.approx(wanted, rel=1e-9) and fitted.scores["flat"] is None
+
+
+def test_refit_takes_the_statistics_of_a_last_rung_with_all_rows(separable, monkeypatch):
+    asked, plain = [], prep._fold_medians
+    monkeypatch.setattr(prep, "_fold_medians", lambda *given: asked.append(given) or plain(*given))
+    spec = ModelSpec("lin", "svc", {"kernel": "linear"}, PrepSpec("simple", "standard"))
+    found = search.model_search(separable, cv=CvPlan(folds=2), specs=[spec])
+    assert len(asked) == 1 and 0 <= found.holdout_score <= 1
