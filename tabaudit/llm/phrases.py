@@ -1,20 +1,23 @@
 """Phrase collocations: candidates in double-array tries that numpy walks for all text positions at once.
 
-Five passes over the texts, each a map with sums before the shuffle:
+Four passes over the texts, each a map with sums before the shuffle, and a fifth over what the fourth found:
 
 1. words are counted by language;
 2. adjacent words that are both frequent are counted by a hash of the pair;
 3. runs of three and four words all of whose pairs may be frequent are counted by a hash;
-4. runs whose hash may be frequent are counted by their words and become candidates when they reach the limit.
+4. every place of a word that may be frequent becomes a window: the words from there to the end of the longest run
+   whose hash may be frequent.  Equal windows are counted together and dealt by the hash of their first pair.
    Frequent words, pairs and runs are sent as bitmaps of fixed size and counted by 40 bits of their hash, so these
    tests err only towards more candidates (no part of a frequent phrase is rarer than the phrase);
-5. candidates are dealt by hash to double-array tries of bounded size, one broadcast at a time.  All positions of
-   a text take their first step together, those that are still in the trie the second, and so on;
-   states are counted by ``bincount`` and the counts of all tasks are added up.
+5. all windows that begin with a pair meet in one range of hashes.  There the beginnings of windows that reach the
+   limit become candidates, which are cut into double-array tries of bounded size.  All windows take their first step
+   together, those that are still in the trie the second, and so on; states are counted by ``bincount``.
 
-Counts by hash leave a task as packed arrays, one for each range of hashes, and are added up there with numpy.
+A place of a text walks the tries of its own range only, so the work grows with the texts, not with texts times tries.
+Counts by hash leave a task as packed arrays, one for each range of hashes, and are added up there with numpy; ranges
+become more with the words of the table, so that one stays small.
 
-The counts of the fifth pass decide.  Those of single words must equal the counts by spelling of
+The counts of the fifth pass decide.  Those of single words, added up over ranges, must equal the counts by spelling of
 the first pass, which proves that no hash of a word is shared; otherwise all passes are repeated with another seed.
 
 Texts: null is empty; letters A-Z are lower-cased; ``.,;:!?`` and line ends cut pieces, spaces and tabs words.
@@ -26,10 +29,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,6 +51,8 @@ LARGE_NODE = 64
 _PART_BYTES = 1 << 20
 _HELD_WORDS = 600_000
 _CHUNK_BITS = 1 << 15  # of Spark's bitmap functions
+# Words of the texts for each range of hashes, at most.
+_RANGE_WORDS = 4_000_000
 
 CLASSES = byte_classes(gaps=b" \t", breaks=b".,;:!?\n\x0b\x0c\r")
 _CUT = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -118,9 +121,21 @@ def _read(batches: Batches, seed: int) -> Iterator[Words]:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their first places and the sums of their counts."""
-    unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    return unique, first, np.bincount(which, counts, len(unique)).astype(np.int64)
+    """Distinct keys, a place of each and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(_changes(keys))
+    return keys[starts], order[starts], _totals(counts[order], starts)
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value is not that before it."""
+    return np.append(np.ones(min(len(values), 1), bool), values[1:] != values[:-1])
+
+
+def _totals(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of ``counts`` that begin at ``starts``."""
+    return np.add.reduceat(counts, starts) if len(starts) else counts[:0]
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -202,8 +217,9 @@ _KEPT_BYTES = 5
 _PACKED = "range int, data binary"
 
 
-def _range_bits(spark: SparkSession) -> int:
-    return max((shuffle_partitions(spark) - 1).bit_length(), 1)
+def _range_bits(spark: SparkSession, words: int) -> int:
+    """Bits of the number of ranges: one for each shuffle partition and for ``_RANGE_WORDS`` words of the texts at least."""
+    return max((max(shuffle_partitions(spark), -(-words // _RANGE_WORDS)) - 1).bit_length(), 1)
 
 
 def _packed_counts(hashes: np.ndarray, counts: np.ndarray, bits: int, min_count: int) -> pa.RecordBatch:
@@ -284,33 +300,52 @@ def _runs(part: Words, words: np.ndarray, pairs: np.ndarray | None, bits: int) -
         yield size, at, found
 
 
-def _find_candidates(seed: int, bits: int, ranges: int, words: Broadcast, pairs: Broadcast, longer: Broadcast) -> Callable[[Batches], Batches]:
-    """Packed words and counts of runs whose hash may be frequent; ``range`` is that of the hash."""
-
-    def flushed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, rows = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        keys, first, total = _summed(keys, rows[:, -1].astype(np.int64))
-        rows = rows[first]
-        rows[:, -1] = total
-        where = (keys >> np.uint64(64 - ranges)).astype(np.int64)
-        ends = np.searchsorted(where, np.arange((1 << ranges) + 1))
+def _summed_rows(rows: np.ndarray) -> np.ndarray:
+    """Distinct columns of words (0 after the end) with the sums of their counts, which are in the last row."""
+    words = rows[:LONGEST]
+    keys = words[0]
+    for word in words[1:]:
+        keys = _pair_hashes(keys, word)
+    order = np.argsort(keys)
+    change = _changes(keys[order])
+    if any((_changes(word[order]) & ~change).any() for word in words):  # a hash is shared
+        order = np.lexsort(words)
+        change = np.logical_or.reduce([_changes(word[order]) for word in words])
+    starts = np.flatnonzero(change)
+    return np.concatenate([words[:, order[starts]], _totals(rows[LONGEST][order], starts)[None]])
+
+
+def _windows(part: Words, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray, bits: int) -> np.ndarray:
+    """The words from every word that may be frequent to the end of the longest run that may be, and how often they occur."""
+    size = _in_bitmap(words, part.hashes, bits).astype(np.int8)
+    for length, at, hashes in _runs(part, words, pairs, bits):
+        size[at if length == 2 else at[_in_bitmap(longer, hashes, bits)]] = length
+    at = np.flatnonzero(size)
+    rows = np.ones((LONGEST + 1, len(at)), np.uint64)
+    following = np.append(part.hashes, np.zeros(LONGEST, np.uint64))
+    for i in range(LONGEST):
+        rows[i] = np.where(size[at] > i, following[at + i], 0)
+    return _summed_rows(rows)
+
+
+def _find_windows(seed: int, bits: int, ranges: int, words: Broadcast, pairs: Broadcast, longer: Broadcast) -> Callable[[Batches], Batches]:
+    """Packed windows and counts; ``range`` is that of the hash of the first pair."""
+
+    def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = _summed_rows(np.concatenate(held, axis=1))
+        where = (_pair_hashes(rows[0], rows[1]) >> np.uint64(64 - ranges)).astype(np.int64)
+        order = np.argsort(where * (LONGEST + 1) + np.count_nonzero(rows[:LONGEST] == 0, axis=0))  # long ones first
+        rows = rows[:, order]
+        ends = np.searchsorted(where[order], np.arange((1 << ranges) + 1))
         used = np.flatnonzero(np.diff(ends))
-        data = [rows[ends[r] : ends[r + 1]].tobytes() for r in used]
+        data = [_packed_windows(rows[:, ends[r] : ends[r + 1]]) for r in used]
         return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], names=["range", "data"])
 
     def run(batches: Batches) -> Batches:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         for part in _read(batches, seed):
-            for size, at, hashes in _runs(part, words.value, pairs.value, bits):
-                may = np.ones(len(at), bool) if size == 2 else _in_bitmap(longer.value, hashes, bits)
-                unique, first, counts = np.unique(hashes[may], return_index=True, return_counts=True)
-                at = at[may][first]
-                rows = np.zeros((len(unique), LONGEST + 1), np.uint64)
-                for i in range(size):
-                    rows[:, i] = part.hashes[at + i]
-                rows[:, LONGEST] = counts
-                held.append((unique, rows))
-            if sum(len(h[0]) for h in held) > _HELD_WORDS:
+            held.append(_windows(part, words.value, pairs.value, longer.value, bits))
+            if sum(h.shape[1] for h in held) > 2 * _HELD_WORDS:
                 yield flushed(held)
                 held = []
         if held:
@@ -319,21 +354,23 @@ def _find_candidates(seed: int, bits: int, ranges: int, words: Broadcast, pairs:
     return run
 
 
-_CANDIDATE_SCHEMA = "size int, " + ", ".join(f"{h} long" for h in _HASHES)
+def _packed_windows(rows: np.ndarray) -> bytes:
+    """Windows in falling order of length, without what stands after their ends, and counts of as few bytes as will do."""
+    sizes = np.count_nonzero(rows[:LONGEST], axis=1)
+    counts = rows[LONGEST].astype(np.min_scalar_type(rows[LONGEST].max()).newbyteorder("<"))
+    head = np.append(sizes, counts.itemsize).astype("<u4")
+    return b"".join([head.tobytes(), *[word[:n].tobytes() for word, n in zip(rows, sizes)], counts.tobytes()])
 
 
-def _candidates(min_count: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(d, np.uint64).reshape(-1, LONGEST + 1) for d in table.column("data").to_pylist()])
-        keys = rows[:, 0]
-        for i in range(1, LONGEST):
-            keys = _pair_hashes(keys, rows[:, i])
-        _, first, total = _summed(keys, rows[:, LONGEST].astype(np.int64))
-        rows = rows[first[total >= min_count]]
-        columns = [pa.array(_signed(np.ascontiguousarray(rows[:, i]))) for i in range(LONGEST)]  # 0 after the end
-        return pa.table([pa.array((rows[:, :LONGEST] != 0).sum(axis=1).astype(np.int32)), *columns], names=["size", *_HASHES])
-
-    return run
+def _unpacked_windows(data: bytes) -> np.ndarray:
+    *sizes, width = np.frombuffer(data, "<u4", LONGEST + 1).tolist()
+    rows = np.zeros((LONGEST + 1, sizes[0]), np.uint64)
+    at = 4 * (LONGEST + 1)
+    for word, n in zip(rows, sizes):
+        word[:n] = np.frombuffer(data, np.uint64, n, at)
+        at += 8 * n
+    rows[LONGEST] = np.frombuffer(data, f"<u{width}", sizes[0], at)
+    return rows
 
 
 # -- pass 5: double-array tries ---------------------------------------------------------------------
@@ -405,20 +442,25 @@ class DoubleArray:
         place = np.minimum(np.searchsorted(self.alphabet, hashes), len(self.alphabet) - 1)
         return np.where(self.alphabet[place] == hashes, self.codes[place], 0).astype(np.int64)
 
-    def add_counts(self, counts: np.ndarray, hashes: np.ndarray, linked: np.ndarray) -> None:
-        """Add the visits of every state by all positions, one level of the trie after the other."""
+    def add_counts(self, counts: np.ndarray, hashes: np.ndarray, linked: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Add the visits of every state by all positions, one level of the trie after the other.
+
+        With ``times``, a position is as many visitors, and none where it is 0.
+        """
         symbols = self.symbols(hashes)
-        at = np.flatnonzero(symbols)
+        at = np.flatnonzero(symbols if times is None else (symbols > 0) & (times > 0))
         state = np.zeros(len(at), np.int64)
+        visits = None if times is None else times[at]
         while len(at):
             there = self.base[state] + symbols[at]
             known = self.check[there] == state
             at, state = at[known], there[known]
-            counts += np.bincount(state, minlength=len(counts))
+            visits = None if visits is None else visits[known]
+            counts += np.bincount(state, visits, len(counts)).astype(np.int64)
             further = linked[at]
+            further[further] = symbols[at[further] + 1] > 0
             at, state = at[further] + 1, state[further]
-            further = symbols[at] > 0
-            at, state = at[further], state[further]
+            visits = None if visits is None else visits[further]
 
     def to_bytes(self) -> bytes:
         sizes = np.array([len(self.alphabet), len(self.base)], np.int64)
@@ -508,31 +550,44 @@ class _Slots:
         return free - steps
 
 
-def _build_trie(rows: pd.DataFrame) -> pd.DataFrame:
-    """One trie of the candidates of a group and the state of each."""
-    rows = rows.sort_values("number")
-    phrases = np.stack([rows[h].to_numpy(np.int64) for h in _HASHES], axis=1).view(np.uint64)
-    trie, ends = DoubleArray.build(phrases)
-    return pd.DataFrame({"part": [rows["part"].iloc[0]], "trie": [trie.to_bytes()], "ends": [ends.astype(np.int32).tobytes()]})
+def _candidates(windows: np.ndarray, min_count: int) -> np.ndarray:
+    """Beginnings of windows that reach the limit; a single word may begin windows of other ranges too, so all are kept."""
+    found = []
+    for size in range(1, LONGEST + 1):
+        rows = windows[:, windows[size - 1] != 0]
+        rows[size:LONGEST] = 0
+        rows = _summed_rows(rows)
+        found.append(rows[:LONGEST, (rows[LONGEST] >= min_count) | (size == 1)])
+    return np.ascontiguousarray(np.concatenate(found, axis=1).T)
 
 
-def _walk(seed: int, part_number: int, trie_bytes: Broadcast, ends_bytes: Broadcast) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        trie = DoubleArray.from_bytes(trie_bytes.value)
-        ends = np.frombuffer(ends_bytes.value, np.int32)
-        counts = np.zeros(len(trie.base), np.int64)
-        for part in _read(batches, seed):
-            trie.add_counts(counts, part.hashes, part.linked)
-        found = counts[ends]
-        kept = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(kept), part_number, np.int32)), pa.array(kept), pa.array(found[kept])],
-            names=["part", "number", "n"],
-        )
+def _count_windows(min_count: int, trie_phrases: int) -> Callable[[pa.Table], pa.Table]:
+    """Candidates of a range and how often the windows of the range pass them; 0 stands after the end of a phrase."""
+
+    def run(table: pa.Table) -> pa.Table:
+        windows = _summed_rows(np.concatenate([_unpacked_windows(d.as_buffer()) for d in table.column("data")], axis=1))
+        candidates = _candidates(windows, min_count)
+        stream = windows[:LONGEST].T.ravel()
+        linked = np.append(stream[1:] != 0, False)
+        linked[LONGEST - 1 :: LONGEST] = False
+        times = np.zeros(len(stream), np.int64)
+        times[::LONGEST] = windows[LONGEST]
+        totals = []
+        for at in range(0, len(candidates), trie_phrases):
+            trie, ends = DoubleArray.build(candidates[at : at + trie_phrases])
+            counts = np.zeros(len(trie.base), np.int64)
+            trie.add_counts(counts, stream, linked, times)
+            totals.append(counts[ends])
+        columns = [pa.array(_signed(np.ascontiguousarray(candidates[:, i]))) for i in range(LONGEST)]
+        size = (candidates != 0).sum(axis=1).astype(np.int32)
+        return pa.table([pa.array(size), *columns, pa.array(np.concatenate(totals))], names=["size", *_HASHES, "n"])
 
     return run
 
 
+_COUNT_SCHEMA = "size int, " + ", ".join(f"{h} long" for h in _HASHES) + ", n long"
+
+
 # -- the whole ------------------------------------------------------------------------------------------
 
 
@@ -560,7 +615,7 @@ def _counted(docs: DataFrame, min_count: int, trie_phrases: int, bits: int, seed
         return None
 
     word_map = _bitmap(spark, words, bits)
-    ranges = _range_bits(spark)
+    ranges = _range_bits(spark, totals.agg(F.sum("n")).first()[0] or 0)
 
     def frequent(known_pairs: Broadcast | None) -> Broadcast:
         packed = texts.mapInArrow(_count_hashes(seed, bits, ranges, min_count, word_map, known_pairs), _PACKED)
@@ -568,32 +623,16 @@ def _counted(docs: DataFrame, min_count: int, trie_phrases: int, bits: int, seed
 
     pair_map = frequent(None)
     longer_map = frequent(pair_map)
-    packed = texts.mapInArrow(_find_candidates(seed, bits, ranges, word_map, pair_map, longer_map), _PACKED)
-    candidates = packed.groupBy("range").applyInArrow(_candidates(min_count), _CANDIDATE_SCHEMA)
-    singles = words.select(F.lit(1).alias("size"), F.col("hash").alias("h1"), *[F.lit(0).cast("long").alias(h) for h in _HASHES[1:]])
-    candidates = materialize(candidates.unionByName(singles), "phrase-candidates")
-    parts = max(-(-candidates.count() // trie_phrases), 1)
-    dealt = candidates.withColumn("part", F.pmod(F.xxhash64(*_HASHES), F.lit(parts)).cast("int"))
-    order = Window.partitionBy("part").orderBy("h1", "h2", "h3", "h4")
-    dealt = materialize(dealt.withColumn("number", F.row_number().over(order).cast("long") - 1), "phrase-parts")
-    tries = materialize(dealt.groupBy("part").applyInPandas(_build_trie, "part int, trie binary, ends binary"), "phrase-tries")
-
-    counted = []
-    for part in range(parts):
-        row = tries.where(F.col("part") == part).first()  # bounded by ``trie_phrases``
-        if row is not None:
-            sent = [spark.sparkContext.broadcast(bytes(row[c])) for c in ("trie", "ends")]
-            counted.append(texts.mapInArrow(_walk(seed, part, *sent), "part int, number long, n long"))
-    if not counted:
-        none = spark.createDataFrame([], "lang string, key string, size int, phrase binary, n long")
-        return none, totals
-    sums = reduce(DataFrame.unionAll, counted).groupBy("part", "number").agg(F.sum("n").alias("n"))
-    sums = sums.where(F.col("n") >= min_count)
-    phrases = materialize(dealt.join(sums, ["part", "number"]), "phrase-counts")
-    wrong = phrases.where(F.col("size") == 1).join(words.select(F.col("hash").alias("h1"), F.col("n").alias("spelt")), "h1")
-    if wrong.where(F.col("n") != F.col("spelt")).limit(1).count():
+    packed = texts.mapInArrow(_find_windows(seed, bits, ranges, word_map, pair_map, longer_map), _PACKED)
+    counted = materialize(packed.groupBy("range").applyInArrow(_count_windows(min_count, trie_phrases), _COUNT_SCHEMA), "phrase-counts")
+    # A longer phrase is counted in the range of its first pair, a word in all ranges where windows begin with it.
+    longer, single = counted.where(F.col("size") > 1), counted.where(F.col("size") == 1)
+    single = single.groupBy("size", *_HASHES).agg(F.sum("n").alias("n"))
+    single = materialize(single.where(F.col("n") >= min_count), "phrase-singles")
+    spelt = words.select(F.col("hash").alias("h1"), F.col("n").alias("spelt"))
+    if single.join(spelt, "h1", "left").where(~F.col("n").eqNullSafe(F.col("spelt"))).limit(1).count():
         return None
-    return _spelt(phrases, words), totals
+    return _spelt(longer.where(F.col("n") >= min_count).unionByName(single), words), totals
 
 
 def _shared(words: DataFrame) -> bool:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabaudit.llm import phrases
@@ -74,6 +75,85 @@ def test_a_bitmap_full_of_false_hits_changes_nothing(spark):
     assert result(phrases.collocations(table(spark, rows), min_count=5, top=40, bits=15)) == brute(rows, 5, 40)
 
 
+def test_texts_are_read_as_often_for_many_tries_as_for_one(spark):
+    """Each place of a text meets only the tries of its first pair, so more tries don't cost more passes."""
+    rows = corpus(6, 200)
+    read = []
+    for tries in (400_000, 10):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        docs = table(spark, rows).select("lang", "text")
+        docs = docs.mapInArrow(counted, docs.schema)
+        assert result(phrases.collocations(docs, min_count=5, top=40, trie_phrases=tries, bits=20)) == brute(rows, 5, 40)
+        read.append(seen.value)
+    assert read == [4 * len(rows)] * 2
+
+
+def test_more_words_make_more_ranges(spark, monkeypatch):
+    bits = phrases._range_bits(spark, 0)
+    assert phrases._range_bits(spark, 4_000_000 << bits) == bits and phrases._range_bits(spark, 4_000_001 << bits) == bits + 1
+    monkeypatch.setattr(phrases, "_RANGE_WORDS", 50)
+    rows = corpus(8, 150)
+    assert result(phrases.collocations(table(spark, rows), min_count=5, top=40, bits=20)) == brute(rows, 5, 40)
+
+
+def drawn_windows(seed, number):
+    """Columns of one to four words (0 after the end) and a count."""
+    draw = random.Random(seed)
+    rows = np.zeros((phrases.LONGEST + 1, number), np.uint64)
+    for i in range(number):
+        size = draw.randint(1, phrases.LONGEST)
+        rows[:size, i] = [draw.randint(1, 4) << 60 for _ in range(size)]
+        rows[phrases.LONGEST, i] = draw.choice([1, 2, 300])
+    return rows
+
+
+def as_counter(rows):
+    found = Counter()
+    for column in rows.T.tolist():
+        found[tuple(column[: phrases.LONGEST])] += column[phrases.LONGEST]
+    return found
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_windows_are_summed_by_their_words(monkeypatch, shared):
+    """Also when all hashes of two words are the same."""
+    if shared:
+        monkeypatch.setattr(phrases, "_pair_hashes", lambda first, second: np.full(len(first), 7, np.uint64))
+    for number in (0, 1, 2000):
+        rows = drawn_windows(number, number)
+        found = phrases._summed_rows(rows)
+        assert as_counter(found) == as_counter(rows) and found.shape[1] == len(as_counter(rows))
+
+
+def test_packed_windows_are_the_same_windows():
+    for number, most in ((1, 1), (500, 300), (500, 70_000), (500, 1 << 40)):
+        rows = drawn_windows(number, number)
+        rows[phrases.LONGEST, 0] = most
+        rows = rows[:, np.argsort(-np.count_nonzero(rows[: phrases.LONGEST], axis=0), kind="stable")]
+        assert (phrases._unpacked_windows(phrases._packed_windows(rows)) == rows).all()
+
+
+def test_a_window_counts_as_often_as_it_occurs():
+    """Beginnings of windows, counted by tries of several sizes, against a dictionary."""
+    rows = phrases._summed_rows(drawn_windows(9, 3000))
+    data = phrases._packed_windows(rows[:, np.argsort(-np.count_nonzero(rows[: phrases.LONGEST], axis=0), kind="stable")])
+    wanted = Counter()
+    for column in rows.T.tolist():
+        for size in range(1, phrases.LONGEST + 1):
+            if column[size - 1]:
+                wanted[tuple(column[:size])] += column[phrases.LONGEST]
+    for tries in (400_000, 7):
+        counted = phrases._count_windows(900, tries)(pa.table([pa.array([3], pa.int32()), pa.array([data])], names=["range", "data"]))
+        found = {tuple(h % (1 << 64) for h in (r["h1"], r["h2"], r["h3"], r["h4"])[: r["size"]]): r["n"] for r in counted.to_pylist()}
+        assert found == {p: n for p, n in wanted.items() if len(p) == 1 or n >= 900} and len(found) > 20
+
+
 def test_texts_in_parts(spark, monkeypatch):
     """Long texts are read in parts and no phrase is lost or made at a seam."""
     whole = " ".join(["a b c d."] * 4000)
